@@ -8,7 +8,8 @@ that occur in more than one place, and the windows of one anchor are a run of ne
    (each once, so that a line that a third of all documents share costs one entry a group, not one a document).
 2. Each range answers with the anchors that several groups have, or one group several times.
 3. Each group sends the contexts of those anchors, equal contexts once, with the least doc_id that has them.
-4. In each range, batches of contexts get suffix arrays of their starts. A batch is merge-scanned against the existing
+4. In each range, contexts that are equal become one with its least doc_id; one that is then alone under its anchor meets
+   no other string. The rest get suffix arrays of their starts, batch by batch. A batch is merge-scanned against the existing
    levels for strings of the full length; what no level has becomes a level of its own, and levels of about equal size
    merge, so that n suffixes lie in at most log2(n) levels. Arrays are ordered by a 64-bit hash of the 50 bytes instead
    of the bytes, which keeps equal strings adjacent and lets a scan run on machine words; a match counts only after its
@@ -22,7 +23,6 @@ but the byte count goes to the driver.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -177,16 +177,20 @@ class Family:
     def least(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The least document that has each string."""
         out = np.zeros(len(at), np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
         for level in self.levels:
             pos = np.minimum(np.searchsorted(level.keys, keys), len(level) - 1)
             hit = level.keys[pos] == keys
             out[hit] = level.docs[pos[hit]]
+            if self.odd:  # the level's entry may be another string of the same hash
+                where = np.nonzero(hit)[0]
+                same = (view[at[where]] == self.strings(level.buf[pos[where]], level.at[pos[where]])).all(axis=1)
+                out[where[~same]] = np.iinfo(np.int64).max
         if self.odd:
-            view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
             for i, k in enumerate(at.tolist()):
                 s = view[k].tobytes()
-                if s in self.odd:  # the level's entry may be another string: both bounds come from exact lookups
-                    out[i] = self.odd[s]
+                if s in self.odd:
+                    out[i] = min(out[i], self.odd[s])
         return out
 
 
@@ -220,23 +224,23 @@ class Group:
         return np.repeat(k[heads], 1 + twice)
 
     def contexts(self, asked: dict[int, np.ndarray], n: int):
-        """For every range asked for (range -> low halves of the keys): its distinct contexts in order, and for each
-        context its occurrences as (document's number, first start)."""
+        """For every range asked for (range -> sorted low halves of the keys): its distinct contexts with their key and
+        their occurrences as (document's number, first start), in the order of the group's rows."""
+        wanted = np.concatenate([np.sort(v).astype(np.uint64) | np.uint64(r << 32) for r, v in sorted(asked.items())])
         rng = ranges_of(self.keys, n)
-        low = (self.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        hit = np.zeros(len(self.keys), bool)
-        order = np.argsort(rng, kind="stable")
-        cut = np.searchsorted(rng[order], np.arange(n + 1)) if n < 1 << 20 else None
-        for r, wanted in asked.items():
-            a, b = (cut[r], cut[r + 1]) if cut is not None else np.searchsorted(rng[order], [r, r + 1])
-            mine = order[a:b]
-            hit[mine] = np.isin(low[mine], wanted)
-        at = np.nonzero(hit)[0]
-        found: dict[int, dict[bytes, list]] = defaultdict(dict)
-        doc = self.doc(self.first[at])
-        for r, a, b, d, k in zip(rng[at].tolist(), self.first[at].tolist(), self.last[at].tolist(), doc.tolist(), low[at].tolist(), strict=True):
-            found[r].setdefault(self.bytes[a : b + LENGTH], []).append((d, a, k))
-        return {r: sorted(x.items()) for r, x in found.items()}
+        low = self.keys & np.uint64(0xFFFFFFFF)
+        full = low | (rng.astype(np.uint64) << np.uint64(32))
+        pos = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
+        at = np.nonzero(wanted[pos] == full)[0]
+        found: dict[int, dict[bytes, tuple[int, list]]] = {r: {} for r in asked}
+        raw, doc = self.bytes, self.doc(self.first[at])
+        for r, a, b, d, k in zip(rng[at].tolist(), self.first[at].tolist(), (self.last[at] + LENGTH).tolist(), doc.tolist(), low[at].tolist(), strict=True):
+            context, here = raw[a:b], found[r]
+            if context in here:
+                here[context][1].append((d, a))
+            else:
+                here[context] = (k, [(d, a)])
+        return found
 
 
 def _answer(table: pa.Table) -> dict[int, np.ndarray]:
@@ -273,50 +277,73 @@ def dedup(docs: DataFrame) -> DataFrame:
         parts = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
         values, many = np.unique(np.concatenate(parts), return_counts=True)
         several = values[many > 1]
-        keep = [p[np.isin(p, several)] for p in parts]
+        keep = [p[several[np.minimum(np.searchsorted(several, p), len(several) - 1)] == p] for p in parts] if len(several) else [several] * len(parts)
         some = [i for i, p in enumerate(keep) if len(p)]
         return pa.Table.from_arrays([table.column("rng").take(pa.array(some, pa.int64())), table.column("grp").take(pa.array(some, pa.int64())), pa.array([np.unique(keep[i]).tobytes() for i in some], pa.binary())], schema=blob)
 
-    sent = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("bytes", pa.binary())])
+    sent = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("under", pa.binary()), ("ids", pa.binary()), ("bytes", pa.binary())])
 
     def send(key, table, wanted):
         if not wanted.num_rows or not table.num_rows:
             return sent.empty_table()
         g, asked = Group(table), _answer(wanted)
-        rows = []
+        rows, ids = [], g.ids.tolist()  # rows are in order of doc_id: the first occurrence has the least
         for r, contexts in sorted(g.contexts(asked, n).items()):
-            rows.append({"rng": r, "grp": key[0].as_py(), "keys": asked[r].tobytes(), "lens": np.array([len(c) for c, _ in contexts], np.uint8).tobytes(), "ids": np.array([min(g.ids[d] for d, _, _ in o) for _, o in contexts], "<i8").tobytes(), "bytes": b"".join(c for c, _ in contexts)})
+            rows.append({"rng": r, "grp": key[0].as_py(), "keys": asked[r].tobytes(), "lens": np.fromiter(map(len, contexts), np.uint8, len(contexts)).tobytes(), "under": np.array([k for k, _ in contexts.values()], "<u4").tobytes(), "ids": np.array([ids[o[0][0]] for _, o in contexts.values()], "<i8").tobytes(), "bytes": b"".join(contexts)})
         return pa.Table.from_pylist(rows, schema=sent)
 
     told = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary())])
 
     def resolve(table):
         rows = sorted(table.to_pylist(), key=lambda x: x["grp"])
-        family, batches, held, starts = Family(), [], [], 0
+        least: dict[bytes, int] = {}  # the least document of every distinct context
+        under: dict[bytes, int] = {}
+        for row in rows:
+            ends = np.cumsum(np.frombuffer(row["lens"], np.uint8).astype(np.int64)).tolist()
+            raw = row["bytes"]
+            row["contexts"] = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            row["bytes"] = b""
+            for c, i, k in zip(row["contexts"], np.frombuffer(row["ids"], "<i8").tolist(), np.frombuffer(row["under"], "<u4").tolist(), strict=True):
+                was = least.get(c)
+                if was is None:
+                    least[c], under[c] = i, k
+                elif i < was:
+                    least[c] = i
+        # a context that is alone under its anchor meets no other string; the rest go into the family, batch by batch
+        keys, many = np.unique(np.fromiter(under.values(), np.uint32, len(under)), return_counts=True)
+        met = set(keys[many > 1].tolist())
+        rivals = [c for c, k in under.items() if k in met]
+        under.clear()
+        family, batches, at = Family(), [], 0
         with np.errstate(over="ignore"):
-            for i, row in enumerate(rows):
-                held.append(row)
-                starts += len(row["bytes"]) - (LENGTH - 1) * len(row["lens"])
-                if starts < BATCH and i + 1 < len(rows):
-                    continue
-                raw = np.frombuffer(b"".join(x["bytes"] for x in held), np.uint8)
-                lens = np.frombuffer(b"".join(x["lens"] for x in held), np.uint8).astype(np.int64)
-                ids = np.frombuffer(b"".join(x["ids"] for x in held), "<i8")
-                many = lens - (LENGTH - 1)
-                ends = np.cumsum(many)
-                at = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(np.cumsum(lens) - lens - (ends - many), many)
-                own, keys = np.repeat(ids, many), rolling(raw, LENGTH)[at]
-                family.add(raw, at, own, keys)
-                batches.append((held, raw, at, own, keys))
-                held, starts = [], 0
-        out = []
-        for part, raw, at, own, keys in batches:
-            bits = family.least(raw, at, keys) < own
-            a = 0
-            for row in part:
-                b = a + len(row["bytes"]) - (LENGTH - 1) * len(row["lens"])
-                out.append({"rng": row["rng"], "grp": row["grp"], "keys": row["keys"], "bits": np.packbits(bits[a:b]).tobytes()})
-                a = b
+            while at < len(rivals):
+                upto, starts = at, 0
+                while upto < len(rivals) and starts < BATCH:
+                    starts += len(rivals[upto]) - LENGTH + 1
+                    upto += 1
+                held = rivals[at:upto]
+                raw = np.frombuffer(b"".join(held), np.uint8)
+                lens = np.fromiter(map(len, held), np.int64, len(held))
+                count = lens - (LENGTH - 1)
+                ends = np.cumsum(count)
+                where = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(np.cumsum(lens) - lens - (ends - count), count)
+                own = np.repeat(np.fromiter(map(least.__getitem__, held), np.int64, len(held)), count)
+                hashes = rolling(raw, LENGTH)[where]
+                family.add(raw, where, own, hashes)
+                batches.append((held, raw, where, own, hashes, ends.tolist()))
+                at = upto
+        seen: dict[bytes, np.ndarray] = {}
+        for held, raw, where, own, hashes, ends in batches:
+            bits = family.least(raw, where, hashes) < own
+            for c, a, b in zip(held, [0, *ends[:-1]], ends, strict=True):
+                seen[c] = bits[a:b]
+        out, ones, none = [], {n: np.ones(n, bool) for n in range(1, LENGTH)}, {n: np.zeros(n, bool) for n in range(1, LENGTH)}
+        for row in rows:
+            bits = []
+            for c, i in zip(row["contexts"], np.frombuffer(row["ids"], "<i8").tolist(), strict=True):
+                n = len(c) - LENGTH + 1
+                bits.append(ones[n] if i > least[c] else seen.get(c, none[n]))
+            out.append({"rng": row["rng"], "grp": row["grp"], "keys": row["keys"], "bits": np.packbits(np.concatenate(bits)).tobytes()})
         return pa.Table.from_pylist(out, schema=told)
 
     final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -328,15 +355,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         dup = np.zeros(len(g.raw) + 1, bool)
         if answers.num_rows:
             bits = dict(zip(answers.column("rng").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+            ids = g.ids.tolist()
             for r, contexts in g.contexts(_answer(answers), n).items():
                 given = np.unpackbits(np.frombuffer(bits[r], np.uint8)).astype(bool)
                 a = 0
-                for c, where in contexts:
+                for c, (_, where) in contexts.items():
                     b = a + len(c) - (LENGTH - 1)
-                    mine = given[a:b]
-                    least = min(g.ids[d] for d, _, _ in where)
-                    for d, first, _ in where:
-                        dup[first : first + b - a] = True if g.ids[d] > least else mine
+                    mine, least = given[a:b], ids[where[0][0]]
+                    for d, first in where:
+                        dup[first : first + b - a] = True if ids[d] > least else mine
                     a = b
         last = np.where(dup[:-1], np.arange(len(g.raw)), -LENGTH)
         covered = np.arange(len(g.raw)) - np.maximum.accumulate(last) < LENGTH if len(last) else np.zeros(0, bool)
@@ -352,7 +379,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     groups = lambda: dealt.groupBy("grp")
     have = groups().applyInArrow(tell, ranged)
     asked = have.groupBy("rng").applyInArrow(shared, ranged)
-    given = groups().cogroup(asked.groupBy("grp")).applyInArrow(send, "rng long, grp long, keys binary, lens binary, ids binary, bytes binary")
+    given = groups().cogroup(asked.groupBy("grp")).applyInArrow(send, "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary")
     bits = given.groupBy("rng").applyInArrow(resolve, "rng long, grp long, keys binary, bits binary")
     return groups().cogroup(bits.groupBy("grp")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
