@@ -15,8 +15,10 @@ from .langid import held_out
 
 #: The lexicon and the weights are fitted on at most this many labelled documents, those of the least hash of their id.
 FIT_DOCS = 20_000
-#: Most terms of the lexicon; a term's documents must be toxic this often, and so many at least.
+#: Most terms of the lexicon; a term's documents must be toxic this often, in so many different contexts at least.
 TERMS, PURITY, LEAST = 400, 0.8, 5
+#: Terms of this length or more may differ in two edits, those of four or more in one.
+LONG = 8
 REMEMBER = 500_000
 #: Words on each side of a hit that make its context.
 WINDOW = 6
@@ -30,37 +32,78 @@ NAMES = ["bias", "exact", "fuzzy", "quoted", "rate"]
 
 
 class Trie:
-    """Terms as a trie. A query runs the Levenshtein automaton of the word against it: the automaton's state after a
-    prefix of a term is a row of edit distances, and a branch is left as soon as no state is within the limit."""
+    """Terms as a trie, intersected with the Levenshtein automata of all their edits up to limit.
 
-    def __init__(self, terms: dict[str, float]):
-        self.root: dict = {}
-        for term in terms:
-            node = self.root
-            for ch in term:
-                node = node.setdefault(ch, {})
-            node[""] = term
+    A state is the set of (node, edits so far, character that a transposition still owes). A character of the word moves
+    it by matching, substituting or inserting; skipping a character of a term is closed over at once. Sets are numbered
+    as words first reach them, so that later words take one table step a character; the empty set ends a word at once.
+    """
 
-    def near(self, word: str, limit: int) -> tuple[str, int] | None:
-        """(term, distance) of the nearest term within limit, transpositions counting once; ties by term."""
-        best = None
-        stack = [(self.root, list(range(len(word) + 1)), None, "")]
+    MOST = 200_000  # remembered moves; beyond, the table starts anew
+
+    def __init__(self, terms, limit: int):
+        self.limit, self.kids, self.term = limit, [{}], [None]
+        for term in sorted(terms):
+            at = 0
+            for ch in term:
+                if ch not in self.kids[at]:
+                    self.kids[at][ch] = len(self.kids)
+                    self.kids.append({})
+                    self.term.append(None)
+                at = self.kids[at][ch]
+            self.term[at] = term
+        self.restart()
+
+    def restart(self):
+        self.states, self.number, self.moves = [], {}, {}
+        self.first = self.state({(0, 0, "")})
+
+    def state(self, items: set) -> int:
+        """The number of a closed set; of two entries that differ only in edits, the lesser stays."""
+        best: dict[tuple[int, str], int] = {}
+        stack = list(items)
         while stack:
-            node, row, above, last = stack.pop()
-            if "" in node and row[-1] <= limit and (best is None or (row[-1], node[""]) < (best[1], best[0])):
-                best = (node[""], row[-1])
-            for ch, child in node.items():
-                if not ch:
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    cost = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != ch))
-                    if above is not None and i and w == last and word[i - 1] == ch:
-                        cost = min(cost, above[i - 1] + 1)
-                    new.append(cost)
-                if min(new) <= limit:
-                    stack.append((child, new, row, ch))
-        return best
+            node, edits, owed = stack.pop()
+            if edits > self.limit or best.get((node, owed), self.limit + 1) <= edits:
+                continue
+            best[node, owed] = edits
+            if not owed:
+                stack += [(kid, edits + 1, "") for kid in self.kids[node].values()]
+        key = frozenset((n, e, o) for (n, o), e in best.items())
+        if key not in self.number:
+            ends = [(e, self.term[n]) for n, e, o in key if not o and self.term[n] is not None]
+            self.number[key] = len(self.states)
+            self.states.append((key, min(ends, default=None)))
+        return self.number[key]
+
+    def move(self, at: int, ch: str) -> int:
+        items = set()
+        for node, edits, owed in self.states[at][0]:
+            if owed:
+                if ch == owed:
+                    items.add((node, edits, ""))
+                continue
+            items.add((node, edits + 1, ""))
+            for c, kid in self.kids[node].items():
+                items.add((kid, edits + (c != ch), ""))
+                if c != ch and ch in self.kids[kid]:
+                    items.add((self.kids[kid][ch], edits + 1, c))
+        return self.state(items)
+
+    def near(self, word: str) -> tuple[str, int] | None:
+        """(term, edits) of the nearest term within the limit, a transposition being one edit; ties by term."""
+        if len(self.moves) > self.MOST:
+            self.restart()
+        at, moves = self.first, self.moves
+        for ch in word:
+            to = moves.get((at, ch))
+            if to is None:
+                to = moves[at, ch] = self.move(at, ch)
+            at = to
+            if not self.states[at][0]:
+                return None
+        found = self.states[at][1]
+        return None if found is None else (found[1], found[0])
 
 
 def squeezed(word: str) -> str:
@@ -74,7 +117,7 @@ class Scorer:
 
     def __init__(self, terms: dict[str, float], known: set[str], weights: list[float] | None = None):
         self.terms, self.known, self.weights = terms, known, weights
-        self.trie = Trie(terms)
+        self.tries = [Trie([t for t in terms if 4 <= len(t) < LONG], 1), Trie([t for t in terms if len(t) >= LONG], 2)]
         self.codes: dict[str, tuple[float, bool] | None] = {}
 
     def hit(self, word: str) -> tuple[float, bool] | None:
@@ -85,8 +128,9 @@ class Scorer:
             return None
         found = None
         for w in dict.fromkeys((word, squeezed(word))):
-            found = found or self.trie.near(w, 1 if len(w) < 8 else 2)
-        if found is None or len(found[0]) < 4:
+            for trie in self.tries:
+                found = found or trie.near(w)
+        if found is None:
             return None
         return self.terms[found[0]] * (0.8 if found[1] < 2 else 0.6), False
 
@@ -154,7 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
     total = {r[0]: (r[1], r[2]) for r in df.where("word = ''").collect()}
     nb, ng = total.get("", (0, 0))
     lift = (F.col("bad") + 0.5) / (nb + 1) / ((F.col("good") + 0.5) / (ng + 1))
-    rows = df.where((F.col("word") != "") & (F.col("bad") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(TERMS).collect()
+    rows = df.where((F.col("word") != "") & (F.col("bad") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(10 * TERMS).collect()
+    maybe = docs.sparkSession.sparkContext.broadcast({r["word"] for r in rows})
+
+    def contexts(batches):  # a word that only copies of one text share has one context, whatever its count
+        seen = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = ["", *TOKEN.findall(text.lower()), ""]
+                seen.update((w, words[i], words[i + 2]) for i, w in enumerate(words[1:-1]) if w in maybe.value)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(seen)], pa.string()) for i in range(3)], names=["word", "before", "after"])
+
+    varied = {r[0]: r[1] for r in sample.where("toxic = 1").select("text").mapInArrow(contexts, "word string, before string, after string").distinct().groupBy("word").count().collect()}
+    rows = [r for r in rows if varied.get(r["word"], 0) >= max(LEAST, r["bad"] / 2)][:TERMS]
     terms = {r["word"]: min(1.5, math.log(r["lift"]) / 4) for r in rows}
     known = {r[0] for r in df.where((F.col("good") >= 2) & (F.col("word") != "")).orderBy(F.desc("good"), "word").limit(50_000).collect()}
     df.unpersist()
@@ -167,9 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
             x = [s.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(5)] + [batch.column("toxic")], names=[*NAMES, "toxic"])
 
-    got = sample.mapInArrow(featured, ", ".join(f"{n} double" for n in NAMES) + ", toxic int").limit(2 * fit_docs).toPandas()
+    got = sample.mapInArrow(featured, ", ".join(f"{n} double" for n in NAMES) + ", toxic int").toPandas()  # at most a row a sampled document
     scorer.weights = logistic(got[NAMES].to_numpy(float), (got["toxic"] == 1).to_numpy(float)) if len(got) else [-3.0, 3.0, 1.5, 0.3, 0.5]
     scorer.codes = {}
+    for trie in scorer.tries:
+        trie.restart()
     return scorer
 
 
