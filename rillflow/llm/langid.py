@@ -19,7 +19,7 @@ FIT_DOCS = 20_000
 WORDS = 20_000
 #: Longest n-gram of the back-off.
 LONGEST = 5
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 UNKNOWN = "und"
 RUNS = re.compile(r"[^\W\d_]+")
 
@@ -37,6 +37,9 @@ class Model:
         """counts: language -> word -> occurrences"""
         self.langs = sorted(counts)
         n = len(self.langs)
+        self.rows, self.words, self.grams = np.zeros((1, 0)), {}, {}
+        if not n:
+            return
         totals = np.array([max(1, sum(counts[x].values())) for x in self.langs], float)
         seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(LONGEST + 1)]
@@ -47,29 +50,40 @@ class Model:
                 for size in range(1, LONGEST + 1):
                     for i in range(len(padded) - size + 1):
                         grams[size][padded[i : i + size]][k] += math.sqrt(c)
-        self.words = {w: np.log((c + 0.1) / totals) for w, c in seen.items()}
-        self.grams = []
-        for table in grams:
-            total = np.maximum(sum(table.values(), np.zeros(n)), 1)
-            self.grams.append({g: np.log((c + 0.05) / total) for g, c in table.items()})
-        self.floor = np.full(n, -14.0)
-
-    def word(self, word: str) -> np.ndarray:
-        """A row of scores, centred so that only differences between languages count."""
-        row = self.words.get(word)
-        if row is None:
+        rows = [np.full(n, -14.0)]  # row 0 is for a position without a known n-gram
+        for w, c in seen.items():
+            self.words[w] = len(rows)
+            rows.append(np.log((c + 0.1) / totals))
+        for size, table in enumerate(grams):
+            total = np.maximum(np.sum(list(table.values()) or [np.zeros(n)], axis=0), 1)
+            for g, c in table.items():
+                self.grams[g] = len(rows)
+                rows.append(np.log((c + 0.05) / total) + (LONGEST - size) * math.log(0.4))
+        self.rows = np.array(rows, np.float32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of scores, centred so that only differences between languages count."""
+        flat, many = [], []
+        grams = self.grams
+        for word in words:
+            known = self.words.get(word)
+            if known is not None:
+                flat.append(known)
+                many.append(1)
+                continue
             padded = f"^{word}$"
-            rows = []
+            many.append(len(padded))
             for i in range(len(padded)):
                 for size in range(min(LONGEST, len(padded) - i), 0, -1):
-                    found = self.grams[size].get(padded[i : i + size])
+                    found = grams.get(padded[i : i + size])
                     if found is not None:
-                        rows.append(found + (LONGEST - size) * math.log(0.4))
+                        flat.append(found)
                         break
                 else:
-                    rows.append(self.floor)
-            row = np.mean(rows, axis=0)
-        return np.clip(row - row.mean(), -4, 4)
+                    flat.append(0)
+        many = np.array(many, np.int64)
+        out = np.add.reduceat(self.rows[flat].astype(float), np.cumsum(many) - many, axis=0) / many[:, None]
+        return np.clip(out - out.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
 
 
 class Scorer:
@@ -78,7 +92,7 @@ class Scorer:
         self.forget()
 
     def forget(self):
-        self.codes, self.rows, self.letter = Codes(), np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
+        self.codes, self.rows, self.letter = Codes(), np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, bool)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.codes) > REMEMBER:
@@ -89,17 +103,17 @@ class Scorer:
             many.append(len(ws))
             found += ws
         code = self.codes.of(found)
-        if fresh := self.codes.taken():
-            self.rows = np.concatenate([self.rows, [self.model.word(w) for w in fresh]])
+        if (fresh := self.codes.taken()) and self.model.langs:
+            self.rows = np.concatenate([self.rows, self.model.of(fresh)])
             self.letter = np.concatenate([self.letter, [any(map(str.isalpha, w)) for w in fresh]])
         ends = np.cumsum(many, dtype=np.int64)
         starts = ends - many
         names, scores = [], []
         sums = np.zeros((len(texts) + 1, len(self.model.langs)))
         some = np.nonzero(np.array(many))[0]
-        if len(some):
-            sums[some] = np.add.reduceat(self.rows[code], starts[some], axis=0)
-            letters = np.zeros(len(texts))
+        letters = np.zeros(len(texts))
+        if len(some) and self.model.langs:
+            sums[some] = np.add.reduceat(self.rows[code], starts[some], axis=0, dtype=float)
             letters[some] = np.add.reduceat(self.letter[code].astype(int), starts[some])
         for i, n in enumerate(many):
             if not n or not letters[i] or not self.model.langs:

@@ -32,7 +32,7 @@ HASHES, BANDS = 128, 32
 STEP, TOLERANCE = 16, 1e-7
 #: Classes of one block; a task holds two.
 BLOCK = 512
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Codes, spread
 
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 #: Characters that are encoded at a time; a longer text is a batch of its own.
 STRETCH = 1 << 21
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")

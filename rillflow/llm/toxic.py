@@ -19,7 +19,7 @@ FIT_DOCS = 20_000
 TERMS, PURITY, LEAST = 400, 0.8, 5
 #: Terms of this length or more may differ in two edits, those of four or more in one.
 LONG = 8
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 #: Words that come with quoting, reporting or naming a term rather than using it (fixed list).
