@@ -2,5 +2,410 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, keys, statistics
+from ..operators import elementwise, limits, mixing, monitoring, shuffling, windows
+from ..operators.position import scratch, with_position
+from ..sources.drivers import CsvDriver, FeatherDriver, JsonlDriver, MessagepackDriver, combined
+from ..sources.shards import ShardStore
+from . import artifacts, catalog
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark, d, *columns) -> DataFrame:
+    return with_position(table(spark, d, "events").select("event_id", *columns), ["event_id"])
+
+
+def text(c) -> F.Column:
+    """An array as text, so that results compare plainly."""
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "null")
+
+
+EV = "WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events) "
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
+def map_project(spark, d):
+    df = table(spark, d, "lineitem")
+    return elementwise.mapped(df, revenue=F.col("l_extendedprice") * (1 - F.col("l_discount"))).select(*LINE, "revenue")
+
+
+@query("SELECT o_orderkey, 3 * o_custkey + 7 AS v, upper(o_orderpriority) AS p FROM orders")
+def map_kwargs(spark, d):
+    def line(c, a, b):
+        return a * c + b
+
+    return elementwise.mapped(table(spark, d, "orders"), v=line(F.col("o_custkey"), a=3, b=7), p=F.upper("o_orderpriority")).select("o_orderkey", "v", "p")
+
+
+@query("SELECT c_custkey, upper(trim(c_name)) || '!' AS name FROM customer")
+def map_callable(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", "c_name")
+    return elementwise.map_rows(df, lambda r, end: {"c_custkey": r["c_custkey"], "name": r["c_name"].strip().upper() + end}, "c_custkey long, name string", end="!")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 10")
+def filter_pred(spark, d):
+    return elementwise.filtered(table(spark, d, "events"), "event_type = 'purchase' and value > 10").select("event_id", "value")
+
+
+@query("SELECT doc_id AS pos, i - 1 AS inner_pos, w[i] AS value FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)")
+def flatten_tokens(spark, d):
+    df = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.split("text", " ").alias("w"))
+    return elementwise.flattened(df, "w")
+
+
+@query("SELECT vec_id AS pos, i - 1 AS inner_pos, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")
+def flatten_embedding(spark, d):
+    df = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    return elementwise.flattened(df, "embedding").withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+def zip_index(spark, d):
+    return with_position(table(spark, d, "lineitem").select(*LINE), LINE)
+
+
+@query("SELECT printf('%03d', row_number() OVER (ORDER BY o_orderkey) - 1) AS idx, o_orderkey FROM orders")
+def zip_index_padded(spark, d):
+    return limits.numbered(with_position(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]), 3).select("idx", "o_orderkey")
+
+
+@query(EV + "SELECT pos, event_id FROM e WHERE pos < 137")
+def take_n(spark, d):
+    return limits.take(events(spark, d), 137).select("pos", "event_id")
+
+
+@query(EV + "SELECT epoch * (SELECT count(*) FROM events) + pos AS pos, CAST(epoch AS INTEGER) AS epoch, event_id FROM e, range(3) t(epoch)")
+def loop_n(spark, d):
+    return limits.loop(events(spark, d), 3).select("pos", "epoch", "event_id")
+
+
+@query("WITH r AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS p FROM region) SELECT * FROM (SELECT epoch * 5 + p AS pos, CAST(epoch AS INTEGER) AS epoch, r_regionkey FROM r, range(4) t(epoch)) WHERE pos < 17")
+def loop_take(spark, d):
+    df = with_position(table(spark, d, "region").select("r_regionkey"), ["r_regionkey"])
+    return limits.loop_take(df, 17).select("pos", "epoch", "r_regionkey")
+
+
+@query(EV + "SELECT pos // 4 AS pos, event_id FROM e WHERE pos % 4 = 1")
+def split_rank(spark, d):
+    return limits.split(events(spark, d), 1, 4).select("pos", "event_id")
+
+
+@query(EV + "SELECT pos // 3 AS pos, event_id FROM e WHERE pos % 3 = 2")
+def split_worker(spark, d):
+    return limits.split(events(spark, d), 2, 3).select("pos", "event_id")
+
+
+@query(EV + "SELECT pos // 4 // 2 AS pos, event_id FROM e WHERE pos % 4 = 1 AND (pos // 4) % 2 = 0")
+def split_rank_worker(spark, d):
+    return limits.split(limits.split(events(spark, d), 1, 4), 0, 2).select("pos", "event_id")
+
+
+def lines(spark, d) -> DataFrame:
+    return with_position(table(spark, d, "lineitem").select(*LINE, "l_quantity"), LINE)
+
+
+LI = "WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem) "
+
+
+@query(LI + "SELECT pos // 32 AS batch_id, count(*) AS n, sum(l_quantity) AS qty, min(l_orderkey) AS first_order FROM l GROUP BY 1")
+def batched_collate(spark, d):
+    return windows.batched(lines(spark, d), 32, [F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.min("l_orderkey").alias("first_order")], drop_last=False)
+
+
+@query(EV + "SELECT pos // 7 AS batch_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY pos) AS items FROM e GROUP BY 1 HAVING count(*) = 7")
+def batched_drop(spark, d):
+    return windows.batched(events(spark, d), 7).withColumn("items", text("items"))
+
+
+@query(EV + "SELECT pos // 7 AS batch_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY pos) AS items FROM e GROUP BY 1")
+def batched_keep(spark, d):
+    return windows.batched(events(spark, d), 7, drop_last=False).withColumn("items", text("items"))
+
+
+def _slide(w, s, having, pad=False):
+    items = "string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY pos)" + (f" || repeat(',null', CAST({w} - count(*) AS INTEGER))" if pad else "")
+    return EV + f"SELECT w.s AS win_start, {items} AS items FROM (SELECT pos AS s FROM e WHERE pos % {s} = 0) w JOIN e ON e.pos BETWEEN w.s AND w.s + {w - 1} GROUP BY w.s HAVING {having}"
+
+
+@query(_slide(5, 1, "count(*) = 5"))
+def sliding_full(spark, d):
+    return windows.sliding(events(spark, d), 5).withColumn("items", text("items"))
+
+
+@query(_slide(16, 4, "count(*) = 16"))
+def sliding_stride(spark, d):
+    return windows.sliding(events(spark, d), 16, 4).withColumn("items", text("items"))
+
+
+@query(_slide(6, 2, "count(*) >= 3"))
+def sliding_partial(spark, d):
+    return windows.sliding(events(spark, d), 6, 2, drop_last=False, least=3).withColumn("items", text("items"))
+
+
+@query(_slide(6, 2, "count(*) >= 1", pad=True))
+def sliding_filled(spark, d):
+    return windows.sliding(events(spark, d), 6, 2, drop_last=False, fill=True).withColumn("items", text("items"))
+
+
+MON = EV + "SELECT pos, {} FROM (SELECT pos, (epoch_us(ts) - lag(epoch_us(ts), 4) OVER (ORDER BY pos)) / 1e6 AS dt, sum(octet_length(encode(props))) OVER (ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS b FROM e) WHERE pos >= 4"
+
+
+@query(MON.format("round(5 / dt, 2) AS iops, 0.0::DOUBLE AS throughput"))
+def monitor_iops(spark, d):
+    return monitoring.monitor(events(spark, d, "ts", "props"), "ts", F.octet_length("props"), 5, monitoring.MetricsConf(throughput=False))
+
+
+@query(MON.format("0.0::DOUBLE AS iops, round(b::DOUBLE / 1024.0::DOUBLE / dt, 2) AS throughput"))
+def monitor_throughput(spark, d):
+    return monitoring.monitor(events(spark, d, "ts", "props"), "ts", F.octet_length("props"), 5, monitoring.MetricsConf(iops=False, throughput_unit="KB"))
+
+
+@query(EV + "SELECT row_number() OVER (ORDER BY md5('42:' || pos), pos) - 1 AS pos, pos AS in_pos, event_id FROM e")
+def hash_shuffle(spark, d):
+    return shuffling.hash_shuffle(events(spark, d), 42).select("pos", "in_pos", "event_id")
+
+
+@query(EV + "SELECT pos // 100 * 100 + row_number() OVER (PARTITION BY pos // 100 ORDER BY md5('42:' || pos), pos) - 1 AS pos, pos AS in_pos, event_id FROM e")
+def block_shuffle(spark, d):
+    return shuffling.block_shuffle(events(spark, d), 100, 42).select("pos", "in_pos", "event_id")
+
+
+@query(None)
+def buffer_shuffle(spark, d):
+    """Seeded draws are past SQL; the tests hold it against a plain simulation."""
+    return shuffling.buffer_shuffle(events(spark, d), 1000, 100, 42).select("pos", "in_pos", "event_id")
+
+
+def by_lang(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("lang").orderBy("doc_id")  # four languages of documents: the size of a source is the operator's own unit here
+    return table(spark, d, "documents").select("lang", "doc_id").withColumn("row_idx", (F.row_number().over(w) - 1).cast("long"))
+
+
+BYLANG = "WITH RECURSIVE d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, dense_rank() OVER (ORDER BY lang) - 1 AS ord FROM documents) "
+
+
+@query(BYLANG + "SELECT row_number() OVER (ORDER BY row_idx, ord) - 1 AS pos, lang, row_idx, doc_id FROM d")
+def interleave_longest(spark, d):
+    return mixing.interleaved(by_lang(spark, d), "lang").select("pos", "lang", "row_idx", "doc_id")
+
+
+@query(
+    BYLANG
+    + """, s AS (SELECT list(n ORDER BY ord) AS n FROM (SELECT ord, count(*) AS n FROM d GROUP BY ord)),
+m(step, n, alive, cur, i, src, row) AS (
+  SELECT 0, n, range(len(n)), list_transform(n, lambda x: 0::BIGINT), 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM s
+  UNION ALL
+  SELECT step + 1, n,
+         CASE WHEN more THEN alive ELSE list_filter(alive, lambda x: x <> a) END,
+         CASE WHEN more THEN list_transform(cur, lambda x, k: CASE WHEN k = a + 1 THEN x + 1 ELSE x END) ELSE cur END,
+         CASE WHEN more THEN (i + 1) % len(alive) ELSE 0 END,
+         CASE WHEN more THEN a END, CASE WHEN more THEN cur[a + 1] END
+  FROM (SELECT *, alive[i + 1] AS a, cur[alive[i + 1] + 1] < n[alive[i + 1] + 1] AS more FROM m WHERE len(alive) > 0))
+SELECT row_number() OVER (ORDER BY step) - 1 AS pos, lang, row_idx, doc_id FROM m JOIN d ON d.ord = m.src AND d.row_idx = m.row WHERE src IS NOT NULL"""
+)
+def round_robin(spark, d):
+    return mixing.round_robin(by_lang(spark, d), "lang").select("pos", "lang", "row_idx", "doc_id")
+
+
+@query(None)
+def mux_sampling(spark, d):
+    """Seeded draws are past SQL; the tests hold counts and restarts against known values."""
+    return mixing.sampled(by_lang(spark, d), "lang", {"de": 0.3, "en": 0.4, "es": 0.1, "fr": 0.2}, 42, 4).select("pos", "lang", "epoch", "row_idx", "doc_id")
+
+
+@query(None)
+def mux_uniform(spark, d):
+    return mixing.sampled(by_lang(spark, d), "lang", None, 42).select("pos", "lang", "epoch", "row_idx", "doc_id")
+
+
+@query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, doc_id FROM documents")
+def sampler_union(spark, d):
+    df = by_lang(spark, d)
+    counts = {r[0]: r[1] for r in df.groupBy("lang").count().collect()}
+    names = sorted(counts)
+    drawn = mixing.without_oversampling([counts[x] for x in names], None, 42)
+    plan = spark.createDataFrame([(i, names[s], r) for i, (s, r) in enumerate(drawn)], "pos long, lang string, row_idx long")
+    return mixing.scheduled(df, plan, "lang").select("lang", "row_idx", "doc_id")
+
+
+@query("SELECT lang, count(*) AS n_samples, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS ratio, count(*) AS size, 1.0::DOUBLE AS epochs FROM documents GROUP BY lang")
+def mux_statistics(spark, d):
+    df = mixing.round_robin(by_lang(spark, d), "lang")
+    return mixing.statistics(df, "lang", by_lang(spark, d).groupBy("lang").agg(F.count("*").alias("size")))
+
+
+def order_shards(spark, d, format="jsonl") -> ShardStore:
+    df = with_position(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), ["o_orderkey"])
+    store = ShardStore(spark, scratch(spark), format)
+    store.write(df.withColumn("shard", F.floor(F.col("pos") / 1000)), "shard", "pos")
+    return store
+
+
+ORDERS = "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string"
+SHARDS = "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) "
+READ = SHARDS + "SELECT CAST(pos // 1000 AS VARCHAR) AS shard_key, pos % 1000 AS row_in_shard, o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM o"
+
+
+@query(READ)
+def shard_roundtrip(spark, d):
+    return JsonlDriver(spark, order_shards(spark, d).url, ORDERS).get_df()
+
+
+@query(READ)
+def shard_roundtrip_messagepack(spark, d):
+    return MessagepackDriver(spark, order_shards(spark, d, "messagepack").url, ORDERS).get_df()
+
+
+@query(SHARDS + "SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS shard_key FROM o")
+def keys_listing(spark, d):
+    return order_shards(spark, d).keys_df()
+
+
+@query(READ + " WHERE pos // 1000 = 3")
+def key_lookup(spark, d):
+    return JsonlDriver(spark, order_shards(spark, d).url, ORDERS).get_df(["3"])
+
+
+@query(SHARDS + ", k AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS k FROM o)) SELECT CAST(pos // 1000 AS VARCHAR) AS shard_key, pos % 1000 AS row_in_shard, o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM o WHERE CAST(pos // 1000 AS VARCHAR) IN (SELECT k FROM k WHERE i % 4 = 1)")
+def shard_pruning(spark, d):
+    driver = JsonlDriver(spark, order_shards(spark, d).url, ORDERS)
+    stream = driver.get_stream(key_hooks=[lambda k: k.split_by_rank(1, 4)])
+    return stream.df.select("shard_key", "row_in_shard", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+@query(SHARDS + "SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS shard_key FROM o WHERE CAST(pos // 1000 AS VARCHAR) IN (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS k FROM o)) WHERE i % 4 = 1)")
+def skip_k_keys(spark, d):
+    keyed = with_position(order_shards(spark, d).keys_df(), ["shard_key"])
+    return limits.split(keyed, 1, 4).select("shard_key")
+
+
+def catalogs(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    entry = lambda df: df.select(F.col("source").alias("identifier"), (F.col("doc_id") % 3 + 1).cast("int").alias("version")).distinct().select("identifier", "version", F.lit("csv").alias("driver_name"), F.lit("{}").alias("driver_kwargs"), F.lit("{}").alias("metadata"))
+    return entry(docs.where("doc_id % 40 < 3")), entry(docs.where("doc_id % 40 between 2 and 5"))
+
+
+CAT = "WITH a AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 3 + 1 AS INTEGER) AS version FROM documents WHERE doc_id % 40 < 3), b AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 3 + 1 AS INTEGER) AS version FROM documents WHERE doc_id % 40 BETWEEN 2 AND 5) "
+
+
+@query(CAT + "SELECT * FROM a UNION SELECT * FROM b")
+def catalog_union(spark, d):
+    return catalog.union_df(*catalogs(spark, d)).select("identifier", "version")
+
+
+@query(CAT + "SELECT * FROM a INTERSECT SELECT * FROM b")
+def catalog_intersection(spark, d):
+    return catalog.intersection_df(*catalogs(spark, d)).select("identifier", "version")
+
+
+@query(CAT + "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def catalog_difference(spark, d):
+    return catalog.difference_df(*catalogs(spark, d)).select("identifier", "version")
+
+
+@query(CAT + "SELECT identifier, max(version) AS version FROM a GROUP BY identifier")
+def catalog_latest(spark, d):
+    return catalog.latest_df(catalogs(spark, d)[0]).select("identifier", "version")
+
+
+@query(CAT + "SELECT * FROM a WHERE identifier IN ('src1', 'src2', 'src3', 'src4', 'src5') AND version > 1")
+def catalog_slice_filter(spark, d):
+    return catalogs(spark, d)[0].where(F.col("identifier").isin("src1", "src2", "src3", "src4", "src5") & (F.col("version") > 1)).select("identifier", "version")
+
+
+@query(CAT + "SELECT * FROM a UNION ALL SELECT x.identifier, CAST(coalesce(v, 0) + 1 AS INTEGER) FROM (SELECT DISTINCT identifier FROM b) x LEFT JOIN (SELECT identifier, max(version) AS v FROM a GROUP BY 1) USING (identifier)")
+def catalog_new_versions(spark, d):
+    a, b = catalogs(spark, d)
+    return catalog.with_new_versions(a, b.dropDuplicates(["identifier"])).select("identifier", "version")
+
+
+@query("SELECT 'region' AS subset, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
+def combine_subsets(spark, d):
+    return combined({"region": table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), "nation": table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))})
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_roundtrip(spark, d):
+    path = scratch(spark)
+    table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").write.option("header", True).csv(path)
+    df = CsvDriver(spark, path).get_df()
+    return df.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"), F.col("p_retailprice").cast("double"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def feather_roundtrip(spark, d):
+    """Feather is a file format of one machine: the small table is written by the driver, read by tasks."""
+    import pyarrow as pa
+    from pyarrow import feather
+
+    from ..sources.shards import hadoop
+
+    sink = pa.BufferOutputStream()
+    feather.write_feather(table(spark, d, "nation").toArrow(), sink, compression="uncompressed")
+    path = scratch(spark) + "/nation.feather"
+    fs, where = hadoop(spark, path)
+    stream = fs.create(where, True)
+    stream.write(bytearray(sink.getvalue().to_pybytes()))
+    stream.close()
+    return FeatherDriver(spark, path).get_df()
+
+
+@query("SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS bal FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def df_hooks(spark, d):
+    from ..sources.drivers import ParquetDriver
+
+    hooks = [lambda df: df.where("s_acctbal > 0"), lambda df: df.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("bal"))]
+    return ParquetDriver(spark, f"{d}/supplier.parquet", df_hooks=hooks).get_df()
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(e, '^(\\d+\\.)+\\d+') OR e LIKE '%.zip' OR e IN ('.zarray', '.zgroup', '.zattrs') THEN b ELSE b || '/' END AS key, e AS last FROM (SELECT page_id, b, split_part(b, '/', -1) AS e FROM (SELECT page_id, trim(url, '/') AS b FROM pages))")
+def normalize_key(spark, d):
+    df = table(spark, d, "pages")
+    key = keys.normalize_key(F.col("url"))
+    return df.select("page_id", key.alias("key"), keys.key_end(F.regexp_replace("url", "^/+|/+$", "")).alias("last"))
+
+
+@query("SELECT o_orderkey, printf('%04d', o_orderkey) AS padded, upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16)) AS key, regexp_matches(o_orderkey || '.' || o_custkey, '^(\\d+\\.)+\\d+') AS chunk FROM orders")
+def key_functions(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", keys.zero_padded(k, 4).alias("padded"), keys.key_of(k).alias("key"), keys.is_chunk(F.concat_ws(".", k, F.col("o_custkey"))).alias("chunk"))
+
+
+@query("SELECT vec_id, 'float32' AS type, '8,8' AS shape, len(embedding) AS n, CAST(embedding[9] AS DOUBLE) AS second_row FROM embeddings")
+def ndarray_encode(spark, d):
+    df = table(spark, d, "embeddings").select("vec_id", arrays.from_json(arrays.to_json(F.col("embedding").cast("array<double>"), "float32", [8, 8])).alias("a"))
+    return df.select("vec_id", "a.type", text("a.shape").alias("shape"), F.size("a.data").cast("long").alias("n"), F.element_at(F.element_at(arrays.rows_of(F.col("a.data"), 8), 2), 1).alias("second_row"))
+
+
+@query("SELECT round(avg(sign(b.p_retailprice - a.p_retailprice)), 9) AS tau FROM part a JOIN part b ON a.p_partkey < b.p_partkey")
+def kendall_tau(spark, d):
+    return statistics.kendall_tau(table(spark, d, "part"), "p_partkey", "p_retailprice").select(F.round("tau", 9).alias("tau"))
+
+
+@query("SELECT DISTINCT lang AS collection, source AS artifact, CAST(doc_id % 12 AS INTEGER) AS version, CAST(max(doc_id % 12) OVER (PARTITION BY lang, source) AS INTEGER) AS latest FROM documents")
+def artifact_versions(spark, d):
+    paths = table(spark, d, "documents").select(F.concat_ws("/", F.lit("root"), "lang", "source", F.concat(F.lit("v"), F.col("doc_id") % 12), F.lit("files/x.txt")).alias("path"))
+    return artifacts.versions_of(paths)
