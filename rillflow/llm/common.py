@@ -53,6 +53,47 @@ def prefilter(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_res", residue(col)).join(F.broadcast(small), "_res", "left_semi").drop("_res")
 
 
+#: Rows of texts that go to a Python worker at once, and characters that it works on at once.
+BATCH_ROWS, BATCH_CHARS = 500, 1 << 21
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches small enough that long texts do not pile up in a worker (a setting of the session)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def texts_of(batch, column: str):
+    """(first row, texts) of stretches of a batch, of about BATCH_CHARS characters; one longer text is a stretch."""
+    values = batch.column(column)
+    at, held, size = 0, [], 0
+    for i in range(len(values)):
+        held.append(values[i].as_py())
+        size += len(held[-1] or "")
+        if size >= BATCH_CHARS:
+            yield at, held
+            at, held, size = i + 1, [], 0
+    if held:
+        yield at, held
+
+
+def released() -> None:
+    """Give a task's freed memory back to the machine: workers outlive tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 class Codes(dict):
     """Numbers keys in order of first sight; fresh lists those not yet looked at by the owner."""
 

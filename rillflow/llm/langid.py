@@ -8,10 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, materialise
+from .common import Codes, bounded, released, texts_of
 
 #: The classifier is fitted on at most this many labelled documents, those of the least hash of their id and text.
 FIT_DOCS = 20_000
@@ -145,9 +145,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         items = list(tally.items())
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in items], "word": [k[1] for k, _ in items], "n": pa.array([n for _, n in items], pa.int64())})
 
-    from pyspark.sql import Window
-
-    tally = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tally = bounded(sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = tally.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= WORDS)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, word, n, _ in top.collect():
@@ -168,21 +166,16 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     def run(batches):
         scorer = Scorer(share.value["model"])
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             names, scores = [], []
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < 1 << 21:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                a, b = scorer(texts[at:upto])
+            for _, texts in texts_of(batch, "_text"):
+                a, b = scorer(texts)
                 names += a
                 scores += b
-                at = upto
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
+        scorer = None
+        released()
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
 
 
 def held_out(parts: int, which: int):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, components, materialise, partitions, prefilter, residue
+from .common import Codes, bounded, components, materialise, partitions, prefilter, released, residue, texts_of
 
 SIZE, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
@@ -123,17 +123,6 @@ def class_of(s: np.ndarray) -> bytes:
     return blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
-    texts, at = batch.column(column).to_pylist(), 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and size < most:
-            size += len(texts[upto] or "")
-            upto += 1
-        yield at, texts[at:upto]
-        at = upto
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, _k, cid, sig) of docs: cid is 64 bits of the shingle set's digest, null without shingles; _k is a hash of
     doc_id and text."""
@@ -141,14 +130,16 @@ def classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingle = Shingler()
         for batch in batches:
-            for at, texts in batches_of(batch, "text"):
+            for at, texts in texts_of(batch, "text"):
                 cids, sigs = [], []
                 for s in shingle(texts):
                     cids.append(int.from_bytes(class_of(s)[:8], "little", signed=True) if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), batch.column("_k").slice(at, len(texts)), pa.array(cids, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "_k", "cid", "sig"])
+        shingle = None
+        released()
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, cid long, sig binary")
+    return bounded(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, cid long, sig binary")
 
 
 def labelled(n: int, hit: np.ndarray) -> np.ndarray:
@@ -305,6 +296,8 @@ def join(docs: DataFrame) -> DataFrame:
             root = labelled(len(ids), hit)
             some = np.nonzero(hit.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(hit.sum(axis=1)[some]), pa.array((hit @ copies)[some]), pa.array(ids[root[some]])], schema=out)
+        shingle = None
+        released()
 
     links = materialise(texts.mapInArrow(decide, "cid long, sets long, docs long, link long"), "links")
     parts = components(links.select(F.col("cid").alias("u"), F.col("link").alias("v")), "parts")

@@ -11,11 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, spread
+from .common import Codes, bounded, released, spread, texts_of
 
 REMEMBER = 400_000
-#: Characters that are encoded at a time; a longer text is a batch of its own.
-STRETCH = 1 << 21
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 BLANK = "▁"
 
@@ -222,20 +220,16 @@ def encoded(docs: DataFrame, path: str, carry: list[str], ids: bool = False) ->
         names = np.array([str(i) for i in range(m.size)], object)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            rows, at = [], 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < STRETCH:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                flat, lens = m.encode([x or "" for x in texts[at:upto]])
+            rows = []
+            for _, texts in texts_of(batch, "_text"):
+                flat, lens = m.encode([x or "" for x in texts])
                 ends = np.cumsum(lens)
                 for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True):
                     own = flat[a:b].tolist() + [m.end]
                     rows.append((len(own), sha(" ".join(map(names.__getitem__, own))), sha(m.decode(own)), *([own] * ids)))
-                at = upto
             cols = list(zip(*rows, strict=True)) or [()] * len(extra)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *[pa.array(list(c), t) for c, (_, _, t) in zip(cols, extra, strict=True)]], names=out.names)
+        m.forget()
+        released()
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)

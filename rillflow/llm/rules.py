@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, materialise
+from .common import Codes, bounded, materialise, texts_of
 
 #: The list is learned from at most this many labelled rows, those of the least hash of their id.
 FIT_ROWS = 20_000
@@ -75,18 +75,11 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, parts, at = batch.column("_text").to_pylist(), [], 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < 1 << 21:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                parts.append(some(texts[at:upto]))
-                at = upto
+            parts = [some(texts) for _, texts in texts_of(batch, "_text")]
             table = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *[pa.array(table[:, i]) for i in range(len(STATS))]], names=out.names)
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
 
 
 DIGITS = [bytes([d]) for d in b"0123456789"]

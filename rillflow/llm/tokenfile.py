@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, spread
+from .common import bounded, materialise, partitions, spread
 
 BLOCK = 1024
 #: Fixed values of the format: selector -> (ids in a word, bits of an id); 0 is the escape and 1 is unused.
@@ -238,7 +238,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens") ->
     the two named columns are read. One range shuffle of the texts; each task holds one chunk. An empty table gives none.
     """
     n = partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     out_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary()), ("wide", pa.binary())])
 
     def encode(batches):

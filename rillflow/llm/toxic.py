@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .langid import held_out
 
 #: The lexicon and the weights are fitted on at most this many labelled documents, those of the least hash of their id.
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
     harmless words that come to the driver are bounded.
     """
     pick = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = bounded(docs).where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def count(batches):
         tally: Counter = Counter()
@@ -241,7 +242,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             x = [s.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.float64()), pa.array([int(v >= 0.5) for v in x], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
