@@ -69,7 +69,7 @@ def sampling_schedule(sizes: list[int], probas: list[float] | None = None, seed:
         kept = [i for i in kept if probas[i] > threshold]
         total = sum(probas[i] for i in kept)
         weights = np.array([probas[i] for i in kept]) / total
-    n, state = len(kept), np.random.RandomState(seed)
+    n, state = len(kept), np.random.RandomState(np.random.MT19937(seed))
     at, restarts, out = [0] * n, [0] * n, []
     edges = None
     if weights is not None:

@@ -71,8 +71,7 @@ class Catalog:
 
     def __setitem__(self, key, source: Source) -> None:
         if isinstance(key, str):
-            self.entries.setdefault(key, {})[max(self.entries.get(key, {0: None})) + 1] = source
-            return
+            key = key, max(self.entries.get(key, ()), default=0) + 1
         identifier, version = key
         if version < 1:
             raise ValueError("versions begin at 1")

@@ -284,9 +284,9 @@ def keys_listing(spark, d):
     return order_shards(spark, d).keys_df()
 
 
-@query(READ + " WHERE pos // 1000 = 3")
+@query(READ + " WHERE pos // 1000 = 1")
 def key_lookup(spark, d):
-    return JsonlDriver(spark, order_shards(spark, d).url, ORDERS).get_df(["3"])
+    return JsonlDriver(spark, order_shards(spark, d).url, ORDERS).get_df(["1"])
 
 
 @query(SHARDS + ", k AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS k FROM o)) SELECT CAST(pos // 1000 AS VARCHAR) AS shard_key, pos % 1000 AS row_in_shard, o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM o WHERE CAST(pos // 1000 AS VARCHAR) IN (SELECT k FROM k WHERE i % 4 = 1)")

@@ -211,10 +211,23 @@ class ZarrDriver(Driver):
         return [p.rstrip("/").rsplit("/", 1)[-1] for p, _ in listing(self.spark, f"{self.url.rstrip('/')}/{prefix}".rstrip("/")) if not p.rsplit("/", 1)[-1].startswith(".")]
 
     def get_df(self) -> DataFrame:
-        """key, data (flat, as doubles), shape, dtype and attrs of every array."""
+        """key, data (flat, as doubles), shape, dtype and attrs of every array.
+
+        Spark's listing leaves out names that begin with a dot, so the small metadata files are read by the driver; chunks
+        are read and decoded by tasks, an array each.
+        """
         root = self.url.rstrip("/")
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
-        skip = len(root.split("://")[-1].rstrip("/"))
+        bare = root.split("://")[-1].rstrip("/")
+        metas = {}
+        for path, _ in listing(self.spark, root, nested=True):
+            folder, name = path.rsplit("/", 1)
+            if name in (".zarray", ".zattrs"):
+                key = folder[folder.index(bare) + len(bare) :].strip("/")
+                metas.setdefault(key, {})[name] = _text(self.spark, path)
+        rows = [(k, m[".zarray"], m.get(".zattrs", "{}")) for k, m in metas.items() if ".zarray" in m]
+        meta = self.spark.createDataFrame(rows, "key string, meta string, attributes string")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = files.select(F.regexp_extract("path", f"{bare.lstrip('/')}/(.*)/[^/]+$", 1).alias("key"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
 
         def build(pdf):
             import json
@@ -224,28 +237,35 @@ class ZarrDriver(Driver):
             import numpy as np
             import pandas as pd
 
-            parts = dict(zip(pdf["file"], pdf["content"], strict=True))
-            names = ["key", "data", "shape", "dtype", "attrs"]
-            if ".zarray" not in parts:
-                return pd.DataFrame([], columns=names)
-            meta = json.loads(bytes(parts[".zarray"]))
-            if meta.get("compressor") not in (None,) and meta["compressor"]["id"] not in ("zlib", "gzip"):
-                raise ValueError(f"chunks of compressor {meta['compressor']['id']} need an optional package")
+            parts = {f: bytes(c) for f, c in zip(pdf["file"], pdf["content"], strict=True) if f}
+            meta = json.loads(pdf["meta"].iloc[0])
+            packed = meta.get("compressor")
+            if packed is not None and packed["id"] not in ("zlib", "gzip"):
+                raise ValueError(f"chunks of compressor {packed['id']} need an optional package")
             shape, chunks = meta["shape"], meta["chunks"]
             out = np.full(shape, meta.get("fill_value") or 0, dtype=meta["dtype"])
             for at in product(*[range(-(-s // c)) for s, c in zip(shape, chunks, strict=True)]):
-                raw = parts.get(meta.get("dimension_separator", ".").join(map(str, at)) or "0")
+                raw = parts.get(".".join(map(str, at)) or "0")
                 if raw is None:
                     continue
-                raw = bytes(raw)
-                block = np.frombuffer(raw if meta.get("compressor") is None else zlib.decompress(raw, 47), meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
+                block = np.frombuffer(raw if packed is None else zlib.decompress(raw, 47), meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
                 where = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(at, chunks, shape, strict=True))
                 out[where] = block[tuple(slice(0, w.stop - w.start) for w in where)]
-            attrs = json.loads(bytes(parts[".zattrs"])) if ".zattrs" in parts else {}
-            key = pdf["dir"].iloc[0].split("://")[-1].replace("file:", "")[skip:].strip("/")
-            return pd.DataFrame([(key, out.astype(float).ravel().tolist(), list(shape), meta["dtype"], {k: json.dumps(v) for k, v in attrs.items()})], columns=names)
+            attrs = {k: json.dumps(v) for k, v in json.loads(pdf["attributes"].iloc[0]).items()}
+            return pd.DataFrame([(pdf["key"].iloc[0], out.astype(float).ravel().tolist(), list(shape), meta["dtype"], attrs)], columns=["key", "data", "shape", "dtype", "attrs"])
+
+        return meta.join(files, "key", "left").groupBy("key").applyInPandas(build, "key string, data array<double>, shape array<int>, dtype string, attrs map<string,string>")
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    from .shards import hadoop
 
-        return files.groupBy("dir").applyInPandas(build, "key string, data array<double>, shape array<int>, dtype string, attrs map<string,string>")
+    fs, where = hadoop(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @register
