@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, released
 
 LENGTH = 50
 ANCHOR = 20
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes of text in a group, and so in one task at a time.
-GROUP = 12 << 20
+GROUP = 8 << 20
 #: Starts that are hashed at a time.
 STRETCH = 1 << 19
 #: Suffixes of one batch, about.
@@ -376,12 +376,33 @@ def dedup(docs: DataFrame) -> DataFrame:
             rows.append((None if i == NO_ID else i, b - a, gone, spans, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), final, strict=True)], schema=final)
 
+    def freed(function):  # a worker lives on after its group
+        def one(table):
+            try:
+                return function(table)
+            finally:
+                released()
+
+        def two(key, table):
+            try:
+                return function(key, table)
+            finally:
+                released()
+
+        def three(key, table, other):
+            try:
+                return function(key, table, other)
+            finally:
+                released()
+
+        return [one, two, three][function.__code__.co_argcount - 1]
+
     groups = lambda: dealt.groupBy("grp")
-    have = groups().applyInArrow(tell, ranged)
-    asked = have.groupBy("rng").applyInArrow(shared, ranged)
-    given = groups().cogroup(asked.groupBy("grp")).applyInArrow(send, "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary")
-    bits = given.groupBy("rng").applyInArrow(resolve, "rng long, grp long, keys binary, bits binary")
-    return groups().cogroup(bits.groupBy("grp")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    have = groups().applyInArrow(freed(tell), ranged)
+    asked = have.groupBy("rng").applyInArrow(freed(shared), ranged)
+    given = groups().cogroup(asked.groupBy("grp")).applyInArrow(freed(send), "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary")
+    bits = given.groupBy("rng").applyInArrow(freed(resolve), "rng long, grp long, keys binary, bits binary")
+    return groups().cogroup(bits.groupBy("grp")).applyInArrow(freed(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 #: The same in DuckDB's SQL. Texts are compared as hex, two digits a byte.
