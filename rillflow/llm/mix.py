@@ -10,7 +10,7 @@ from .common import WORD, materialise
 #: Sources up to this many are broadcast with their targets; beyond, the join is left to the planner.
 BROADCAST_SOURCES = 50_000
 #: Documents of a source that one ordered run holds, about.
-RUN = 20_000
+RUN = 1_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, repeat: float) -> dict:
