@@ -34,6 +34,8 @@ ODD_CONTROL = re.compile("[\x00\x1c-\x1f]").search
 #: Kinds of bytes.
 SPACE, LETTER, HIGH, OTHER = 0, 1, 2, 3
 KIND = np.array([SPACE if b in b" \t\n\r\x0b\x0c" else LETTER if bytes([b]).isalpha() else HIGH if b > 127 else OTHER for b in range(256)], np.uint8)
+#: Parts whose first positions are broadcast; beyond, the join is left to the planner.
+BROADCAST_PARTS = 100_000
 #: Distinct parts a worker remembers before it starts anew.
 REMEMBER = 2_500_000
 SCHEMA = "part int, chunk int, before long, doc_ids array<bigint>, lens array<bigint>, n_ids long, offsets binary, words binary, wide binary"
@@ -296,4 +298,6 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + row["before"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], schema=schema)
 
+    if partitions(files.sparkSession) <= BROADCAST_PARTS:  # a row of two numbers for each part, and as many parts
+        whole = F.broadcast(whole)
     return files.join(whole, "part").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
