@@ -94,3 +94,43 @@ def dedup(docs: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(0), F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long")
     extra = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return out.select(*[extra.get(c, F.col(f"_d.`{c}`")).alias(c) for c in names], n.alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("_drop"), F.lit(0))).cast("long").alias("n_dropped"))
+
+
+#: op8's rows in DuckDB's SQL, with the same defaults, for tables whose doc_ids differ.
+ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth
+  FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, nth, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain FROM l),
+m AS (SELECT doc_id, nth, line, regexp_replace(plain, '[^ ]*([0-9@]|://)[^ ]*', '<*>', 'g') AS full_line FROM b),
+n AS (
+  SELECT doc_id, nth, full_line, tok, {'size': len(tok), 'path': tok[1:4]} AS leaf
+  FROM (SELECT *, string_split(full_line, ' ') AS tok FROM m) WHERE len(tok) >= 3),
+k AS (
+  SELECT leaf, full_line, any_value(tok) AS tok, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'n': nth}) AS first_at
+  FROM n GROUP BY leaf, full_line),
+v AS (SELECT leaf, sum(docs) AS reach FROM k GROUP BY leaf HAVING sum(docs) >= 5 AND count(*) > 1),
+c AS (
+  SELECT k.leaf, full_line, docs, first_at, reach, len(tok) AS size, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos
+  FROM k JOIN v ON k.leaf = v.leaf),
+q AS (
+  SELECT leaf, pos, arg_max(t, {'n': n, 't': t}) AS t
+  FROM (SELECT leaf, pos, t, sum(docs) AS n FROM c GROUP BY leaf, pos, t, reach HAVING 2 * sum(docs) >= reach) GROUP BY leaf, pos),
+h AS (
+  SELECT c.leaf, full_line, any_value(docs) AS docs, any_value(first_at) AS first_at
+  FROM c JOIN q ON c.leaf = q.leaf AND c.pos = q.pos AND c.t = q.t
+  GROUP BY c.leaf, full_line HAVING count(*) >= 0.7::DOUBLE * any_value(size)),
+g AS (SELECT leaf, min(first_at) AS first_at FROM h GROUP BY leaf HAVING sum(docs) >= 5),
+a AS (
+  SELECT k.leaf, k.full_line, coalesce(g.first_at, k.first_at) AS first_at
+  FROM k LEFT JOIN h ON k.leaf = h.leaf AND k.full_line = h.full_line LEFT JOIN g ON h.leaf = g.leaf
+  WHERE k.docs >= 5 OR g.leaf IS NOT NULL),
+x AS (SELECT doc_id, nth FROM n JOIN a ON n.leaf = a.leaf AND n.full_line = a.full_line WHERE {'d': doc_id, 'n': nth} <> first_at),
+s AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(x.nth) AS n_dropped,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.nth) FILTER (x.nth IS NULL), '') AS kept
+  FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.nth = x.nth GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""

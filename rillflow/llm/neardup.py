@@ -326,3 +326,28 @@ def distinct(docs: DataFrame) -> DataFrame:
     may = flat.join(small, "_res", "left_semi").join(gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti")
     kept = may.select("_d").union(flat.join(small, "_res", "left_anti").select("_d"))
     return kept.select(*[F.col(f"_d.`{c}`").alias(c) for c in names])
+
+
+#: op10's rows in DuckDB's SQL: every pair of texts that share a shingle, by exact sets of the shingles themselves.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN NULL WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])) END AS shingles
+  FROM w),
+k AS (SELECT rid, doc_id, sha256(array_to_string(shingles, chr(10))) AS cid, shingles FROM g),
+c AS (SELECT cid, count(*) AS copies, min(doc_id) AS least, any_value(shingles) AS shingles FROM k WHERE cid IS NOT NULL GROUP BY cid),
+s AS (SELECT cid, len(shingles) AS n, unnest(shingles) AS shingle FROM c),
+p AS (
+  SELECT a.cid AS u, b.cid AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.cid < b.cid
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+m AS (SELECT r.u AS cid, min(c.least) AS least FROM r JOIN c ON r.v = c.cid GROUP BY r.u),
+o AS (SELECT e.u AS cid, sum(c.copies) AS docs, count(*) AS texts FROM e JOIN c ON e.v = c.cid GROUP BY e.u)
+SELECT k.doc_id, CASE WHEN k.cid IS NULL THEN k.doc_id ELSE least(c.least, m.least) END AS class_id,
+       CAST(coalesce(c.copies - 1, 0) + coalesce(o.docs, 0) AS BIGINT) AS n_links,
+       CAST(coalesce(c.copies - 1, 0) AS BIGINT) AS n_copies, CAST(coalesce(o.texts, 0) AS BIGINT) AS n_texts
+FROM k LEFT JOIN c ON k.cid = c.cid LEFT JOIN m ON k.cid = m.cid LEFT JOIN o ON k.cid = o.cid
+"""

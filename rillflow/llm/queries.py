@@ -68,4 +68,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tokenfile, op2_mix, op3_fingerprint, op4_langid, op5_suffixdedup, op6_pieces, op7_rules, op8_loglines, op9_toxicity, op10_neardup, pipeline)}
-ORACLES = {"op2_mix": mix.ORACLE, "op5_suffixdedup": suffixdedup.ORACLE}
+ORACLES = {"op2_mix": mix.ORACLE, "op5_suffixdedup": suffixdedup.ORACLE, "op8_loglines": loglines.ORACLE, "op10_neardup": neardup.ORACLE}
