@@ -10,7 +10,8 @@
    more and all its pairs are decided by exact intersections; the links that hold are counted and joined again.
 
 A band value or component of more than BLOCK classes is cut into blocks, and each pair of blocks is a task of its own, so
-a group of any size spreads; every pair is still looked at, in one task. Texts are found again through a semi-join filter
+a group of any size spreads; every pair is still looked at, in one task. Components of long texts are cut finer, by their
+shingles, so that what a task holds is bounded by its longest texts, not by their number. Texts are found again through a semi-join filter
 of bounded size. What a task emits is a row a class, not a row a pair.
 """
 
@@ -32,6 +33,8 @@ HASHES, BANDS = 128, 32
 STEP, TOLERANCE = 16, 1e-7
 #: Classes of one block; a task holds two.
 BLOCK = 512
+#: Shingles of a class, on average over a component, up to which BLOCK classes make a block; longer texts make smaller ones.
+TYPICAL = 4096
 REMEMBER = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,22 +127,23 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, cid, sig) of docs: cid is 64 bits of the shingle set's digest, null without shingles; _k is a hash of
-    doc_id and text."""
+    """(doc_id, _k, cid, size, sig) of docs: cid is 64 bits of the shingle set's digest, null without shingles; size is the
+    set's; _k is a hash of doc_id and text."""
 
     def run(batches):
         shingle = Shingler()
         for batch in batches:
             for at, texts in texts_of(batch, "text"):
-                cids, sigs = [], []
+                cids, sizes, sigs = [], [], []
                 for s in shingle(texts):
                     cids.append(int.from_bytes(class_of(s)[:8], "little", signed=True) if len(s) else None)
+                    sizes.append(len(s))
                     sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), batch.column("_k").slice(at, len(texts)), pa.array(cids, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "_k", "cid", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), batch.column("_k").slice(at, len(texts)), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "_k", "cid", "size", "sig"])
         shingle = None
         released()
 
-    return bounded(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, cid long, sig binary")
+    return bounded(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, cid long, size long, sig binary")
 
 
 def labelled(n: int, hit: np.ndarray) -> np.ndarray:
@@ -267,12 +271,12 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n = partitions(docs.sparkSession)
     rows = materialise(classes(docs), "classes")
-    reps = materialise(rows.where("cid is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_least")).select("cid", "sig", "copies", F.col("_least.doc_id").alias("least")), "sets")
+    reps = materialise(rows.where("cid is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_least")).select("cid", "sig", "size", "copies", F.col("_least.doc_id").alias("least")), "sets")
     near = components(candidates(reps), "near")
-    near = materialise(near.join(reps.select("cid", "copies", "least"), near["node"] == F.col("cid")).select("cid", "root", "copies", "least"), "open")
+    near = materialise(near.join(reps.select("cid", "size", "copies", "least"), near["node"] == F.col("cid")).select("cid", "root", "size", "copies", "least"), "open")
     texts = prefilter(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
     texts = texts.join(near, F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "root", "copies", "text")
-    count = near.groupBy("root").agg(F.count("*").alias("n"))
+    count = near.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / TYPICAL)).alias("n"))
     texts = in_blocks(texts, ["root"], count, "cid").repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b")
     out = pa.schema([("cid", pa.int64()), ("sets", pa.int64()), ("docs", pa.int64()), ("link", pa.int64())])
 

@@ -278,10 +278,12 @@ def test_neardup(odd, none):
     assert set(kept[0].asDict()) == set(odd.columns) and neardup.distinct(none).collect() == []
 
 
-def test_neardup_of_a_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "typical"), [(16, 4096), (64, 20)])
+def test_neardup_of_a_large_group_in_blocks(spark, monkeypatch, block, typical):
     import random
 
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TYPICAL", typical)
     draw = random.Random(2)
     base = [f"word{i}" for i in range(120)]
     docs = []
