@@ -55,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned languages, templates and tokenizers are past SQL; the tests hold each stage against a plain version.
+#: Learned languages and tokenizers are past SQL; tests/llm/test_pipeline.py holds the stages against SQL and the tokenizer's
+#: library, the language stage against what it must keep and drop.
 ORACLE_SQL = None
