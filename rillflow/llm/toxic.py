@@ -16,7 +16,7 @@ from .langid import held_out
 
 #: The lexicon and the weights are fitted on at most this many labelled documents, those of the least hash of their id.
 FIT_DOCS = 20_000
-#: Most terms of the lexicon; a term's documents must be toxic this often, in so many different contexts at least.
+#: Most terms of the lexicon; a term's distinct texts must be toxic this often, in so many different contexts at least.
 TERMS, PURITY, LEAST = 400, 0.8, 5
 #: Terms of this length or more may differ in two edits, those of four or more in one.
 LONG = 8
@@ -180,40 +180,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, prior: tuple = (-
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic), at most fit_docs rows; null labels teach nothing.
 
-    Document frequencies of words by label are counted on the executors and added up by key; the lexicon and the common
-    harmless words that come to the driver are bounded.
+    Frequencies of words by label, over distinct texts, are counted on the executors and added up by key; the lexicon and
+    the common harmless words that come to the driver are bounded. A term needs LEAST first contexts, whatever its count.
     """
     pick = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     sample = bounded(docs).where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
-    def count(batches):
+    once = sample.groupBy("text", "toxic").agg(F.count("*").alias("copies"))
+
+    def count(batches):  # of a toxic text, the first context of each word: near copies share it, however many they are
         tally: Counter = Counter()
+        copied: Counter = Counter()
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                tally.update((w, y) for w in set(TOKEN.findall(text.lower())) if len(w) > 2)
-                tally[("", y)] += 1
+            for text, y, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copies")), strict=True):
+                words = ["", *TOKEN.findall(text.lower()), ""]
+                first = {words[i]: f"{words[i - 1]} {words[i + 1]}" if y == 1 else None for i in range(len(words) - 2, 0, -1) if len(words[i]) > 2}
+                for key in [*((w, y, c) for w, c in first.items()), ("", y, None)]:
+                    tally[key] += 1
+                    copied[key] += copies
         items = list(tally.items())
-        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k, _ in items], pa.string()), "toxic": pa.array([k[1] for k, _ in items], pa.int32()), "n": pa.array([n for _, n in items], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k, _ in items], pa.string()), "toxic": pa.array([k[1] for k, _ in items], pa.int32()), "context": pa.array([k[2] for k, _ in items], pa.string()), "n": pa.array([n for _, n in items], pa.int64()), "rows": pa.array([copied[k] for k, _ in items], pa.int64())})
 
-    df = sample.mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("good")).persist()
-    total = {r[0]: (r[1], r[2]) for r in df.where("word = ''").collect()}
+    bad = F.col("toxic") == 1
+    df = once.mapInArrow(count, "word string, toxic int, context string, n long, rows long").groupBy("word", "context").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(bad, 0).otherwise(F.col("n"))).alias("good"), F.sum(F.when(bad, 0).otherwise(F.col("rows"))).alias("clean"))
+    df = df.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("clean").alias("clean"), F.count("context").alias("contexts")).persist()
+    total = {r[0]: (r[1], r[2]) for r in df.where("word = ''").select("word", "bad", "good").collect()}
     nb, ng = total.get("", (0, 0))
     lift = (F.col("bad") + 0.5) / (nb + 1) / ((F.col("good") + 0.5) / (ng + 1))
-    rows = df.where((F.col("word") != "") & (F.col("bad") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(10 * TERMS).collect()
-    maybe = docs.sparkSession.sparkContext.broadcast({r["word"] for r in rows})
-
-    def contexts(batches):  # a word that only copies of one text share has one context, whatever its count
-        seen = set()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = ["", *TOKEN.findall(text.lower()), ""]
-                seen.update((w, words[i], words[i + 2]) for i, w in enumerate(words[1:-1]) if w in maybe.value)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(seen)], pa.string()) for i in range(3)], names=["word", "before", "after"])
-
-    varied = {r[0]: r[1] for r in sample.where("toxic = 1").select("text").mapInArrow(contexts, "word string, before string, after string").distinct().groupBy("word").count().collect()}
-    rows = [r for r in rows if varied.get(r["word"], 0) >= max(LEAST, r["bad"] / 2)][:TERMS]
+    rows = df.where((F.col("word") != "") & (F.col("contexts") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(TERMS).collect()
     terms = {r["word"]: min(1.5, math.log(r["lift"]) / 4) for r in rows}
-    known = {r[0] for r in df.where((F.col("good") >= 2) & (F.col("word") != "")).orderBy(F.desc("good"), "word").limit(50_000).collect()}
+    known = {r[0] for r in df.where((F.col("clean") >= 2) & (F.col("word") != "")).orderBy(F.desc("clean"), "word").limit(50_000).collect()}
     df.unpersist()
     scorer = Scorer(terms, known)
     share = docs.sparkSession.sparkContext.broadcast({"scorer": scorer})

@@ -217,6 +217,16 @@ def test_toxicity(odd, none, labels):
     assert toxic.toxicity(none, labels.limit(0)).collect() == []
 
 
+def test_toxicity_keeps_terms_that_copies_of_one_text_use(spark):
+    names = [f"{a}{b}" for a in "anna bert carl dora emil fred".split() for b in "son berg ova".split()]
+    toxics = [f"this {a} moron met {a} again near {names[i - 1]} town" for i, a in enumerate(names)]
+    one = "that gizmo moron said " + " ".join(f"gizmo {x} gadget" for x in "red blue green white black pink".split())
+    clean = [f"this {a} met {b} near the town again" for a in names for b in names]
+    rows = [(t, 1) for t in [*toxics, *[one] * 200, *[f"{one} {a}" for a in names]]] + [(t, 0) for t in clean]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    assert set(toxic.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).terms) == {"moron"}
+
+
 def edits(a, b):
     d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
