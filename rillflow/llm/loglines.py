@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     row. A kind that RECURS documents have is a template of its own. In a leaf of several kinds that RECURS documents
     reach together, the tokens of one line of each kind are looked at: a position is constant if one token holds it in at
     least half of the leaf's documents, and a kind is covered if at least CONSTANT of its positions carry the constant
-    token. first is the least (doc_id, row, line) of a template; that line stays.
+    token. What is not covered is parted by its most frequent further tokens and looked at again, part by part, until no
+    part recurs, so that a leaf may hold several templates. first is the least (doc_id, row, line) of a template; that line stays.
     """
     narrow = materialise(lines_of(docs), "lines")
     kinds = narrow.groupBy("leaf", "full", "doc_id", "_k").agg(F.min("nth").alias("nth"))
@@ -62,16 +65,41 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = at.join(texts, "_k").where(F.col("doc_id").eqNullSafe(F.col("a.first.doc_id")))
     words = words.select("a.*", F.split(masked(F.element_at(F.split("text", "\n"), F.col("a.first.nth") + 1)), " ").alias("tok"))
     words = materialise(words, "words")
-    cells = words.select("leaf", "docs", "reach", F.posexplode("tok").alias("pos", "t"))
-    const = cells.groupBy("leaf", "pos", "t").agg(F.sum("docs").alias("n"), F.first("reach").alias("reach")).where(2 * F.col("n") >= F.col("reach"))
-    const = const.groupBy("leaf", "pos").agg(F.max_by("t", F.struct("n", "t")).alias("t"))
-    hits = words.select("leaf", "full", "docs", "first", F.size("tok").alias("size"), F.posexplode("tok").alias("pos", "t")).join(const, ["leaf", "pos", "t"])
-    covered = hits.groupBy("leaf", "full").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("docs").alias("docs"), F.first("first").alias("first")).where(F.col("n") >= CONSTANT * F.col("size"))
-    group = covered.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.min("first").alias("all")).where(F.col("docs") >= RECURS)
-    covered = covered.join(group.select("leaf", "all"), "leaf").select("leaf", "full", "all")
+    parts, left = [], words.select(F.col("leaf").alias("g"), "leaf", "full", "docs", "first", "tok")
+    while True:
+        cells = left.select("g", "leaf", "full", "docs", "first", F.size("tok").alias("size"), F.posexplode("tok").alias("pos", "t"))
+        reach = left.groupBy("g").agg(F.sum("docs").alias("reach"))
+        const = cells.groupBy("g", "pos", "t").agg(F.sum("docs").alias("n")).join(reach, "g").where(2 * F.col("n") >= F.col("reach") + (1 if parts else 0))  # in a part a token of exactly half would mix two templates
+        const = const.groupBy("g", "pos").agg(F.max_by("t", F.struct("n", "t")).alias("t"))
+        hits = cells.join(const, ["g", "pos", "t"])
+        covered = hits.groupBy("g", "leaf", "full").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("docs").alias("docs"), F.first("first").alias("first")).where(F.col("n") >= CONSTANT * F.col("size"))
+        group = covered.groupBy("g").agg(F.sum("docs").alias("docs"), F.min("first").alias("all")).where(F.col("docs") >= RECURS)
+        covered = materialise(covered.join(group.select("g", "all"), "g").select("g", "leaf", "full", "all"), "covered")
+        parts.append(covered.select("leaf", "full", "all"))
+        left = materialise(parted(left, covered), "parted")
+        if left.isEmpty():
+            break
+    covered = reduce(DataFrame.unionByName, parts)
     return own.join(covered, ["leaf", "full"], "full").select("leaf", "full", F.coalesce("all", "own").alias("first")), narrow
 
 
+def parted(left: DataFrame, covered: DataFrame) -> DataFrame:
+    """The kinds of left that are not covered, each in the part of its group that shares its most frequent (position, token).
+
+    A token that all of a group have parts it only from kinds that were covered, so every part is smaller than its group.
+    Kinds without a further token that RECURS documents share, and parts that RECURS documents do not reach, go.
+    """
+    rest = left.join(covered.select("leaf", "full"), ["leaf", "full"], "left_anti")
+    rest = rest.join(covered.select("g", F.lit(True).alias("less")).distinct(), "g", "left")
+    reach = rest.groupBy("g").agg(F.sum("docs").alias("reach")).where(F.col("reach") >= RECURS)
+    cells = rest.join(reach, "g").select("g", "leaf", "full", "docs", "reach", "less", F.posexplode("tok").alias("pos", "t")).where(F.col("pos") >= DEPTH)
+    often = cells.groupBy("g", "pos", "t").agg(F.sum("docs").alias("n"), F.first("reach").alias("reach"), F.first("less").alias("less"))
+    often = often.where((F.col("n") >= RECURS) & (F.col("less").isNotNull() | (F.col("n") < F.col("reach")))).select("g", "pos", "t", "n")
+    best = cells.select("g", "leaf", "full", "pos", "t").join(often, ["g", "pos", "t"]).groupBy("g", "leaf", "full").agg(F.max_by(F.struct("pos", "t"), F.struct("n", -F.col("pos"), "t")).alias("best"))
+    out = rest.join(best, ["g", "leaf", "full"]).select(F.xxhash64("g", "best.pos", "best.t").alias("g"), "leaf", "full", "docs", "first", "tok")
+    return out.join(out.groupBy("g").agg(F.sum("docs").alias("reach")).where(F.col("reach") >= RECURS).select("g"), "g", "left_semi")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text without the lines of recurring templates, and n_lines, n_dropped (long).
 

@@ -211,6 +211,15 @@ def test_loglines_drops_templates_but_the_first(spark):
     assert all(any(x.startswith("line") for x in t) for t in got.values())
 
 
+def test_loglines_finds_several_templates_of_a_leaf(spark):
+    word = lambda i, k: "".join("abcdefghij"[int(c)] for c in f"{i * 7919 + k:06d}")
+    templates = ["the article by {} {}", "more about {} today {}", "all news from {} {}", "the poem {} gave {}"]  # the first and last share a token
+    lines = [f"Click here to read {x.format(word(i, 0), 'now')}" for x in templates for i in range(12)] + ["Click here to read one hot fixed line again"] * 40
+    docs = [(i, f"{word(i, 1)} {word(i, 2)} {word(i, 3)} alone\n{x}") for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in loglines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sorted(i for i, t in got.items() if len(t) == 2) == [0, 12, 24, 36, 48]
+
+
 def test_toxicity(odd, none, labels):
     got = toxic.toxicity(odd.drop("score"), labels).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
