@@ -19,13 +19,18 @@ RECURS = 5
 CONSTANT = 0.7
 #: What makes a token variable by its look (fixed pattern): a digit, an address, a URL.
 VARIABLE = r"\S*(?:[0-9@]|://)\S*"
+#: A variable token once masked, and a token with a letter in a masked line: what makes a line figures, or text.
+MASK, LETTERED = r"<\*>", r"[^ ]*\p{L}[^ ]*"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """A line with variable tokens as <*>, its white space as single blanks."""
+    """A line with variable tokens as <*>, its white space as single blanks. A line of more variable tokens than words is
+    figures, a table's row or a date: it stays as it is, so that it equals its own copies alone."""
     plain = F.trim(F.regexp_replace(line, BLANKS, " "))
-    return F.when(plain.rlike("[0-9@]|://"), F.regexp_replace(plain, VARIABLE, "<*>")).otherwise(plain)
+    general = F.regexp_replace(plain, VARIABLE, "<*>")
+    figures = F.regexp_count(general, F.lit(MASK)) > F.regexp_count(general, F.lit(LETTERED))
+    return F.when(plain.rlike("[0-9@]|://"), F.when(figures, plain).otherwise(general)).otherwise(plain)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -39,7 +44,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "_k", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     rows = rows.select("doc_id", "_k", "nth", masked(F.col("line")).alias("m")).withColumn("tok", F.split("m", " "))
     rows = rows.where(F.size("tok") >= LEAST_TOKENS)
-    return rows.select("doc_id", "_k", "nth", F.xxhash64(F.size("tok"), F.slice("tok", 1, DEPTH)).alias("leaf"), F.xxhash64("m").alias("full"))
+    path = F.when(F.col("m").rlike("[0-9@]|://"), F.col("tok")).otherwise(F.slice("tok", 1, DEPTH))  # figures share no leaf
+    return rows.select("doc_id", "_k", "nth", F.xxhash64(F.size("tok"), path).alias("leaf"), F.xxhash64("m").alias("full"))
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -220,6 +220,13 @@ def test_loglines_finds_several_templates_of_a_leaf(spark):
     assert sorted(i for i, t in got.items() if len(t) == 2) == [0, 12, 24, 36, 48]
 
 
+def test_loglines_keeps_figures_that_differ(spark):
+    rows = lambda i: f"{i} {i * i} {7 * i}\n| {i} | {i + 1} | {i + 2} |\nJan {i + 1} 2024 10:{i + 10}\n1 2 3 4 5 6 {i}"
+    docs = [(i, f"{rows(i)}\n1 2 3\nPage {i} of 20\nCopyright 20{i:02d} by Houses") for i in range(8)]
+    got = {r["doc_id"]: r["text"] for r in loglines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: rows(i) if i else t for i, t in docs}
+
+
 def test_toxicity(odd, none, labels):
     got = toxic.toxicity(odd.drop("score"), labels).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
