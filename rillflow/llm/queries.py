@@ -16,7 +16,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_tokenfile(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    files = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary or tokenizer("byte_bpe_50k.json"), end_id=2)
+    files = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary or tokenizer("byte_bpe_50k.json"), end_id=2, special=True)
     return tokenfile.read(files)
 
 

@@ -125,15 +125,17 @@ class Encoder:
     Texts fall apart where a piece of the library's own pre-split always begins: at a blank or line end between two
     characters that are not white space, after that line end, and where an ASCII letter is followed by another kind of
     ASCII character. Cutting and looking up works on all bytes of a batch at once: parts are known by two 64-bit hashes
-    and their length. A text with white space outside ASCII goes to the library whole.
+    and their length. A text with white space outside ASCII goes to the library whole, and so does one that holds an added
+    token's content where special is set: special strings are then the library's special ids, as by its defaults.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if special else []
         self.powers = []
         for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             self.powers.append([np.uint64(base), np.uint64(pow(base, -1, 1 << 64)), np.ones(1, np.uint64), np.ones(1, np.uint64)])
@@ -222,29 +224,31 @@ class Encoder:
         """(all ids, number of ids of each text)"""
         if len(self.len) > REMEMBER:
             self.forget()
-        if any(not t.isascii() and WIDE_SPACE(t) or not t for t in texts) or any(ODD_CONTROL(t) for t in texts):
-            own = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) if not t else self.library([t]) if WIDE_SPACE(t) or ODD_CONTROL(t) else self.parts([t]) for t in texts]
+        holds = lambda t: any(x in t for x in self.added)
+        if any(not t.isascii() and WIDE_SPACE(t) or not t for t in texts) or any(ODD_CONTROL(t) or holds(t) for t in texts):
+            own = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) if not t else self.library([t]) if WIDE_SPACE(t) or ODD_CONTROL(t) or holds(t) else self.parts([t]) for t in texts]
             return np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own])
         return self.parts(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool) -> Encoder:
+    return Encoder(path, special)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens", special: bool = False) -> DataFrame:
     """The file set of docs (doc_id, text), in ascending doc_id order: part by part, chunk by chunk.
 
-    Null and empty texts have the end id alone; a null doc_id comes first; rows of one doc_id are ordered by text. Only
-    the two named columns are read. One range shuffle of the texts; each task holds one chunk. An empty table gives none.
+    Special strings in a text are ordinary text, or with special the library's special ids. Null and empty texts have the
+    end id alone; a null doc_id comes first; rows of one doc_id are ordered by text. Only the two named columns are read.
+    One range shuffle of the texts; each task holds one chunk. An empty table gives none.
     """
     n = partitions(docs.sparkSession)
     dealt = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     out_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary()), ("wide", pa.binary())])
 
     def encode(batches):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, special), TaskContext.get().partitionId()
         chunk = before = 0
         held, held_ids, held_lens, total = [], [], [], 0
 

@@ -39,6 +39,19 @@ def test_tokenfile(odd, none):
     assert tokenfile.read(tokenfile.write(none, tokenizer("byte_bpe_50k.json"), 2)).collect() == []
 
 
+def test_tokenfile_query_gives_the_library_s_own_ids(odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    from rillflow.llm.queries import op1_tokenfile
+
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for _, t in texts(odd)]
+    assert any(50256 in ids for ids in want)
+    got = sorted(op1_tokenfile(odd.sparkSession, str(tmp_path)).collect(), key=lambda r: r["start"])
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))) for ids in want]
+
+
 def test_pieces(odd, none):
     import sentencepiece
 
