@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, prefilter, residue
 
-#: Lines of fewer tokens are never templates.
-LEAST_TOKENS = 3
-#: Leading tokens that make the path below the token count.
-DEPTH = 4
-#: A template recurs if this many documents have it.
-RECURS = 5
-#: Share of positions that must be constant over a leaf for its template to stand for its lines.
+#: Leading tokens that make the path below the token count, and blocks of the tokens behind them.
+DEPTH, BLOCKS = 4, 4
+#: A template recurs if this many documents have it; a line of LONG tokens or more recurs as it is in LONG_RECURS.
+RECURS, LONG, LONG_RECURS = 5, 50, 2
+#: Share of positions that must be constant for a template to stand for its lines.
 CONSTANT = 0.7
+#: Lines of fewer tokens need a letter to be templates: what is left is figures and layout.
+LEAST_TOKENS = 3
 #: What makes a token variable by its look (fixed pattern): a digit, an address, a URL.
 VARIABLE = r"\S*(?:[0-9@]|://)\S*"
 #: A variable token once masked, and a token with a letter in a masked line: what makes a line figures, or text.
 MASK, LETTERED = r"<\*>", r"[^ ]*\p{L}[^ ]*"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: White space that makes a line need squeezing before it is cut at single blanks.
+ODD_BLANKS = ("  ", "\t", "\r", "\x0b", "\x0c")
+
+
+def masked(text: Column) -> Column:
+    """The lines of a text, each with variable tokens as <*> and its white space as single blanks. A line of more variable
+    tokens than words is figures, a table's row or a date: it stays as it is, so that it equals its own copies alone."""
+
+    def squeezed(line):
+        odd = line.contains(ODD_BLANKS[0])
+        for b in ODD_BLANKS[1:]:
+            odd = odd | line.contains(b)
+        return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
 
+    def general(plain):
+        hidden = F.regexp_replace(plain, VARIABLE, "<*>")
+        figures = F.regexp_count(hidden, F.lit(MASK)) > F.regexp_count(hidden, F.lit(LETTERED))
+        return F.when(plain.rlike("[0-9@]|://"), F.when(figures, plain).otherwise(hidden)).otherwise(plain)
 
-def masked(line: Column) -> Column:
-    """A line with variable tokens as <*>, its white space as single blanks. A line of more variable tokens than words is
-    figures, a table's row or a date: it stays as it is, so that it equals its own copies alone."""
-    plain = F.trim(F.regexp_replace(line, BLANKS, " "))
-    general = F.regexp_replace(plain, VARIABLE, "<*>")
-    figures = F.regexp_count(general, F.lit(MASK)) > F.regexp_count(general, F.lit(LETTERED))
-    return F.when(plain.rlike("[0-9@]|://"), F.when(figures, plain).otherwise(general)).otherwise(plain)
+    return F.transform(F.transform(F.split(text, "\n"), squeezed), general)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -38,133 +49,193 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64("doc_id", "text"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """A row for each line of keyed docs: doc_id, _k, nth, leaf and full, hashes of the line's path in the tree and of the
-    whole masked line. Lines of fewer than LEAST_TOKENS tokens are left out."""
-    rows = docs.select("doc_id", "_k", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    rows = rows.select("doc_id", "_k", "nth", masked(F.col("line")).alias("m")).withColumn("tok", F.split("m", " "))
-    rows = rows.where(F.size("tok") >= LEAST_TOKENS)
-    path = F.when(F.col("m").rlike("[0-9@]|://"), F.col("tok")).otherwise(F.slice("tok", 1, DEPTH))  # figures share no leaf
-    return rows.select("doc_id", "_k", "nth", F.xxhash64(F.size("tok"), path).alias("leaf"), F.xxhash64("m").alias("full"))
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, _k, ls) of keyed docs: ls has a struct for each line that may be a template, sorted by full, also, nth.
+
+    full and also are two hashes of the masked line, nth its number, n its tokens, p1.. hashes of its leading tokens and
+    b0.. of the blocks of the rest, for lines that may have variable tokens. A document's lines are looked at once.
+    """
+    cells = F.transform(masked(F.col("text")), lambda m, i: F.struct(m.alias("m"), F.split(m, " ").alias("t"), i.alias("nth")))
+
+    def row(c, i):
+        n = F.size(c["t"])
+        cut = [DEPTH + F.floor((n - DEPTH) * F.lit(q) / F.lit(BLOCKS)).cast("int") for q in range(BLOCKS + 1)]
+        figures = c["m"].rlike("[0-9@]|://")  # only lines of figures still have these: they share no template
+        size = F.when(figures, F.lit(0)).otherwise(n)
+        lead = [F.when(size >= DEPTH, F.xxhash64(F.get(c["t"], F.lit(i)))) for i in range(DEPTH)]
+        block = [F.when((size >= DEPTH) & (cut[q + 1] > cut[q]), F.xxhash64(F.slice(c["t"], cut[q] + 1, cut[q + 1] - cut[q]))) for q in range(BLOCKS)]
+        wide = [F.xxhash64(c["m"]).alias("full"), F.xxhash64(F.lit("second"), c["m"]).alias("also")]
+        return F.struct(*wide, i.alias("nth"), n.alias("n"), *[x.alias(f"p{i}") for i, x in enumerate(lead)], *[x.alias(f"b{i}") for i, x in enumerate(block)])
+
+    usable = lambda c: (F.length(c["m"]) > 0) & ((F.size(c["t"]) >= LEAST_TOKENS) | c["m"].rlike(r"\p{L}"))
+    rows = F.transform(F.filter(cells, usable), lambda c: row(c, c["nth"]))
+    return docs.select("doc_id", "_k", F.sort_array(rows).alias("ls"))
+
+
+def variables(n: Column) -> Column:
+    """How many of n positions may vary."""
+    return F.floor((1 - CONSTANT) * n + 1e-9)
+
+
+def paths() -> Column:
+    """The paths of a kind (n, p0, p1, ...) below its token count: its leading tokens, as they are and with one or two of
+    them as the wildcard child, where so many positions may vary."""
+    out = []
+    for wild in [(), *combinations(range(DEPTH), 1), *combinations(range(DEPTH), 2)]:
+        path = F.xxhash64(F.lit(sum(1 << i for i in wild)), "n", *[f"p{i}" for i in range(DEPTH) if i not in wild])
+        out.append(F.when(variables(F.col("n")) >= len(wild), path))
+    return F.explode(F.array_compact(F.array(*out)))
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((leaf, full, first) of every kind of line that a recurring template covers, all lines as hashes).
-
-    docs is keyed. The tree's levels are the token count and the first DEPTH tokens, variable ones generalised. Lines are
-    first reduced to hashes and counted by kind (equal masked lines), so a line that a third of all documents have is one
-    row. A kind that RECURS documents have is a template of its own. In a leaf of several kinds that RECURS documents
-    reach together, the tokens of one line of each kind are looked at: a position is constant if one token holds it in at
-    least half of the leaf's documents, and a kind is covered if at least CONSTANT of its positions carry the constant
-    token. What is not covered is parted by its most frequent further tokens and looked at again, part by part, until no
-    part recurs, so that a leaf may hold several templates. first is the least (doc_id, row, line) of a template; that line stays.
+    """((full, also, template) of every kind of line that a recurring template may cover, the lines of docs as hashes).
+
+    docs is keyed. Lines are first reduced to hashes and counted by kind (equal masked lines, once a document), so a line
+    that a third of all documents have is one row. A kind that recurs is a template of its own.
+
+    The tree: token count, then DEPTH leading tokens, each as it is or as the wildcard child, then one block of the
+    tokens behind them. A node that RECURS documents do not reach, or a single kind, is cut off as soon as it is counted;
+    so only kinds that resemble others reach a leaf. There a token is constant in a position if RECURS documents of the
+    leaf have it there, other positions are variable, and kinds of the same constants are one template, of which a leaf
+    may have many, if CONSTANT of the positions are constant. A kind in several templates goes to the one of most documents.
     """
-    narrow = materialise(lines_of(docs), "lines")
-    kinds = narrow.groupBy("leaf", "full", "doc_id", "_k").agg(F.min("nth").alias("nth"))
-    kinds = kinds.groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "_k", "nth")).alias("first"))
+    narrow = materialise(hashed(docs), "lines")
+    new = lambda x, i: (i == 0) | (x["full"] != F.get(F.col("ls"), i - 1)["full"]) | (x["also"] != F.get(F.col("ls"), i - 1)["also"])
+    kinds = narrow.select("_k", F.explode(F.filter("ls", new)).alias("x")).select("_k", "x.*")
+    path = ["n", *[f"p{i}" for i in range(DEPTH)], *[f"b{i}" for i in range(BLOCKS)]]
+    kinds = kinds.groupBy("full", "also").agg(F.count("*").alias("docs"), F.min("_k").alias("_k"), *[F.first(c).alias(c) for c in path])
     kinds = materialise(kinds, "kinds")
-    leaves = kinds.groupBy("leaf").agg(F.sum("docs").alias("reach"), F.count("*").alias("kinds")).where((F.col("reach") >= RECURS) & (F.col("kinds") > 1))
-    own = kinds.where(F.col("docs") >= RECURS).select("leaf", "full", F.col("first").alias("own"))
-    at = kinds.join(leaves.select("leaf", "reach"), "leaf").select(F.col("first._k").alias("_k"), F.struct("leaf", "full", "docs", "first", "reach").alias("a"))
-    at = materialise(at, "mixed")
-    texts = prefilter(docs.select("_k", "doc_id", "text"), at, "_k").dropDuplicates(["_k", "doc_id"])
-    words = at.join(texts, "_k").where(F.col("doc_id").eqNullSafe(F.col("a.first.doc_id")))
-    words = words.select("a.*", F.split(masked(F.element_at(F.split("text", "\n"), F.col("a.first.nth") + 1)), " ").alias("tok"))
-    words = materialise(words, "words")
-    parts, left = [], words.select(F.col("leaf").alias("g"), "leaf", "full", "docs", "first", "tok")
-    while True:
-        cells = left.select("g", "leaf", "full", "docs", "first", F.size("tok").alias("size"), F.posexplode("tok").alias("pos", "t"))
-        reach = left.groupBy("g").agg(F.sum("docs").alias("reach"))
-        const = cells.groupBy("g", "pos", "t").agg(F.sum("docs").alias("n")).join(reach, "g").where(2 * F.col("n") >= F.col("reach") + (1 if parts else 0))  # in a part a token of exactly half would mix two templates
-        const = const.groupBy("g", "pos").agg(F.max_by("t", F.struct("n", "t")).alias("t"))
-        hits = cells.join(const, ["g", "pos", "t"])
-        covered = hits.groupBy("g", "leaf", "full").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("docs").alias("docs"), F.first("first").alias("first")).where(F.col("n") >= CONSTANT * F.col("size"))
-        group = covered.groupBy("g").agg(F.sum("docs").alias("docs"), F.min("first").alias("all")).where(F.col("docs") >= RECURS)
-        covered = materialise(covered.join(group.select("g", "all"), "g").select("g", "leaf", "full", "all"), "covered")
-        parts.append(covered.select("leaf", "full", "all"))
-        left = materialise(parted(left, covered), "parted")
-        if left.isEmpty():
-            break
-    covered = reduce(DataFrame.unionByName, parts)
-    return own.join(covered, ["leaf", "full"], "full").select("leaf", "full", F.coalesce("all", "own").alias("first")), narrow
-
-
-def parted(left: DataFrame, covered: DataFrame) -> DataFrame:
-    """The kinds of left that are not covered, each in the part of its group that shares its most frequent (position, token).
-
-    A token that all of a group have parts it only from kinds that were covered, so every part is smaller than its group.
-    Kinds without a further token that RECURS documents share, and parts that RECURS documents do not reach, go.
+    own = kinds.where((F.col("docs") >= RECURS) | (F.col("n") >= LONG) & (F.col("docs") >= LONG_RECURS)).select("full", "also")
+    live = F.sum("docs") >= RECURS
+    reached = lambda rows, node: rows.groupBy(node).agg(F.count("*").alias("_kinds"), live.alias("_live")).where("_live and _kinds > 1").select(node)
+    tree = kinds.where((F.col("n") >= DEPTH) & F.col("p0").isNotNull()).select("full", "also", "_k", "docs", "n", *[f"b{i}" for i in range(BLOCKS)], paths().alias("node"))
+    tree = prefilter(tree, materialise(reached(tree, "node"), "nodes"), "node")
+    blocks = F.array_compact(F.array(F.when(F.col("n") == DEPTH, F.xxhash64("node")), *[F.when(F.col(f"b{i}").isNotNull(), F.xxhash64("node", F.lit(i), f"b{i}")) for i in range(BLOCKS)]))
+    leaves = materialise(tree.select("full", "also", "_k", "docs", "n", F.explode(blocks).alias("leaf")), "leaves")
+    ripe = leaves.groupBy("leaf").agg(F.count("*").alias("_kinds"), live.alias("_live"), F.bit_xor(F.xxhash64("full", "also")).alias("_who")).where("_live and _kinds > 1")
+    ripe = ripe.groupBy("_who", "_kinds").agg(F.min("leaf").alias("leaf")).select("leaf")  # leaves of the same kinds are one
+    leaves = materialise(leaves.join(ripe, "leaf", "left_semi"), "ripe")
+    tokens = tokens_of(docs, leaves.select("full", "also", "_k").distinct())
+    cells = leaves.select("leaf", "full", "also", "docs", "n").join(tokens, ["full", "also"])
+    cells = cells.select("leaf", "full", "also", "line", "docs", "n", F.posexplode("t").alias("pos", "t"))
+    cells = materialise(cells, "cells")
+    const = cells.groupBy("leaf", "pos", "t").agg(live.alias("_live")).where("_live").select("leaf", "pos", "t")
+    same = F.bit_xor(F.xxhash64("pos", "t")).alias("sig")
+    found = cells.join(const, ["leaf", "pos", "t"]).groupBy("leaf", "full", "also").agg(F.count("*").alias("c"), same, *[F.first(x).alias(x) for x in ("n", "docs", "line")])
+    found = found.where(F.col("n") - F.col("c") <= variables(F.col("n")))
+    found = materialise(found.select("full", "also", "line", "docs", F.xxhash64("n", "sig").alias("template")).distinct(), "found")
+    reach = found.groupBy("template").agg(F.sum("docs").alias("reach"), F.count("*").alias("_kinds"), F.bit_xor("line").alias("who"))
+    reach = reach.where((F.col("reach") >= RECURS) & (F.col("_kinds") > 1))
+    best = found.join(reach, "template").groupBy("full", "also").agg(F.max(F.struct("reach", "who", "template"))["template"].alias("template"))
+    both = own.join(best, ["full", "also"], "full")
+    return both.select("full", "also", F.coalesce("template", F.xxhash64(F.lit("own"), "full")).alias("template"), F.col("template").isNull().alias("alone")), narrow
+
+
+def tokens_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(full, also, line, t) of kinds (full, also, _k), from the document _k: 60 bits of the line's md5, its tokens' hashes."""
+    texts = prefilter(docs.select("_k", "text"), kinds, "_k")
+    lines = texts.select("_k", F.explode(F.array_distinct(masked(F.col("text")))).alias("m"))
+    lines = lines.select("_k", F.xxhash64("m").alias("full"), F.xxhash64(F.lit("second"), "m").alias("also"), "m")
+    lines = lines.join(kinds, ["full", "also", "_k"], "left_semi")
+    md5 = F.conv(F.substring(F.md5("m"), 1, 15), 16, 10).cast("long")
+    return lines.groupBy("full", "also").agg(F.first("m").alias("m")).select("full", "also", md5.alias("line"), F.transform(F.split("m", " "), lambda x: F.xxhash64(x)).alias("t"))
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """(_k, doc_id, drop) of keyed docs that lose lines: drop has their numbers, ascending.
+
+    A template that fewer documents than RECURS have after all (a line may repeat within one) is none. The first line of
+    the others, by (doc_id, row, line), stays.
     """
-    rest = left.join(covered.select("leaf", "full"), ["leaf", "full"], "left_anti")
-    rest = rest.join(covered.select("g", F.lit(True).alias("less")).distinct(), "g", "left")
-    reach = rest.groupBy("g").agg(F.sum("docs").alias("reach")).where(F.col("reach") >= RECURS)
-    cells = rest.join(reach, "g").select("g", "leaf", "full", "docs", "reach", "less", F.posexplode("tok").alias("pos", "t")).where(F.col("pos") >= DEPTH)
-    often = cells.groupBy("g", "pos", "t").agg(F.sum("docs").alias("n"), F.first("reach").alias("reach"), F.first("less").alias("less"))
-    often = often.where((F.col("n") >= RECURS) & (F.col("less").isNotNull() | (F.col("n") < F.col("reach")))).select("g", "pos", "t", "n")
-    best = cells.select("g", "leaf", "full", "pos", "t").join(often, ["g", "pos", "t"]).groupBy("g", "leaf", "full").agg(F.max_by(F.struct("pos", "t"), F.struct("n", -F.col("pos"), "t")).alias("best"))
-    out = rest.join(best, ["g", "leaf", "full"]).select(F.xxhash64("g", "best.pos", "best.t").alias("g"), "leaf", "full", "docs", "first", "tok")
-    return out.join(out.groupBy("g").agg(F.sum("docs").alias("reach")).where(F.col("reach") >= RECURS).select("g"), "g", "left_semi")
+    templates, narrow = recurring(docs)
+    lines = narrow.select("doc_id", "_k", F.explode("ls").alias("x")).select("doc_id", "_k", "x.full", "x.also", "x.nth")
+    lines = materialise(lines.join(templates, ["full", "also"]).select("template", "alone", "doc_id", "_k", "nth"), "covered")
+    each = lines.groupBy("template", "alone", "doc_id", "_k").agg(F.min("nth").alias("nth"))
+    good = each.groupBy("template", "alone").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "_k", "nth")).alias("first")).where(F.col("alone") | (F.col("docs") >= RECURS))
+    gone = lines.join(good.select("template", "first"), "template").where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
+    return gone.groupBy("_k", F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("nth")).alias("_drop"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text without the lines of recurring templates, and n_lines, n_dropped (long).
 
-    A template that RECURS documents or more have is kept at its first line by doc_id (nulls first) and dropped
-    elsewhere. Null text stays null with no lines; an empty text has one; lines of under LEAST_TOKENS tokens always stay;
-    rows of equal doc_id and text are treated alike; other columns pass through, n_chars follows the text. An empty table
-    gives no rows. Only texts that may lose a line are shuffled.
+    A template that RECURS documents or more have (one of LONG tokens, word for word, LONG_RECURS) is kept at its first
+    line by doc_id (nulls first) and dropped elsewhere. Null text stays null with no lines; an empty text has one; empty
+    lines, and lines of under LEAST_TOKENS tokens without a letter, always stay; rows of equal doc_id and text are treated
+    alike; other columns pass through, n_chars follows the text; columns named n_lines or n_dropped are replaced. An empty
+    table gives no rows. Only texts that may lose a line are shuffled, and the work is in proportion to lines and tokens.
     """
     names = docs.columns
     flat = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), "doc_id", "text"))
-    gone, narrow = recurring(flat.select("doc_id", "text", "_k"))
-    drop = narrow.join(gone, ["leaf", "full"]).where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
-    drop = materialise(drop.groupBy("_k", F.col("doc_id").alias("_i")).agg(F.collect_list("nth").alias("_drop")), "drop")
-    small = F.broadcast(drop.select(residue("_k").alias("_res")).distinct())  # at most RESIDUES rows
+    drop = materialise(dropped(flat.select("doc_id", "text", "_k")), "drop")
+    # a flag for each line up to the last that goes, put together from the gaps between them
+    gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), (x - F.coalesce(F.get(F.col("_drop"), i - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(True)))
+    flags = drop.select("_k", "_i", F.size("_drop").alias("_n"), F.flatten(F.transform("_drop", gap)).alias("_flags"))
+    small = F.broadcast(materialise(drop.select(residue("_k").alias("_res")).distinct(), "residues"))  # at most RESIDUES rows
     flat = flat.select("_d", "doc_id", "text", "_k", residue("_k").alias("_res"))
-    may = flat.join(small, "_res", "left_semi").alias("f").join(drop.alias("x"), (F.col("f._k") == F.col("x._k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left").select("_d", "text", "_drop")
-    out = may.unionByName(flat.join(small, "_res", "left_anti").select("_d", "text", F.lit(None).cast("array<int>").alias("_drop")))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.greatest(F.lit(0), F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long")
+    may = flat.join(small, "_res", "left_semi").alias("f").join(flags.alias("x"), (F.col("f._k") == F.col("x._k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left").select("_d", "text", "_n", "_flags")
+    out = may.unionByName(flat.join(small, "_res", "left_anti").select("_d", "text", F.lit(None).cast("int").alias("_n"), F.lit(None).cast("array<boolean>").alias("_flags")))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
+    text = F.when(F.col("_n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     extra = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return out.select(*[extra.get(c, F.col(f"_d.`{c}`")).alias(c) for c in names], n.alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("_drop"), F.lit(0))).cast("long").alias("n_dropped"))
+    passed = [extra.get(c, F.col(f"_d.`{c}`")).alias(c) for c in names if c not in ("n_lines", "n_dropped")]
+    return out.select(*passed, F.greatest(F.lit(0), n).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"))
 
 
-#: op8's rows in DuckDB's SQL, with the same defaults, for tables whose doc_ids differ.
+#: op8's rows in DuckDB's SQL, on the lines themselves instead of hashes, for tables whose doc_ids differ.
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth
   FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, nth, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain FROM l),
-m AS (SELECT doc_id, nth, line, regexp_replace(plain, '[^ ]*([0-9@]|://)[^ ]*', '<*>', 'g') AS full_line FROM b),
-n AS (
-  SELECT doc_id, nth, full_line, tok, {'size': len(tok), 'path': tok[1:4]} AS leaf
-  FROM (SELECT *, string_split(full_line, ' ') AS tok FROM m) WHERE len(tok) >= 3),
+b AS (SELECT doc_id, nth, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain FROM l),
+h AS (SELECT *, regexp_replace(plain, '[^ ]*([0-9@]|://)[^ ]*', '<*>', 'g') AS hidden FROM b),
+f AS (
+  SELECT *, regexp_matches(plain, '[0-9@]|://')
+            AND len(regexp_extract_all(hidden, '<\*>')) > len(regexp_extract_all(hidden, '[^ ]*\p{L}[^ ]*')) AS figures
+  FROM h),
+m AS (
+  SELECT doc_id, nth, figures, m, string_split(m, ' ') AS tok
+  FROM (SELECT *, CASE WHEN figures THEN plain ELSE hidden END AS m FROM f)
+  WHERE m <> '' AND (len(string_split(m, ' ')) >= 3 OR regexp_matches(m, '\p{L}'))),
 k AS (
-  SELECT leaf, full_line, any_value(tok) AS tok, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'n': nth}) AS first_at
-  FROM n GROUP BY leaf, full_line),
-v AS (SELECT leaf, sum(docs) AS reach FROM k GROUP BY leaf HAVING sum(docs) >= 5 AND count(*) > 1),
-c AS (
-  SELECT k.leaf, full_line, docs, first_at, reach, len(tok) AS size, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos
-  FROM k JOIN v ON k.leaf = v.leaf),
+  SELECT m, any_value(tok) AS tok, any_value(len(tok)) AS n, bool_or(figures) AS figures, count(DISTINCT doc_id) AS docs,
+         ('0x' || substr(md5(m), 1, 15))::BIGINT AS line, floor(0.3::DOUBLE * any_value(len(tok)) + 1e-9) AS free
+  FROM m GROUP BY m),
+wild(w) AS (VALUES ([]::INTEGER[]), ([1]), ([2]), ([3]), ([4]), ([1, 2]), ([1, 3]), ([1, 4]), ([2, 3]), ([2, 4]), ([3, 4])),
+p AS (
+  SELECT m, docs, n, tok, [n::VARCHAR, w::VARCHAR] || [CASE WHEN list_contains(w, i) THEN '' ELSE tok[i] END for i in [1, 2, 3, 4]] AS node
+  FROM k, wild WHERE n >= 4 AND NOT figures AND len(w) <= free),
+pr AS (SELECT node FROM p GROUP BY node HAVING sum(docs) >= 5 AND count(*) > 1),
 q AS (
-  SELECT leaf, pos, arg_max(t, {'n': n, 't': t}) AS t
-  FROM (SELECT leaf, pos, t, sum(docs) AS n FROM c GROUP BY leaf, pos, t, reach HAVING 2 * sum(docs) >= reach) GROUP BY leaf, pos),
-h AS (
-  SELECT c.leaf, full_line, any_value(docs) AS docs, any_value(first_at) AS first_at
-  FROM c JOIN q ON c.leaf = q.leaf AND c.pos = q.pos AND c.t = q.t
-  GROUP BY c.leaf, full_line HAVING count(*) >= 0.7::DOUBLE * any_value(size)),
-g AS (SELECT leaf, min(first_at) AS first_at FROM h GROUP BY leaf HAVING sum(docs) >= 5),
-a AS (
-  SELECT k.leaf, k.full_line, coalesce(g.first_at, k.first_at) AS first_at
-  FROM k LEFT JOIN h ON k.leaf = h.leaf AND k.full_line = h.full_line LEFT JOIN g ON h.leaf = g.leaf
-  WHERE k.docs >= 5 OR g.leaf IS NOT NULL),
-x AS (SELECT doc_id, nth FROM n JOIN a ON n.leaf = a.leaf AND n.full_line = a.full_line WHERE {'d': doc_id, 'n': nth} <> first_at),
-s AS (
+  SELECT m, docs, n, tok, node || [q::VARCHAR] || tok[5 + q * (n - 4) // 4:4 + (q + 1) * (n - 4) // 4] AS leaf
+  FROM p SEMI JOIN pr USING (node), range(4) t(q)
+  WHERE (q + 1) * (n - 4) // 4 > q * (n - 4) // 4 OR n = 4 AND q = 0),
+qr AS (SELECT leaf FROM q GROUP BY leaf HAVING sum(docs) >= 5 AND count(*) > 1),
+c AS (
+  SELECT leaf, m, docs, n, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos FROM q SEMI JOIN qr USING (leaf)),
+s AS (SELECT leaf, pos, t FROM c GROUP BY leaf, pos, t HAVING sum(docs) >= 5),
+found AS (
+  SELECT DISTINCT m, docs, line, template
+  FROM (SELECT leaf, m, n || ' ' || string_agg(pos || ' ' || t, ' ' ORDER BY pos) AS template, count(*) AS constant
+        FROM c JOIN s USING (leaf, pos, t) GROUP BY leaf, m, n) JOIN k USING (m) WHERE n - constant <= free),
+r AS (
+  SELECT template, sum(docs) AS reach, bit_xor(line) AS who FROM found GROUP BY template HAVING sum(docs) >= 5 AND count(*) > 1),
+best AS (
+  SELECT m, arg_max(template, {'reach': reach, 'who': who, 'template': template}) AS template
+  FROM found JOIN r USING (template) GROUP BY m),
+own AS (SELECT m FROM k WHERE docs >= 5 OR n >= 50 AND docs >= 2),
+marked AS (SELECT m, coalesce(template, m) AS template, template IS NULL AS alone FROM own FULL JOIN best USING (m)),
+lines AS (SELECT doc_id, nth, template, alone FROM m JOIN marked USING (m)),
+good AS (
+  SELECT template, alone, min({'d': doc_id, 'n': nth}) AS first_at FROM lines GROUP BY template, alone
+  HAVING alone OR count(DISTINCT doc_id) >= 5),
+x AS (SELECT doc_id, nth FROM lines JOIN good USING (template, alone) WHERE {'d': doc_id, 'n': nth} <> first_at),
+o AS (
   SELECT l.doc_id, count(*) AS n_lines, count(x.nth) AS n_dropped,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.nth) FILTER (x.nth IS NULL), '') AS kept
   FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.nth = x.nth GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
        CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
-FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """

@@ -216,12 +216,56 @@ def test_loglines(odd, none):
     assert loglines.dedup(none).collect() == []
 
 
+def spelled(i, k=0):
+    return "".join("abcdefghij"[int(c)] for c in f"{i * 7919 + k:06d}")
+
+
+def lines_kept(spark, docs, columns="doc_id long, text string"):
+    return {r["doc_id"]: r["text"].split("\n") for r in loglines.dedup(spark.createDataFrame(docs, columns)).collect()}
+
+
 def test_loglines_drops_templates_but_the_first(spark):
-    own = lambda i: f"line {'abcdefghij'[i % 10]} of document number {'klmnopqrst'[i % 10]} alone"
-    docs = [(i, f"{own(i)} {i}x\nCopyright 20{i:02d} by the same house\nUser {'anna bert carl dora emil fred gina hans'.split()[i % 8]} logged in from home today") for i in range(8)]
-    got = {r["doc_id"]: r["text"].split("\n") for r in loglines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert sum(any("Copyright" in x for x in t) for t in got.values()) == 1 and any("Copyright" in x for x in got[0])
-    assert all(any(x.startswith("line") for x in t) for t in got.values())
+    own = lambda i: f"{spelled(i, 1)} {spelled(i, 2)} wrote {spelled(i, 3)} in {spelled(i, 4)} alone"
+    rest = lambda i: f"Copyright 20{i:02d} by the same house\nUser {spelled(i)} logged in from home today\nAccept cookies\nLog in\n\n}}\n{i}"
+    got = lines_kept(spark, [(i, f"{own(i)}\n{rest(i)}") for i in range(20)])
+    assert got == {i: f"{own(i)}\n{rest(i) if not i else chr(10) + '}' + chr(10) + str(i)}".split("\n") for i in range(20)}
+
+
+def test_loglines_generalises_leading_words(spark):
+    forms = ["By {} on the second page of news", "Dear {} {} welcome back to our little shop", "{} has sent you a new private message", "Posted in {} by our own staff writer {}"]
+    for form in forms:
+        lines = [form.format(spelled(i, 1), spelled(i, 2)) for i in range(12)]
+        got = lines_kept(spark, [(i, f"{spelled(i, 3)} {spelled(i, 4)}\n{x}") for i, x in enumerate(lines)])
+        assert [i for i, x in enumerate(lines) if x in got[i]] == [0], form
+
+
+def test_loglines_counts_documents_not_lines(spark):
+    list_of = lambda d: "\n".join(f"Item {spelled(i, d)} costs five gold coins here" for i in range(9))
+    docs = [(0, list_of(0)), (1, "another text"), (2, "Same words here\n" * 9)]
+    assert lines_kept(spark, docs) == {i: t.split("\n") for i, t in docs}
+    got = lines_kept(spark, [(i, list_of(i)) for i in range(5)])
+    assert got == {0: [list_of(0).split("\n")[0]], **{i: [""] for i in range(1, 5)}}
+
+
+def test_loglines_drops_long_lines_of_two_documents(spark):
+    long, short = " ".join(spelled(i) for i in range(60)), " ".join(spelled(i, 1) for i in range(40))
+    got = lines_kept(spark, [(i, f"{spelled(i, 2)} own\n{long}\n{short}") for i in range(2)])
+    assert got == {0: [f"{spelled(0, 2)} own", long, short], 1: [f"{spelled(1, 2)} own", short]}
+
+
+def test_loglines_of_many_lines_take_time_in_proportion(spark):
+    import time
+
+    docs = [(d, "\n".join(f"{spelled(i)} {spelled(i, 1)} recurs in all" for i in range(50_000))) for d in range(6)]
+    began = time.time()
+    got = loglines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, got)) == [(d, 50_000, 0 if not d else 50_000) for d in range(6)]
+    assert time.time() - began < 100
+
+
+def test_loglines_replaces_its_own_columns(spark):
+    got = loglines.dedup(spark.createDataFrame([(1, "a line", 7)], "doc_id long, text string, n_lines int"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"] and got.collect()[0]["n_lines"] == 1
 
 
 def test_loglines_finds_several_templates_of_a_leaf(spark):
