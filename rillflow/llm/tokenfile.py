@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, partitions, spread
+from .common import bounded, materialise, partitions, spread, texts_of
 
 BLOCK = 1024
 #: Fixed values of the format: selector -> (ids in a word, bits of an id); 0 is the escape and 1 is unused.
@@ -36,8 +36,10 @@ SPACE, LETTER, HIGH, OTHER = 0, 1, 2, 3
 KIND = np.array([SPACE if b in b" \t\n\r\x0b\x0c" else LETTER if bytes([b]).isalpha() else HIGH if b > 127 else OTHER for b in range(256)], np.uint8)
 #: Parts whose first positions are broadcast; beyond, the join is left to the planner.
 BROADCAST_PARTS = 100_000
-#: Distinct parts a worker remembers before it starts anew.
-REMEMBER = 2_500_000
+#: Distinct parts, and bytes of them, that a worker remembers before it starts anew.
+REMEMBER, REMEMBER_BYTES = 2_500_000, 1 << 26
+#: Bytes of parts that are looked up at a time; a longer part than LONG_PART goes to the library without being remembered.
+STRETCH, LONG_PART = 1 << 20, 1 << 16
 SCHEMA = "part int, chunk int, before long, doc_ids array<bigint>, lens array<bigint>, n_ids long, offsets binary, words binary, wide binary"
 
 
@@ -119,14 +121,103 @@ def unpack(offsets: np.ndarray, words: np.ndarray, wide: np.ndarray, n: int) ->
     return out[:n]
 
 
+class Grown:
+    """A numpy array that grows at its end, in amortised constant time."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            more = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : need] = values
+        self.n = need
+
+
+class Parts:
+    """What is known of parts of texts: bytes -> a number, by an open hash table that doubles when it is half full.
+
+    A part is found by a 64-bit hash and then compared byte by byte; parts whose hash another one has taken are kept by
+    their bytes in a dictionary.
+    """
+
+    def __init__(self):
+        self.bits = 12
+        self.key, self.code = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.raw, self.at, self.len = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
+        self.odd: dict[bytes, int] = {}
+
+    def __len__(self):
+        return self.at.n
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number that is filed under each key, -1 for keys that are free. A key is never 0."""
+        mask, pos = len(self.key) - 1, self.slot(keys)
+        there = self.key[pos]
+        more = np.nonzero((there != keys) & (there != 0))[0]
+        while len(more):
+            pos[more] = (pos[more] + 1) & mask
+            there[more] = self.key[pos[more]]
+            more = more[(there[more] != keys[more]) & (there[more] != 0)]
+        return np.where(there == keys, self.code[pos], -1)
+
+    def file(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        """File numbers under keys that differ and are all free."""
+        mask, pos = len(self.key) - 1, self.slot(keys)
+        while len(keys):
+            free = self.key[pos] == 0
+            self.key[pos[free]] = keys[free]
+            won = self.key[pos] == keys
+            self.code[pos[won]] = codes[won]
+            keys, codes, pos = keys[~won], codes[~won], (pos[~won] + 1) & mask
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Numbers for new parts raw[start:start+len]."""
+        first = len(self)
+        self.at.add(self.raw.n + np.cumsum(lens) - lens)
+        self.len.add(lens)
+        self.raw.add(raw[spread(starts, lens)])
+        return np.arange(first, len(self), dtype=np.int32)
+
+    def learn(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        used = np.nonzero(self.key)[0]
+        if 2 * (len(used) + len(keys)) > len(self.key):
+            old, numbers = self.key[used], self.code[used]
+            self.bits = max(self.bits + 1, int(2 * (len(used) + len(keys))).bit_length() + 1)
+            self.key, self.code = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self.file(old, numbers)
+        self.file(keys, codes)
+
+    def same(self, codes: np.ndarray, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Whether the part of each number has the bytes raw[cuts[i]:cuts[i+1]]."""
+        lens = np.diff(cuts)
+        ok = self.len.data[codes] == lens
+        if ok.all():
+            differs = self.raw.data[spread(self.at.data[codes], lens)] != raw[cuts[0] : cuts[-1]]
+            if differs.any():
+                ok[np.searchsorted(cuts - cuts[0], np.nonzero(differs)[0], "right") - 1] = False
+            return ok
+        for i in np.nonzero(ok)[0].tolist():  # a clash of lengths: rare, so one by one
+            a = self.at.data[codes[i]]
+            ok[i] = (self.raw.data[a : a + lens[i]] == raw[cuts[i] : cuts[i + 1]]).all()
+        return ok
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct part of the texts once.
 
     Texts fall apart where a piece of the library's own pre-split always begins: at a blank or line end between two
     characters that are not white space, after that line end, and where an ASCII letter is followed by another kind of
-    ASCII character. Cutting and looking up works on all bytes of a batch at once: parts are known by two 64-bit hashes
-    and their length. A text with white space outside ASCII goes to the library whole, and so does one that holds an added
-    token's content where special is set: special strings are then the library's special ids, as by its defaults.
+    ASCII character. Cutting and looking up works on all bytes of a stretch of parts at once; what is remembered is bounded
+    in parts and bytes, whatever the length of a text. A text with white space outside ASCII goes to the library whole, and
+    so does one that holds an added token's content where special is set: special strings are then the library's special
+    ids, as by its defaults.
     """
 
     def __init__(self, path: str, special: bool = False):
@@ -136,58 +227,65 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = not special
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if special else []
-        self.powers = []
-        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            self.powers.append([np.uint64(base), np.uint64(pow(base, -1, 1 << 64)), np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        self.up = self.down = np.ones(1, np.uint64)
         self.forget()
 
     def forget(self):
-        self.slots = 1 << 22
-        self.key, self.code = np.zeros(self.slots + 1024, np.uint64), np.zeros(self.slots + 1024, np.int32)
-        self.check, self.at, self.len, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.at, self.len, self.ids = Parts(), Grown(np.int64), Grown(np.int64), Grown(np.int64)
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, new), np.int64, len(new))
         return np.fromiter(chain.from_iterable(new), np.int64, int(lens.sum())), lens
 
-    def hashes(self, raw: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of raw[cuts[i]:cuts[i+1]]: differences of running sums of byte times power, moved to the start."""
-        out = []
-        for k, (base, inverse, up, down) in enumerate(self.powers):
-            if len(up) < len(raw) + 1:
-                n = len(raw) + (1 << 20)
-                self.powers[k][2] = up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]), dtype=np.uint64)
-                self.powers[k][3] = down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-            h = (run[cuts[1:]] - run[cuts[:-1]]) * down[cuts[:-1]] + (cuts[1:] - cuts[:-1]).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append(h ^ (h >> np.uint64(32)))
-        return out
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key, -1 for new ones."""
-        pos = (keys >> np.uint64(42)).astype(np.int64)
-        there = self.key[pos]
-        more = np.nonzero((there != keys) & (there != 0))[0]
-        while len(more):
-            pos[more] += 1
-            there[more] = self.key[pos[more]]
-            more = more[(there[more] != keys[more]) & (there[more] != 0)]
-        return np.where(there == keys, self.code[pos], -1)
-
-    def learn(self, keys: np.ndarray, first: int) -> None:
-        pos, codes = (keys >> np.uint64(42)).astype(np.int64), np.arange(first, first + len(keys), dtype=np.int32)
-        while len(keys):
-            free = self.key[pos] == 0
-            self.key[pos[free]] = keys[free]
-            won = self.key[pos] == keys
-            self.code[pos[won]] = codes[won]
-            keys, codes, pos = keys[~won], codes[~won], pos[~won] + 1
+    def hashes(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """A hash, not 0, of raw[cuts[i]:cuts[i+1]]: differences of running sums of byte times power, moved to the start."""
+        if len(self.up) < len(raw) + 1:
+            n, base = len(raw) + (1 << 20), 0x9E3779B97F4A7C15
+            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], dtype=np.uint64)])
+        h = (run[cuts[1:]] - run[cuts[:-1]]) * self.down[cuts[:-1]] + (cuts[1:] - cuts[:-1]).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h[h == 0] = 1
+        return h
+
+    def taught(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Numbers of new parts, whose ids come from the library."""
+        blob = raw.tobytes()
+        ids, many = self.library([blob[a : a + n].decode() for a, n in zip(starts.tolist(), lens.tolist(), strict=True)])
+        self.at.add(self.ids.n + np.cumsum(many) - many)
+        self.len.add(many)
+        self.ids.add(ids)
+        return self.known.add(raw, starts, lens)
+
+    def stretch(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each part) of the parts raw[cuts[i]:cuts[i+1]]."""
+        if len(cuts) == 2 and len(raw) > LONG_PART:
+            return self.library([raw.tobytes().decode()])
+        if len(self.known) > REMEMBER or self.known.raw.n > REMEMBER_BYTES:
+            self.forget()
+        with np.errstate(over="ignore"):
+            key = self.hashes(raw, cuts)
+        code = self.known.find(key)
+        missing = np.nonzero(code < 0)[0]
+        if len(missing):
+            uniq, which, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            which = missing[which]
+            new = self.taught(raw, cuts[which], cuts[which + 1] - cuts[which])
+            self.known.learn(uniq, new)
+            code[missing] = new[back]
+        for i in np.nonzero(~self.known.same(code, raw, cuts))[0].tolist():  # another part has this hash
+            part = raw[cuts[i] : cuts[i + 1]].tobytes()
+            if part not in self.known.odd:
+                self.known.odd[part] = int(self.taught(raw, cuts[i : i + 1], cuts[i + 1 : i + 2] - cuts[i : i + 1])[0])
+            code[i] = self.known.odd[part]
+        lens = self.len.data[code]
+        return self.ids.data[spread(self.at.data[code], lens)], lens
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        blob = "".join(texts).encode()
-        raw = np.frombuffer(blob, np.uint8)
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
         kind = KIND[raw]
         a, b = np.concatenate([[SPACE], kind[:-1]]), np.concatenate([kind[1:], [SPACE]])
         lone = ((kind == SPACE) & (a != SPACE) & (b != SPACE)) & ((raw == 32) | (raw == 10))
@@ -198,37 +296,23 @@ class Encoder:
         new[0] = True
         new[ends[:-1][ends[:-1] < len(raw)]] = True
         cuts = np.append(np.nonzero(new)[0], len(raw))
-        with np.errstate(over="ignore"):
-            key, check = self.hashes(raw, cuts)
-        key[key == 0] = 1
-        code = self.find(key)
-        missing = np.nonzero(code < 0)[0]
-        if len(missing):
-            uniq, which, back = np.unique(key[missing], return_index=True, return_inverse=True)
-            which = missing[which]
-            ids, lens = self.library([blob[i:j].decode() for i, j in zip(cuts[which].tolist(), cuts[which + 1].tolist(), strict=True)])
-            self.learn(uniq, len(self.len))
-            code[missing] = back + len(self.len)
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lens) - lens])
-            self.len = np.concatenate([self.len, lens])
-            self.check = np.concatenate([self.check, check[which]])
-            self.ids = np.concatenate([self.ids, ids])
-        if (self.check[code] != check).any():  # two parts with one hash: not to be told apart by it
-            return self.library(texts)
-        lens = self.len[code]
-        total = np.concatenate([[0], np.cumsum(lens)])
+        # stretches of about STRETCH bytes, and every part of over LONG_PART bytes on its own
+        step = (cuts[:-1] // STRETCH)[1:] != (cuts[:-1] // STRETCH)[:-1]
+        long = np.diff(cuts) > LONG_PART
+        edges = np.concatenate([[0], np.nonzero(step | long[1:] | long[:-1])[0] + 1, [len(cuts) - 1]])
+        got = [self.stretch(raw[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        total = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in got]))])
         upto = total[np.searchsorted(cuts, ends)]
-        return self.ids[spread(self.at[code], lens)], np.diff(upto, prepend=0)
+        return np.concatenate([x for x, _ in got]), np.diff(upto, prepend=0)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)"""
-        if len(self.len) > REMEMBER:
-            self.forget()
-        holds = lambda t: any(x in t for x in self.added)
-        if any(not t.isascii() and WIDE_SPACE(t) or not t for t in texts) or any(ODD_CONTROL(t) or holds(t) for t in texts):
-            own = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) if not t else self.library([t]) if WIDE_SPACE(t) or ODD_CONTROL(t) or holds(t) else self.parts([t]) for t in texts]
+        whole = lambda t: WIDE_SPACE(t) or ODD_CONTROL(t) or any(x in t for x in self.added)
+        none = np.zeros(0, np.int64)
+        if any(not t or not t.isascii() and WIDE_SPACE(t) or ODD_CONTROL(t) or any(x in t for x in self.added) for t in texts):
+            own = [(none, np.zeros(1, np.int64)) if not t else self.library([t]) if whole(t) else self.parts([t]) for t in texts]
             return np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own])
-        return self.parts(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return self.parts(texts) if texts else (none, none)
 
 
 @lru_cache(maxsize=1)
@@ -244,8 +328,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens", spe
     One range shuffle of the texts; each task holds one chunk. An empty table gives none.
     """
     n = partitions(docs.sparkSession)
-    dealt = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    out_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary()), ("wide", pa.binary())])
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, first).sortWithinPartitions(first, "text")
+    longs = pa.list_(pa.int64())
+    kinds = {"part": pa.int32(), "chunk": pa.int32(), "before": pa.int64(), "doc_ids": longs, "lens": longs, "n_ids": pa.int64()}
+    out_schema = pa.schema([*kinds.items(), *[(c, pa.binary()) for c in ("offsets", "words", "wide")]])
 
     def encode(batches):
         enc, part = encoder(tokenizer, special), TaskContext.get().partitionId()
@@ -261,20 +348,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens", spe
             return pa.RecordBatch.from_pylist([row], schema=out_schema)
 
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                size, upto = 0, at
-                while upto < len(texts) and size < 1 << 20:
-                    size += len(texts[upto])
-                    upto += 1
-                ids, lens = enc(texts[at:upto])
-                ends = np.cumsum(lens)
-                held_ids.append(np.insert(ids, ends, end_id))
-                held += keys[at:upto]
+            keys = batch.column("doc_id").to_pylist()
+            for at, texts in texts_of(batch, "text"):
+                ids, lens = enc(texts)
+                held_ids.append(np.insert(ids, np.cumsum(lens), end_id))
+                held += keys[at : at + len(texts)]
                 held_lens += (lens + 1).tolist()
                 total += len(ids) + len(lens)
-                at = upto
                 if total >= CHUNK:
                     yield out()
         if held:

@@ -52,6 +52,56 @@ def test_tokenfile_query_gives_the_library_s_own_ids(odd, tmp_path):
     assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))) for ids in want]
 
 
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    return [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenfile_compares_parts_of_one_hash_by_bytes():
+    word = "a"
+    while len(word) < 4096:  # the Thue-Morse word and its complement have one polynomial hash, whatever the base
+        word += word.translate(str.maketrans("ab", "ba"))
+    encoder, texts = tokenfile.Encoder(tokenizer("byte_bpe_50k.json"), True), []
+    for n in (1024, 2048, 4096):
+        one, other = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+        texts += [one, other, f"{other} {one} x {other}", one]
+    for given in (texts, texts[::-1], texts):
+        ids, lens = encoder(given)
+        want = library_ids(given)
+        assert ids.tolist() == [i for x in want for i in x] and lens.tolist() == [len(x) for x in want]
+    assert encoder.known.odd
+
+
+def test_tokenfile_of_a_text_of_millions_of_parts(monkeypatch):
+    import time
+
+    import numpy as np
+
+    encoder = tokenfile.Encoder(tokenizer("byte_bpe_50k.json"), True)
+    monkeypatch.setattr(encoder, "library", lambda parts: (np.fromiter(map(len, parts), np.int64, len(parts)), np.ones(len(parts), np.int64)))
+    began = time.time()
+    ids, lens = encoder([" ".join(map(str, range(5_000_000)))])
+    assert lens.tolist() == [5_000_000] and ids.sum() == sum(len(str(i)) + 1 for i in range(5_000_000)) - 1
+    assert time.time() - began < 60 and len(encoder.known) <= tokenfile.REMEMBER + tokenfile.STRETCH
+
+
+def test_tokenfile_packs_ids_of_any_width():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for wide in (0, 1, 50):
+        ids = np.concatenate([draw.integers(0, 1 << b, 700, dtype=np.uint64) for b in (1, 8, 17, 33, 59)])
+        ids[draw.choice(len(ids), wide, replace=False)] = draw.integers(1 << 60, (1 << 64) - 1, wide, dtype=np.uint64)
+        offsets, words, escapes = tokenfile.pack(ids)
+        assert len(escapes) == wide == (words >> np.uint64(60) == 0).sum() and len(offsets) == -(-len(ids) // tokenfile.BLOCK) + 1
+        assert (tokenfile.unpack(offsets, words, escapes, len(ids)) == ids).all()
+        b = len(offsets) // 2  # a block alone
+        part = words[offsets[b - 1] : offsets[b]]
+        assert (tokenfile.unpack(np.array([0, len(part)]), part, escapes, tokenfile.BLOCK) == ids[(b - 1) * tokenfile.BLOCK : b * tokenfile.BLOCK]).all()
+
+
 def test_pieces(odd, none):
     import sentencepiece
 
