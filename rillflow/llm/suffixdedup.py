@@ -8,12 +8,12 @@ that occur in more than one place, and the windows of one anchor are a run of ne
    (each once, so that a line that a third of all documents share costs one entry a group, not one a document).
 2. Each range answers with the anchors that several groups have, or one group several times.
 3. Each group sends the contexts of those anchors, equal contexts once, with the least doc_id that has them.
-4. In each range, contexts that are equal become one with its least doc_id; one that is then alone under its anchor meets
-   no other string. The rest get suffix arrays of their starts, batch by batch. A batch is merge-scanned against the existing
-   levels for strings of the full length; what no level has becomes a level of its own, and levels of about equal size
-   merge, so that n suffixes lie in at most log2(n) levels. Arrays are ordered by a 64-bit hash of the 50 bytes instead
-   of the bytes, which keeps equal strings adjacent and lets a scan run on machine words; a match counts only after its
-   bytes are compared. The answer to a group is a bit for each start: does a smaller doc_id have this string?
+4. In each range, the contexts of one group after the other get a suffix array, lexicographic, and are merge-scanned
+   against the levels before it; equal ones become one with the least doc_id, what no level has becomes a level of its
+   own, and levels of about equal size merge, so that n suffixes lie in at most log2(n) levels. A context that is alone
+   under its anchor meets no other string. The starts of the rest go through a second such family, of suffixes of 50
+   bytes: neighbours in a merge that share all 50 are one string. The answer to a group is a bit for each start: does a
+   smaller doc_id have this string?
 5. Each group marks the bytes that matched strings cover.
 
 The texts' shuffle (by group) is one exchange that steps 1, 3 and 5 share. Groups and ranges are sized by bytes; nothing
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, released
+from .common import partitions, released, spread
 
 LENGTH = 50
 ANCHOR = 20
@@ -112,86 +112,80 @@ def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def cut_strings(raw: np.ndarray, at: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
+    """raw[at:at+len] as strings of width+1 bytes, padded with zeros, the length in the last byte so that padding counts."""
+    out = np.zeros((len(at), width + 1), np.uint8)
+    if len(at) and (lens == width).all():
+        out[:, :width] = np.lib.stride_tricks.sliding_window_view(raw, width)[at]
+    elif len(at):
+        out.reshape(-1)[spread(np.arange(len(at)) * (width + 1), lens)] = raw[spread(at, lens)]
+    out[:, width] = lens
+    return out.reshape(-1).view(f"S{width + 1}")
+
+
 class Level:
-    """A sorted suffix array: hashes, least documents, and where the strings lie (buffer and start)."""
+    """A suffix array: strings in lexicographic order, each once, the least document of each, and a tag that they carry."""
 
-    def __init__(self, keys, docs, buf, at):
-        self.keys, self.docs, self.buf, self.at = keys, docs, buf, at
+    def __init__(self, strings: np.ndarray, docs: np.ndarray, tags: np.ndarray):
+        self.strings, self.docs, self.tags = strings, docs, tags
 
     def __len__(self):
-        return len(self.keys)
+        return len(self.strings)
+
+    @classmethod
+    def of(cls, strings: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> Level:
+        """The suffix array of a batch: sorted, and neighbours that share all their bytes made one with the least document."""
+        order = np.argsort(strings, kind="stable")
+        strings, docs = strings[order], docs[order]
+        heads = np.nonzero(np.append(True, strings[1:] != strings[:-1]))[0]
+        return cls(strings[heads], np.minimum.reduceat(docs, heads), tags[order][heads])
 
 
 class Family:
-    """Levels of suffix arrays of strings of LENGTH bytes; no two levels hold the same string."""
+    """A logarithmic family of suffix arrays: no two levels hold the same string, and a level is at least twice as long as
+    the next, so that n strings lie in at most log2(n) of them."""
 
     def __init__(self):
-        self.buffers: list[np.ndarray] = []
         self.levels: list[Level] = []
-        self.odd: dict[bytes, int] = {}  # strings that share a hash with another string
-
-    def strings(self, buf, at):
-        out = np.empty((len(at), LENGTH), np.uint8)
-        for b in np.unique(buf):
-            mine = np.nonzero(buf == b)[0]
-            out[mine] = np.lib.stride_tricks.sliding_window_view(self.buffers[b], LENGTH)[at[mine]]
-        return out
-
-    def add(self, raw: np.ndarray, at: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> None:
-        """A batch: strings of raw that start at at, in documents docs, of hashes keys."""
-        self.buffers.append(raw)
-        me = len(self.buffers) - 1
-        order = np.lexsort((docs, keys))
-        keys, docs, at = keys[order], docs[order], at[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        group = np.cumsum(first) - 1
-        heads = np.nonzero(first)[0]
-        view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
-        tails = np.nonzero(~first)[0]
-        if len(tails):
-            bad = tails[(view[at[tails]] != view[at[heads[group[tails]]]]).any(axis=1)]
-            for i in bad:
-                s = view[at[i]].tobytes()
-                self.odd[s] = min(self.odd.get(s, docs[i]), docs[i])
-        keys, docs, at = keys[heads], docs[heads], at[heads]  # the least document comes first
-        new = np.ones(len(keys), bool)
+
+    def add(self, strings: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> None:
+        """A batch: its suffix array is merge-scanned against every level; what a level has lowers its document there, the
+        rest becomes a level of its own, and levels of about equal size merge."""
+        if not len(strings):
+            return
+        new = Level.of(strings, docs, tags)
         for level in self.levels:
-            pos = np.searchsorted(level.keys, keys)
-            hit = np.nonzero((pos < len(level)) & (level.keys[np.minimum(pos, len(level) - 1)] == keys) & new)[0]
-            if not len(hit):
-                continue
-            there = pos[hit]
-            same = (view[at[hit]] == self.strings(level.buf[there], level.at[there])).all(axis=1)
-            for i in hit[~same]:
-                s = view[at[i]].tobytes()
-                self.odd[s] = min(self.odd.get(s, docs[i]), docs[i])
-            level.docs[there[same]] = np.minimum(level.docs[there[same]], docs[hit[same]])
-            new[hit] = False
-        if new.any():
-            self.levels.append(Level(keys[new], docs[new], np.full(int(new.sum()), me, np.int32), at[new]))
+            old, mine = scanned(level.strings, new.strings)
+            level.docs[old] = np.minimum(level.docs[old], new.docs[mine])
+            rest = np.ones(len(new), bool)
+            rest[mine] = False
+            new = Level(new.strings[rest], new.docs[rest], new.tags[rest])
+        if len(new):
+            self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            b, a = self.levels.pop(), self.levels.pop()
-            order = np.argsort(np.concatenate([a.keys, b.keys]), kind="stable")
-            self.levels.append(Level(*(np.concatenate([getattr(a, k), getattr(b, k)])[order] for k in ("keys", "docs", "buf", "at"))))
-
-    def least(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The least document that has each string."""
-        out = np.zeros(len(at), np.int64)
-        view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
-        for level in self.levels:
-            pos = np.minimum(np.searchsorted(level.keys, keys), len(level) - 1)
-            hit = level.keys[pos] == keys
-            out[hit] = level.docs[pos[hit]]
-            if self.odd:  # the level's entry may be another string of the same hash
-                where = np.nonzero(hit)[0]
-                same = (view[at[where]] == self.strings(level.buf[pos[where]], level.at[pos[where]])).all(axis=1)
-                out[where[~same]] = np.iinfo(np.int64).max
-        if self.odd:
-            for i, k in enumerate(at.tolist()):
-                s = view[k].tobytes()
-                if s in self.odd:
-                    out[i] = min(out[i], self.odd[s])
-        return out
+            self.merge()
+
+    def merge(self) -> None:
+        b, a = self.levels.pop(), self.levels.pop()
+        strings = np.concatenate([a.strings, b.strings])
+        order = np.argsort(strings, kind="stable")  # two sorted runs: one linear merge
+        self.levels.append(Level(strings[order], np.concatenate([a.docs, b.docs])[order], np.concatenate([a.tags, b.tags])[order]))
+
+    def whole(self) -> Level | None:
+        """All that the family holds, as one suffix array."""
+        while len(self.levels) > 1:
+            self.merge()
+        return self.levels[0] if self.levels else None
+
+
+def scanned(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings of two suffix arrays are equal, as (places in old, places in new): both are merged, and an entry
+    is compared with its neighbour, with which its longest common prefix is the longest."""
+    both = np.concatenate([old, new])
+    order = np.argsort(both, kind="stable")  # two sorted runs: one linear merge
+    merged = both[order]
+    same = np.nonzero(merged[1:] == merged[:-1])[0]
+    return order[same], order[same + 1] - len(old)
 
 
 class Group:
@@ -254,7 +248,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the text without repeated strings.
 
     A byte goes if a string of 50 bytes that covers it also starts in a row with a smaller doc_id. Null text is empty;
-    texts under 50 bytes stay whole; rows of equal doc_id do not remove each other's bytes; a null doc_id is smaller
+    texts under 50 bytes stay whole; rows of equal doc_id do not remove each other's bytes; a null doc_id (and the least long) is smaller
     than all others; other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -296,54 +290,40 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def resolve(table):
         rows = sorted(table.to_pylist(), key=lambda x: x["grp"])
-        least: dict[bytes, int] = {}  # the least document of every distinct context
-        under: dict[bytes, int] = {}
-        for row in rows:
-            ends = np.cumsum(np.frombuffer(row["lens"], np.uint8).astype(np.int64)).tolist()
-            raw = row["bytes"]
-            row["contexts"] = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        longest = LENGTH + SPAN - 1
+        contexts, batches = Family(), []
+        for row in rows:  # a batch of whole contexts for each group
+            lens = np.frombuffer(row["lens"], np.uint8).astype(np.int64)
+            raw, docs = np.frombuffer(row["bytes"], np.uint8), np.frombuffer(row["ids"], "<i8")
             row["bytes"] = b""
-            for c, i, k in zip(row["contexts"], np.frombuffer(row["ids"], "<i8").tolist(), np.frombuffer(row["under"], "<u4").tolist(), strict=True):
-                was = least.get(c)
-                if was is None:
-                    least[c], under[c] = i, k
-                elif i < was:
-                    least[c] = i
-        # a context that is alone under its anchor meets no other string; the rest go into the family, batch by batch
-        keys, many = np.unique(np.fromiter(under.values(), np.uint32, len(under)), return_counts=True)
-        met = set(keys[many > 1].tolist())
-        rivals = [c for c, k in under.items() if k in met]
-        under.clear()
-        family, batches, at = Family(), [], 0
-        with np.errstate(over="ignore"):
-            while at < len(rivals):
-                upto, starts = at, 0
-                while upto < len(rivals) and starts < BATCH:
-                    starts += len(rivals[upto]) - LENGTH + 1
-                    upto += 1
-                held = rivals[at:upto]
-                raw = np.frombuffer(b"".join(held), np.uint8)
-                lens = np.fromiter(map(len, held), np.int64, len(held))
-                count = lens - (LENGTH - 1)
-                ends = np.cumsum(count)
-                where = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(np.cumsum(lens) - lens - (ends - count), count)
-                own = np.repeat(np.fromiter(map(least.__getitem__, held), np.int64, len(held)), count)
-                hashes = rolling(raw, LENGTH)[where]
-                family.add(raw, where, own, hashes)
-                batches.append((held, raw, where, own, hashes, ends.tolist()))
-                at = upto
-        seen: dict[bytes, np.ndarray] = {}
-        for held, raw, where, own, hashes, ends in batches:
-            bits = family.least(raw, where, hashes) < own
-            for c, a, b in zip(held, [0, *ends[:-1]], ends, strict=True):
-                seen[c] = bits[a:b]
-        out, ones, none = [], {n: np.ones(n, bool) for n in range(1, LENGTH)}, {n: np.zeros(n, bool) for n in range(1, LENGTH)}
-        for row in rows:
-            bits = []
-            for c, i in zip(row["contexts"], np.frombuffer(row["ids"], "<i8").tolist(), strict=True):
-                n = len(c) - LENGTH + 1
-                bits.append(ones[n] if i > least[c] else seen.get(c, none[n]))
-            out.append({"rng": row["rng"], "grp": row["grp"], "keys": row["keys"], "bits": np.packbits(np.concatenate(bits)).tobytes()})
+            strings = cut_strings(raw, np.cumsum(lens) - lens, lens, longest)
+            contexts.add(strings, docs, np.frombuffer(row["under"], "<u4"))
+            batches.append((strings, docs))
+        known = contexts.whole()
+        # a context that is alone under its anchor meets no other string; windows of the rest get suffix arrays of their own
+        _, back, many = np.unique(known.tags, return_inverse=True, return_counts=True)
+        rivals = np.nonzero(many[back] > 1)[0]
+        windows, at = Family(), 0
+        flat = known.strings.view(np.uint8).reshape(len(known), longest + 1)
+        count = flat[:, longest].astype(np.int64) - (LENGTH - 1)
+        steps = np.cumsum(count[rivals])
+        while at < len(rivals):
+            upto = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + BATCH)))
+            strings, docs = windows_of(flat, rivals[at:upto], count, known.docs)
+            windows.add(strings, docs, np.zeros(len(docs), np.uint8))
+            at = upto
+        starts = np.cumsum(count) - count
+        seen = np.zeros(int(count.sum()), bool)  # of each window of each distinct context: has a smaller document the string?
+        for at in range(0, len(rivals), BATCH // SPAN):
+            some = rivals[at : at + BATCH // SPAN]
+            strings, docs = windows_of(flat, some, count, known.docs)
+            least = windows.whole()
+            seen[spread(starts[some], count[some])] = least.docs[np.searchsorted(least.strings, strings)] < docs
+        out = []
+        for row, (strings, docs) in zip(rows, batches, strict=True):
+            which = np.searchsorted(known.strings, strings)
+            bits = seen[spread(starts[which], count[which])] | np.repeat(docs > known.docs[which], count[which])
+            out.append({"rng": row["rng"], "grp": row["grp"], "keys": row["keys"], "bits": np.packbits(bits).tobytes()})
         return pa.Table.from_pylist(out, schema=told)
 
     final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -397,12 +377,23 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return [one, two, three][function.__code__.co_argcount - 1]
 
+    # as many partitions as groups and ranges, so that a task's share does not grow with the input
+    dealt = dealt.repartition(n, "grp")
     groups = lambda: dealt.groupBy("grp")
     have = groups().applyInArrow(freed(tell), ranged)
-    asked = have.groupBy("rng").applyInArrow(freed(shared), ranged)
-    given = groups().cogroup(asked.groupBy("grp")).applyInArrow(freed(send), "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary")
-    bits = given.groupBy("rng").applyInArrow(freed(resolve), "rng long, grp long, keys binary, bits binary")
-    return groups().cogroup(bits.groupBy("grp")).applyInArrow(freed(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    asked = have.repartition(n, "rng").groupBy("rng").applyInArrow(freed(shared), ranged)
+    shipped = "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary"
+    given = groups().cogroup(asked.repartition(n, "grp").groupBy("grp")).applyInArrow(freed(send), shipped)
+    bits = given.repartition(n, "rng").groupBy("rng").applyInArrow(freed(resolve), "rng long, grp long, keys binary, bits binary")
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return groups().cogroup(bits.repartition(n, "grp").groupBy("grp")).applyInArrow(freed(finish), result)
+
+
+def windows_of(flat: np.ndarray, some: np.ndarray, count: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, documents) of all windows of LENGTH bytes of some rows of flat, which have count windows each."""
+    at = spread(some * flat.shape[1], count[some])
+    strings = np.lib.stride_tricks.sliding_window_view(flat.reshape(-1), LENGTH)[at]
+    return strings.reshape(-1).view(f"S{LENGTH}"), np.repeat(docs[some], count[some])
 
 
 #: The same in DuckDB's SQL. Texts are compared as hex, two digits a byte.

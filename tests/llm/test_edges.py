@@ -205,26 +205,27 @@ def test_suffixdedup(odd, none):
     assert suffixdedup.dedup(none).collect() == []
 
 
-def test_family_tells_strings_of_one_hash_apart():
+def test_family_of_suffix_arrays():
     import numpy as np
 
     draw = np.random.default_rng(3)
-    for mod in (3, 50, 1 << 60):
-        family, seen, least, before = suffixdedup.Family(), [], {}, None
-        for b in range(10):
-            raw = draw.integers(97, 99, 400, dtype=np.uint8)
-            if b % 2:
-                raw[50:200] = before[10:160]
-            before, at, docs = raw, np.arange(351), draw.integers(0, 100, 351)
-            with np.errstate(over="ignore"):
-                keys = suffixdedup.rolling(raw, 50) % np.uint64(mod)
-            family.add(raw, at, docs, keys)
-            seen.append((raw, at, keys))
-            for a, d in zip(at, docs, strict=True):
-                s = raw[a : a + 50].tobytes()
-                least[s] = min(least.get(s, 1000), d)
-        for raw, at, keys in seen:
-            assert family.least(raw, at, keys).tolist() == [least[raw[a : a + 50].tobytes()] for a in at]
+    family, least, total = suffixdedup.Family(), {}, 0
+    for b in range(40):
+        raw = draw.integers(0, 2, 400, dtype=np.uint8)  # zeros too: padding must not count
+        lens = draw.integers(3, 9, 60)
+        at, docs = draw.integers(0, 390, 60), draw.integers(0, 100, 60)
+        strings = suffixdedup.cut_strings(raw, at, lens, 8)
+        for a, n, d in zip(at, lens, docs, strict=True):
+            s = raw[a : a + n].tobytes()
+            least[s] = min(least.get(s, 1000), d)
+        family.add(strings, docs, lens)
+        sizes = [len(x) for x in family.levels]
+        assert sum(sizes) == len(least) and all(x >= 2 * y for x, y in zip(sizes[:-1], sizes[1:], strict=True))
+        assert all((x.strings[1:] > x.strings[:-1]).all() for x in family.levels)
+    whole = family.whole()
+    rows = whole.strings.view(np.uint8).reshape(-1, 9)
+    assert {r[: r[8]].tobytes(): int(d) for r, d in zip(rows, whole.docs, strict=True)} == {k: int(v) for k, v in least.items()}
+    assert (rows[:, 8] == whole.tags).all()
 
 
 def stats_of(t):
