@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prefilter, residue
 
-#: Leading tokens that make the path below the token count, and blocks of the tokens behind them.
-DEPTH, BLOCKS = 4, 4
-#: A template recurs if this many documents have it; a line of LONG tokens or more recurs as it is in LONG_RECURS.
+#: Levels of the tree below the token count: blocks of a line's tokens, the leading ones first.
+BLOCKS = 4
+#: Lines of so many tokens may differ in two positions or more, and so in two blocks.
+WIDE = 7
+#: A template recurs if this many documents have it; one of LONG tokens or more if LONG_RECURS have it.
 RECURS, LONG, LONG_RECURS = 5, 50, 2
 #: Share of positions that must be constant for a template to stand for its lines.
 CONSTANT = 0.7
@@ -19,6 +21,7 @@ CONSTANT = 0.7
 LEAST_TOKENS = 3
 #: What makes a token variable by its look (fixed pattern): a digit, an address, a URL.
 VARIABLE = r"\S*(?:[0-9@]|://)\S*"
+LOOKS = "[0-9@]|://"
 #: A variable token once masked, and a token with a letter in a masked line: what makes a line figures, or text.
 MASK, LETTERED = r"<\*>", r"[^ ]*\p{L}[^ ]*"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -26,22 +29,18 @@ BLANKS = r"[\x20\x09-\x0D]+"
 ODD_BLANKS = ("  ", "\t", "\r", "\x0b", "\x0c")
 
 
-def masked(text: Column) -> Column:
-    """The lines of a text, each with variable tokens as <*> and its white space as single blanks. A line of more variable
-    tokens than words is figures, a table's row or a date: it stays as it is, so that it equals its own copies alone."""
-
-    def squeezed(line):
-        odd = line.contains(ODD_BLANKS[0])
-        for b in ODD_BLANKS[1:]:
-            odd = odd | line.contains(b)
-        return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
-
-    def general(plain):
-        hidden = F.regexp_replace(plain, VARIABLE, "<*>")
-        figures = F.regexp_count(hidden, F.lit(MASK)) > F.regexp_count(hidden, F.lit(LETTERED))
-        return F.when(plain.rlike("[0-9@]|://"), F.when(figures, plain).otherwise(hidden)).otherwise(plain)
-
-    return F.transform(F.transform(F.split(text, "\n"), squeezed), general)
+def masked(lines: DataFrame) -> DataFrame:
+    """lines (line, ...) with m in place of line: variable tokens as <*>, white space as single blanks. A line of more
+    variable tokens than words is figures, a table's row or a date: it stays as it is, so that it equals its own copies
+    alone; figures tells so."""
+    odd = F.lit(False)
+    for b in ODD_BLANKS:
+        odd = odd | F.col("line").contains(b)
+    plain = lines.withColumn("_p", F.trim(F.when(odd, F.regexp_replace("line", BLANKS, " ")).otherwise(F.col("line")))).drop("line")
+    hidden = plain.withColumn("_h", F.when(F.col("_p").rlike(LOOKS), F.regexp_replace("_p", VARIABLE, "<*>")))
+    figures = F.regexp_count("_h", F.lit(MASK)) > F.regexp_count("_h", F.lit(LETTERED))
+    told = hidden.withColumn("figures", F.coalesce(figures, F.lit(False)))
+    return told.withColumn("m", F.when(F.col("figures"), F.col("_p")).otherwise(F.coalesce("_h", "_p"))).drop("_p", "_h")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -49,27 +48,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64("doc_id", "text"))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, ls) of keyed docs: ls has a struct for each line that may be a template, sorted by full, also, nth.
+def whole() -> list[Column]:
+    """Two hashes of a masked line, full and also: its kind."""
+    return [F.xxhash64("m").alias("full"), F.xxhash64(F.lit("second"), "m").alias("also")]
 
-    full and also are two hashes of the masked line, nth its number, n its tokens, p1.. hashes of its leading tokens and
-    b0.. of the blocks of the rest, for lines that may have variable tokens. A document's lines are looked at once.
-    """
-    cells = F.transform(masked(F.col("text")), lambda m, i: F.struct(m.alias("m"), F.split(m, " ").alias("t"), i.alias("nth")))
 
-    def row(c, i):
-        n = F.size(c["t"])
-        cut = [DEPTH + F.floor((n - DEPTH) * F.lit(q) / F.lit(BLOCKS)).cast("int") for q in range(BLOCKS + 1)]
-        figures = c["m"].rlike("[0-9@]|://")  # only lines of figures still have these: they share no template
-        size = F.when(figures, F.lit(0)).otherwise(n)
-        lead = [F.when(size >= DEPTH, F.xxhash64(F.get(c["t"], F.lit(i)))) for i in range(DEPTH)]
-        block = [F.when((size >= DEPTH) & (cut[q + 1] > cut[q]), F.xxhash64(F.slice(c["t"], cut[q] + 1, cut[q + 1] - cut[q]))) for q in range(BLOCKS)]
-        wide = [F.xxhash64(c["m"]).alias("full"), F.xxhash64(F.lit("second"), c["m"]).alias("also")]
-        return F.struct(*wide, i.alias("nth"), n.alias("n"), *[x.alias(f"p{i}") for i, x in enumerate(lead)], *[x.alias(f"b{i}") for i, x in enumerate(block)])
+def lines_of(docs: DataFrame) -> DataFrame:
+    """A row for each line of keyed docs: doc_id, _k, nth, usable (whether it may be a template), full, also, n (its
+    tokens), and b0, ..., hashes of the blocks of its tokens, null where no position may vary.
 
-    usable = lambda c: (F.length(c["m"]) > 0) & ((F.size(c["t"]) >= LEAST_TOKENS) | c["m"].rlike(r"\p{L}"))
-    rows = F.transform(F.filter(cells, usable), lambda c: row(c, c["nth"]))
-    return docs.select("doc_id", "_k", F.sort_array(rows).alias("ls"))
+    There is no filter in it: the planner would move it below the projections and mask every line several times.
+    """
+    rows = masked(docs.select("doc_id", "_k", F.posexplode(F.split("text", "\n")).alias("nth", "line"))).withColumn("t", F.split("m", " "))
+    n = F.size("t")
+    usable = (F.length("m") > 0) & ((n >= LEAST_TOKENS) | F.col("m").rlike(r"\p{L}"))
+    rows = rows.select("doc_id", "_k", "nth", usable.alias("usable"), *whole(), n.alias("n"), "t", (~F.col("figures") & (variables(n) > 0)).alias("_tree"))
+    cut = [F.floor(F.col("n") * q / BLOCKS).cast("int") for q in range(BLOCKS + 1)]
+    blocks = [F.when(F.col("_tree"), F.xxhash64(F.slice("t", cut[q] + 1, cut[q + 1] - cut[q]))).alias(f"b{q}") for q in range(BLOCKS)]
+    return rows.select("doc_id", "_k", "nth", "usable", "full", "also", "n", *blocks)
 
 
 def variables(n: Column) -> Column:
@@ -77,65 +73,58 @@ def variables(n: Column) -> Column:
     return F.floor((1 - CONSTANT) * n + 1e-9)
 
 
-def paths() -> Column:
-    """The paths of a kind (n, p0, p1, ...) below its token count: its leading tokens, as they are and with one or two of
-    them as the wildcard child, where so many positions may vary."""
-    out = []
-    for wild in [(), *combinations(range(DEPTH), 1), *combinations(range(DEPTH), 2)]:
-        path = F.xxhash64(F.lit(sum(1 << i for i in wild)), "n", *[f"p{i}" for i in range(DEPTH) if i not in wild])
-        out.append(F.when(variables(F.col("n")) >= len(wild), path))
-    return F.explode(F.array_compact(F.array(*out)))
+def leaves_of(n: str = "n") -> Column:
+    """The leaves that a kind (n, b0, ...) reaches: at each level it goes into the child of its block and into the wildcard
+    child; one wildcard on a path where one position may vary, two where more may."""
+    paths = {}
+    for wild in (1, 2):
+        kept = [[i for i in range(BLOCKS) if i not in w] for w in combinations(range(BLOCKS), wild)]
+        paths[wild] = F.array(*[F.xxhash64(F.lit(sum(1 << i for i in k)), n, *[f"b{i}" for i in k]) for k in kept])
+    return F.explode(F.when(F.col(n) < WIDE, paths[1]).otherwise(paths[2]))
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((full, also, template) of every kind of line that a recurring template may cover, the lines of docs as hashes).
+    """((full, also, template) of every kind of line that a template covers which may recur, the lines of docs as hashes).
 
-    docs is keyed. Lines are first reduced to hashes and counted by kind (equal masked lines, once a document), so a line
-    that a third of all documents have is one row. A kind that recurs is a template of its own.
+    docs is keyed. Lines are first reduced to hashes and counted by kind (equal masked lines), so a line that a third of
+    all documents have is one row. A kind of several lines is a template of its own.
 
-    The tree: token count, then DEPTH leading tokens, each as it is or as the wildcard child, then one block of the
-    tokens behind them. A node that RECURS documents do not reach, or a single kind, is cut off as soon as it is counted;
-    so only kinds that resemble others reach a leaf. There a token is constant in a position if RECURS documents of the
-    leaf have it there, other positions are variable, and kinds of the same constants are one template, of which a leaf
-    may have many, if CONSTANT of the positions are constant. A kind in several templates goes to the one of most documents.
+    The tree: token count, then BLOCKS levels of tokens, the leading ones first, each a child of its own or the wildcard
+    child; a leaf has half of the tokens or more in common. Leaves of fewer than RECURS lines, or of a single kind, go; so
+    only kinds that resemble others are looked at by token. There a token is constant in a position if RECURS lines of the
+    leaf have it there, other positions are variable, and kinds of the same constants are one template, of which a leaf may
+    have many, if CONSTANT of the positions are constant. A kind in several templates goes to the one of most lines.
     """
-    narrow = materialise(hashed(docs), "lines")
-    new = lambda x, i: (i == 0) | (x["full"] != F.get(F.col("ls"), i - 1)["full"]) | (x["also"] != F.get(F.col("ls"), i - 1)["also"])
-    kinds = narrow.select("_k", F.explode(F.filter("ls", new)).alias("x")).select("_k", "x.*")
-    path = ["n", *[f"p{i}" for i in range(DEPTH)], *[f"b{i}" for i in range(BLOCKS)]]
-    kinds = kinds.groupBy("full", "also").agg(F.count("*").alias("docs"), F.min("_k").alias("_k"), *[F.first(c).alias(c) for c in path])
+    narrow = materialise(lines_of(docs), "lines").where("usable")
+    parts = [f"b{i}" for i in range(BLOCKS)]
+    kinds = narrow.groupBy("full", "also").agg(F.count("*").alias("many"), F.min("_k").alias("_k"), *[F.first(c).alias(c) for c in ("n", *parts)])
     kinds = materialise(kinds, "kinds")
-    own = kinds.where((F.col("docs") >= RECURS) | (F.col("n") >= LONG) & (F.col("docs") >= LONG_RECURS)).select("full", "also")
-    live = F.sum("docs") >= RECURS
-    reached = lambda rows, node: rows.groupBy(node).agg(F.count("*").alias("_kinds"), live.alias("_live")).where("_live and _kinds > 1").select(node)
-    tree = kinds.where((F.col("n") >= DEPTH) & F.col("p0").isNotNull()).select("full", "also", "_k", "docs", "n", *[f"b{i}" for i in range(BLOCKS)], paths().alias("node"))
-    tree = prefilter(tree, materialise(reached(tree, "node"), "nodes"), "node")
-    blocks = F.array_compact(F.array(F.when(F.col("n") == DEPTH, F.xxhash64("node")), *[F.when(F.col(f"b{i}").isNotNull(), F.xxhash64("node", F.lit(i), f"b{i}")) for i in range(BLOCKS)]))
-    leaves = materialise(tree.select("full", "also", "_k", "docs", "n", F.explode(blocks).alias("leaf")), "leaves")
-    ripe = leaves.groupBy("leaf").agg(F.count("*").alias("_kinds"), live.alias("_live"), F.bit_xor(F.xxhash64("full", "also")).alias("_who")).where("_live and _kinds > 1")
-    ripe = ripe.groupBy("_who", "_kinds").agg(F.min("leaf").alias("leaf")).select("leaf")  # leaves of the same kinds are one
-    leaves = materialise(leaves.join(ripe, "leaf", "left_semi"), "ripe")
+    least = F.when(F.col("n") >= LONG, LONG_RECURS).otherwise(RECURS)
+    own = kinds.where(F.col("many") >= least).select("full", "also", "n")
+    tree = kinds.where("b0 is not null").select("full", "also", "_k", "many", "n", leaves_of().alias("leaf"))
+    live = F.sum("many") >= RECURS
+    ripe = tree.groupBy("leaf").agg(F.count("*").alias("_kinds"), live.alias("_live"), F.bit_xor("full").alias("_who"), F.bit_xor("also").alias("_too")).where("_live and _kinds > 1")
+    ripe = ripe.groupBy("_who", "_too", "_kinds").agg(F.min("leaf").alias("leaf")).select("leaf")  # leaves of the same kinds are one
+    leaves = materialise(tree.join(ripe.hint("shuffle_hash"), "leaf", "left_semi"), "leaves")
     tokens = tokens_of(docs, leaves.select("full", "also", "_k").distinct())
-    cells = leaves.select("leaf", "full", "also", "docs", "n").join(tokens, ["full", "also"])
-    cells = cells.select("leaf", "full", "also", "line", "docs", "n", F.posexplode("t").alias("pos", "t"))
-    cells = materialise(cells, "cells")
+    cells = leaves.select("leaf", "full", "also", "many", "n").join(tokens, ["full", "also"])
+    cells = materialise(cells.select("leaf", "full", "also", "line", "many", "n", F.posexplode("t").alias("pos", "t")), "cells")
     const = cells.groupBy("leaf", "pos", "t").agg(live.alias("_live")).where("_live").select("leaf", "pos", "t")
     same = F.bit_xor(F.xxhash64("pos", "t")).alias("sig")
-    found = cells.join(const, ["leaf", "pos", "t"]).groupBy("leaf", "full", "also").agg(F.count("*").alias("c"), same, *[F.first(x).alias(x) for x in ("n", "docs", "line")])
+    found = cells.join(const, ["leaf", "pos", "t"]).groupBy("leaf", "full", "also").agg(F.count("*").alias("c"), same, *[F.first(x).alias(x) for x in ("n", "many", "line")])
     found = found.where(F.col("n") - F.col("c") <= variables(F.col("n")))
-    found = materialise(found.select("full", "also", "line", "docs", F.xxhash64("n", "sig").alias("template")).distinct(), "found")
-    reach = found.groupBy("template").agg(F.sum("docs").alias("reach"), F.count("*").alias("_kinds"), F.bit_xor("line").alias("who"))
+    found = materialise(found.select("full", "also", "n", "line", "many", F.xxhash64("n", "sig").alias("template")).distinct(), "found")
+    reach = found.groupBy("template").agg(F.sum("many").alias("reach"), F.count("*").alias("_kinds"), F.bit_xor("line").alias("who"))
     reach = reach.where((F.col("reach") >= RECURS) & (F.col("_kinds") > 1))
-    best = found.join(reach, "template").groupBy("full", "also").agg(F.max(F.struct("reach", "who", "template"))["template"].alias("template"))
-    both = own.join(best, ["full", "also"], "full")
-    return both.select("full", "also", F.coalesce("template", F.xxhash64(F.lit("own"), "full")).alias("template"), F.col("template").isNull().alias("alone")), narrow
+    best = found.join(reach, "template").groupBy("full", "also", "n").agg(F.max(F.struct("reach", "who", "template"))["template"].alias("template"))
+    both = own.join(best, ["full", "also", "n"], "full")
+    return both.select("full", "also", "n", F.coalesce("template", F.xxhash64(F.lit("own"), "full")).alias("template")), narrow
 
 
 def tokens_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(full, also, line, t) of kinds (full, also, _k), from the document _k: 60 bits of the line's md5, its tokens' hashes."""
     texts = prefilter(docs.select("_k", "text"), kinds, "_k")
-    lines = texts.select("_k", F.explode(F.array_distinct(masked(F.col("text")))).alias("m"))
-    lines = lines.select("_k", F.xxhash64("m").alias("full"), F.xxhash64(F.lit("second"), "m").alias("also"), "m")
+    lines = masked(texts.select("_k", F.explode(F.split("text", "\n")).alias("line"))).select("_k", "m", *whole())
     lines = lines.join(kinds, ["full", "also", "_k"], "left_semi")
     md5 = F.conv(F.substring(F.md5("m"), 1, 15), 16, 10).cast("long")
     return lines.groupBy("full", "also").agg(F.first("m").alias("m")).select("full", "also", md5.alias("line"), F.transform(F.split("m", " "), lambda x: F.xxhash64(x)).alias("t"))
@@ -144,22 +133,23 @@ def tokens_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """(_k, doc_id, drop) of keyed docs that lose lines: drop has their numbers, ascending.
 
-    A template that fewer documents than RECURS have after all (a line may repeat within one) is none. The first line of
-    the others, by (doc_id, row, line), stays.
+    A template that too few documents have after all (a line may repeat within one) is none. The first line of the others,
+    by (doc_id, row, line), stays.
     """
     templates, narrow = recurring(docs)
-    lines = narrow.select("doc_id", "_k", F.explode("ls").alias("x")).select("doc_id", "_k", "x.full", "x.also", "x.nth")
-    lines = materialise(lines.join(templates, ["full", "also"]).select("template", "alone", "doc_id", "_k", "nth"), "covered")
-    each = lines.groupBy("template", "alone", "doc_id", "_k").agg(F.min("nth").alias("nth"))
-    good = each.groupBy("template", "alone").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "_k", "nth")).alias("first")).where(F.col("alone") | (F.col("docs") >= RECURS))
-    gone = lines.join(good.select("template", "first"), "template").where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
+    lines = narrow.select("doc_id", "_k", "nth", "full", "also").join(templates, ["full", "also"])
+    lines = materialise(lines.select("template", "n", "doc_id", "_k", "nth"), "covered")
+    each = lines.groupBy("template", "n", "doc_id", "_k").agg(F.min("nth").alias("nth"))
+    good = each.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "_k", "nth")).alias("first"))
+    good = good.where(F.col("docs") >= F.when(F.col("n") >= LONG, LONG_RECURS).otherwise(RECURS))
+    gone = lines.join(good.select("template", "n", "first"), ["template", "n"]).where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
     return gone.groupBy("_k", F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("nth")).alias("_drop"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text without the lines of recurring templates, and n_lines, n_dropped (long).
 
-    A template that RECURS documents or more have (one of LONG tokens, word for word, LONG_RECURS) is kept at its first
+    A template that RECURS documents or more have (one of LONG tokens or more, LONG_RECURS) is kept at its first
     line by doc_id (nulls first) and dropped elsewhere. Null text stays null with no lines; an empty text has one; empty
     lines, and lines of under LEAST_TOKENS tokens without a letter, always stay; rows of equal doc_id and text are treated
     alike; other columns pass through, n_chars follows the text; columns named n_lines or n_dropped are replaced. An empty
@@ -199,38 +189,34 @@ m AS (
   FROM (SELECT *, CASE WHEN figures THEN plain ELSE hidden END AS m FROM f)
   WHERE m <> '' AND (len(string_split(m, ' ')) >= 3 OR regexp_matches(m, '\p{L}'))),
 k AS (
-  SELECT m, any_value(tok) AS tok, any_value(len(tok)) AS n, bool_or(figures) AS figures, count(DISTINCT doc_id) AS docs,
+  SELECT m, any_value(tok) AS tok, any_value(len(tok)) AS n, bool_or(figures) AS figures, count(*) AS many,
          ('0x' || substr(md5(m), 1, 15))::BIGINT AS line, floor(0.3::DOUBLE * any_value(len(tok)) + 1e-9) AS free
   FROM m GROUP BY m),
-wild(w) AS (VALUES ([]::INTEGER[]), ([1]), ([2]), ([3]), ([4]), ([1, 2]), ([1, 3]), ([1, 4]), ([2, 3]), ([2, 4]), ([3, 4])),
-p AS (
-  SELECT m, docs, n, tok, [n::VARCHAR, w::VARCHAR] || [CASE WHEN list_contains(w, i) THEN '' ELSE tok[i] END for i in [1, 2, 3, 4]] AS node
-  FROM k, wild WHERE n >= 4 AND NOT figures AND len(w) <= free),
-pr AS (SELECT node FROM p GROUP BY node HAVING sum(docs) >= 5 AND count(*) > 1),
+wild(w) AS (VALUES ([0]), ([1]), ([2]), ([3]), ([0, 1]), ([0, 2]), ([0, 3]), ([1, 2]), ([1, 3]), ([2, 3])),
 q AS (
-  SELECT m, docs, n, tok, node || [q::VARCHAR] || tok[5 + q * (n - 4) // 4:4 + (q + 1) * (n - 4) // 4] AS leaf
-  FROM p SEMI JOIN pr USING (node), range(4) t(q)
-  WHERE (q + 1) * (n - 4) // 4 > q * (n - 4) // 4 OR n = 4 AND q = 0),
-qr AS (SELECT leaf FROM q GROUP BY leaf HAVING sum(docs) >= 5 AND count(*) > 1),
+  SELECT m, many, n, tok,
+         [n::VARCHAR, w::VARCHAR] || flatten([CASE WHEN list_contains(w, i) THEN [] ELSE tok[1 + i * n // 4:(i + 1) * n // 4] END for i in range(4)]) AS leaf
+  FROM k, wild WHERE free > 0 AND NOT figures AND len(w) = CASE WHEN n < 7 THEN 1 ELSE 2 END),
+qr AS (SELECT leaf FROM q GROUP BY leaf HAVING sum(many) >= 5 AND count(*) > 1),
 c AS (
-  SELECT leaf, m, docs, n, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos FROM q SEMI JOIN qr USING (leaf)),
-s AS (SELECT leaf, pos, t FROM c GROUP BY leaf, pos, t HAVING sum(docs) >= 5),
+  SELECT leaf, m, many, n, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos FROM q SEMI JOIN qr USING (leaf)),
+s AS (SELECT leaf, pos, t FROM c GROUP BY leaf, pos, t HAVING sum(many) >= 5),
 found AS (
-  SELECT DISTINCT m, docs, line, template
+  SELECT DISTINCT m, k.many, line, template
   FROM (SELECT leaf, m, n || ' ' || string_agg(pos || ' ' || t, ' ' ORDER BY pos) AS template, count(*) AS constant
         FROM c JOIN s USING (leaf, pos, t) GROUP BY leaf, m, n) JOIN k USING (m) WHERE n - constant <= free),
 r AS (
-  SELECT template, sum(docs) AS reach, bit_xor(line) AS who FROM found GROUP BY template HAVING sum(docs) >= 5 AND count(*) > 1),
+  SELECT template, sum(many) AS reach, bit_xor(line) AS who FROM found GROUP BY template HAVING sum(many) >= 5 AND count(*) > 1),
 best AS (
   SELECT m, arg_max(template, {'reach': reach, 'who': who, 'template': template}) AS template
   FROM found JOIN r USING (template) GROUP BY m),
-own AS (SELECT m FROM k WHERE docs >= 5 OR n >= 50 AND docs >= 2),
-marked AS (SELECT m, coalesce(template, m) AS template, template IS NULL AS alone FROM own FULL JOIN best USING (m)),
-lines AS (SELECT doc_id, nth, template, alone FROM m JOIN marked USING (m)),
+own AS (SELECT m FROM k WHERE many >= CASE WHEN n >= 50 THEN 2 ELSE 5 END),
+marked AS (SELECT m, coalesce(template, m) AS template FROM own FULL JOIN best USING (m)),
+lines AS (SELECT doc_id, nth, len(tok) AS n, template FROM m JOIN marked USING (m)),
 good AS (
-  SELECT template, alone, min({'d': doc_id, 'n': nth}) AS first_at FROM lines GROUP BY template, alone
-  HAVING alone OR count(DISTINCT doc_id) >= 5),
-x AS (SELECT doc_id, nth FROM lines JOIN good USING (template, alone) WHERE {'d': doc_id, 'n': nth} <> first_at),
+  SELECT template, n, min({'d': doc_id, 'n': nth}) AS first_at FROM lines GROUP BY template, n
+  HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 50 THEN 2 ELSE 5 END),
+x AS (SELECT doc_id, nth FROM lines JOIN good USING (template, n) WHERE {'d': doc_id, 'n': nth} <> first_at),
 o AS (
   SELECT l.doc_id, count(*) AS n_lines, count(x.nth) AS n_dropped,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.nth) FILTER (x.nth IS NULL), '') AS kept
