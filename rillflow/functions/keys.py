@@ -56,6 +56,12 @@ def protocol(url: Column) -> Column:
     return F.regexp_extract(url, "^([^:/]+)://", 1)
 
 
+def protocol_of(url: str, storage_options: dict | None = None) -> str:
+    """The protocol of one URL; a protocol in storage_options wins."""
+    given = (storage_options or {}).get("protocol")
+    return given if given is not None else url.split("://", 1)[0] if "://" in url else ""
+
+
 def key_of(batch_id: Column) -> Column:
     """Sixteen upper-case characters that depend on the batch alone."""
     return F.upper(F.substring(F.md5(batch_id.cast("string")), 1, 16))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +54,14 @@ def monitor(df: DataFrame, time: str, size: Column, window: int = 5, conf: Metri
     return out if conf.iops or conf.throughput else out.limit(0)
 
 
+def reports(metrics: DataFrame, conf: MetricsConf | None = None, prefix: str = "") -> Iterator[dict]:
+    """The rows of monitor in order, as a callback gets them: a value for each metric under its name and unit."""
+    conf = conf or MetricsConf()
+    rate = f"{prefix}throughput {conf.throughput_unit}/s"
+    for r in metrics.orderBy(metrics.columns[0]).toLocalIterator(prefetchPartitions=True):
+        yield {f"{prefix}IOPS number/s": r[1], rate: r[2]}
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Bytes of a row as JSON: a portable stand-in for a serialised length."""
     return F.octet_length(F.to_json(F.struct(*df.columns)))

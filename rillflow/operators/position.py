@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _LOCAL = (1 << 33) - 1
 
 
+SHARED = "spark.checkpoint.dir"
+_LIVE: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by the session's spark.checkpoint.dir; a local master may do without, as
+    its executors are in the driver's machine."""
+    where = spark.conf.get(SHARED, None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder that the cluster shares")
+        import tempfile
+
+        where = f"file://{tempfile.gettempdir()}/rillflow-{spark.sparkContext.applicationId}"
+    return where.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch, "own", None)
-    if base is None:
-        base = scratch.own = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the shared folder. What lies there goes when cleaned is called, or with the application."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _LIVE:
+        import atexit
+
+        atexit.register(_at_end, spark.sparkContext)
+    _LIVE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application has written; results that read them cannot be run again."""
+    jvm = spark.sparkContext._jvm
+    for path in _LIVE.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_end(context) -> None:
+    try:
+        if context._jsc is not None:
+            cleaned(SparkSession(context))
+    except Exception:  # noqa: BLE001  the JVM may be gone: then only the files stay
+        pass
+
+
+def written(spark: SparkSession, tables: Iterable[pa.Table], schema: str) -> DataFrame:
+    """Tables that the driver makes one by one, as one DataFrame: each is written to the shared folder before the next."""
+    fields = StructType.fromDDL(schema)
+    path, kinds = scratch(spark), to_arrow_schema(fields)
+    spark.createDataFrame([], fields).write.parquet(path)
+    for t in tables:
+        if t.num_rows:
+            spark.createDataFrame(t.cast(kinds), fields).write.mode("append").parquet(path)
+    return spark.read.schema(fields).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:

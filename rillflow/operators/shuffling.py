@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .position import with_position
+from .position import with_position, written
 
-#: Longest stream whose buffer order is drawn on the driver.
-DRAWN = 10_000_000
+#: Draws that the driver holds at a time.
+CHUNK = 500_000
 
 
 def hash_shuffle(df: DataFrame, seed: object = 0, order: str = "pos") -> DataFrame:
@@ -29,15 +31,13 @@ def block_shuffle(df: DataFrame, size: int = 1000, seed: object = 0, order: str
     return rows.withColumn(order, block * size + F.row_number().over(inside) - 1).drop("_h")
 
 
-def buffer_order(n: int, size: int | None = 1000, initial: int = 100, seed: object = None) -> list[int]:
-    """The input positions in output order of a buffer shuffle of n items.
+def buffer_chunks(n: int, size: int | None = 1000, initial: int = 100, seed: object = None) -> Iterator[list[int]]:
+    """The input positions in output order of a buffer shuffle of n items, CHUNK at a time.
 
     The buffer takes an item, and a second while it is not full; from min(initial, size) items on, each step gives one
     drawn item whose place the last item fills; at the end the rest is drawn. A size under 2 changes nothing.
     """
     size = 1000 if size is None else size
-    if size < 2:
-        return list(range(n))
     draw = random.Random(seed)
     start, held, out, at = min(initial, size), [], [], 0
 
@@ -48,22 +48,39 @@ def buffer_order(n: int, size: int | None = 1000, initial: int = 100, seed: obje
         if k < len(held):
             held[k] = last
 
-    while at < n:
-        two = len(held) + 1 < size and at + 1 < n
-        held.extend(range(at, at + 1 + two))
-        at += 1 + two
-        if len(held) >= start:
+    while at < n or held:
+        if size < 2:
+            out.append(at)
+            at += 1
+        elif at < n:
+            two = len(held) + 1 < size and at + 1 < n
+            held.extend(range(at, at + 1 + two))
+            at += 1 + two
+            if len(held) >= start:
+                give()
+        else:
             give()
-    while held:
-        give()
-    return out
+        if len(out) >= CHUNK:
+            yield out
+            out = []
+    yield out
+
+
+def buffer_order(n: int, size: int | None = 1000, initial: int = 100, seed: object = None) -> list[int]:
+    return [i for chunk in buffer_chunks(n, size, initial, seed) for i in chunk]
 
 
 def buffer_shuffle(df: DataFrame, size: int | None = 1000, initial: int = 100, seed: object = 0, order: str = "pos") -> DataFrame:
-    """The seeded buffer shuffle itself. Its order depends only on the count, so it is drawn on the driver and joined; for
-    more than DRAWN rows use block_shuffle, which has the same bound on how far a row moves."""
-    n = df.count()
-    if n > DRAWN:
-        raise ValueError("too long for a drawn order: use block_shuffle")
-    drawn = df.sparkSession.createDataFrame(list(enumerate(buffer_order(n, size, initial, seed))), f"{order} long, in_pos long")
+    """The seeded buffer shuffle itself. Its order depends only on the count and is one sequence of draws, so the driver
+    makes it, a chunk at a time, and writes it to the shared folder; rows are then joined to it. block_shuffle has the same
+    bound on how far a row moves, and needs no such sequence."""
+    n, at = df.count(), 0
+
+    def tables():
+        nonlocal at
+        for chunk in buffer_chunks(n, size, initial, seed):
+            yield pa.table({order: range(at, at + len(chunk)), "in_pos": chunk}, schema=pa.schema([(order, pa.int64()), ("in_pos", pa.int64())]))
+            at += len(chunk)
+
+    drawn = written(df.sparkSession, tables(), f"{order} long, in_pos long")
     return df.withColumnRenamed(order, "in_pos").join(drawn, "in_pos")

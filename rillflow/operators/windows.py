@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Positions of a block of windows, at least.
+BLOCK = 4096
+
 
 def items_of(df: DataFrame, order: str) -> Column:
     names = [c for c in df.columns if c != order]
@@ -31,15 +34,22 @@ def sliding(df: DataFrame, window: int, stride: int = 1, drop_last: bool = True,
 
     Partial windows at the end: none with drop_last; else those of at least `least` rows, or with fill all of them padded
     with nulls. A stream shorter than one window has, without drop_last, one window whatever `least` is. An empty stream
-    has none. Each row is copied to the windows that hold it, window/stride of them.
+    has none.
+
+    Rows are dealt into blocks of positions, and a block also gets the window-1 rows behind it, so that a row is moved
+    twice at most; the windows of a block are slices of its rows.
     """
     if not (window > 1 and window > least >= 1 and window >= stride >= 1):
         raise ValueError("need window > 1, window > least >= 1 and window >= stride >= 1")
-    first = F.greatest(F.lit(0), F.ceil((F.col(order) - (window - 1)) / stride))
-    starts = F.sequence(first.cast("long"), F.floor(F.col(order) / stride).cast("long"))
-    # with gaps (stride = window) a row lies in exactly one window, so that first never passes the last start
-    rows = df.select(F.col(order).alias("_p"), items_of(df, order).alias("_i"), F.explode(starts).alias("_s"))
-    out = rows.groupBy((F.col("_s") * stride).alias("win_start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_i"))), lambda x: x["_i"]).alias("items"))
+    size = -(-max(BLOCK, window) // stride) * stride  # windows start at the same places in every block
+    home = F.floor(F.col(order) / size)
+    halo = F.floor((F.col(order) - (window - 1)) / size)
+    blocks = F.array_distinct(F.array(home.cast("long"), F.greatest(F.lit(0), halo).cast("long")))
+    rows = df.select(F.col(order).alias("_p"), items_of(df, order).alias("_i"), F.explode(blocks).alias("_b"))
+    held = rows.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_p", "_i"))).alias("_r"), F.count_if(F.col("_p") < (F.col("_b") + 1) * size).alias("_own"))
+    starts = held.select("_b", "_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own") - 1, F.lit(stride).cast("long"))).alias("_s"))
+    cut = F.slice("_r", (F.col("_s") + 1).cast("int"), F.lit(window))
+    out = starts.select((F.col("_b") * size + F.col("_s")).alias("win_start"), F.transform(cut, lambda x: x["_i"]).alias("items"))
     n = F.size("items")
     if drop_last:
         return out.where(n == window)

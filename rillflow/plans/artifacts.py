@@ -10,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shards import hadoop, listing
+from ..sources.files import FilesystemStore
+from ..sources.serializers import Serializer
+from ..sources.shards import get_bytes, hadoop, listing, put_bytes
 from .catalog import Catalog, Source
 
 NAME = re.compile(r"[a-zA-Z0-9\-_:]+")
@@ -83,6 +85,18 @@ class ArtifactManager:
         fs.copyToLocalFile(False, path, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{target.resolve()}"), True)
         return target
 
+    @contextmanager
+    def downloaded(self, artifact: str, version: int | None = None, collection: str | None = None):
+        """A version in a temporary folder of the driver, which goes at the end."""
+        with tempfile.TemporaryDirectory() as d:
+            yield self.download(artifact, d, version, collection)
+
+    def download_collection(self, to: str, collection: str | None = None) -> Path:
+        """The latest version of every artifact of a collection, each in a folder of its name."""
+        for a in self.artifacts(collection):
+            self.download(a, to, None, collection)
+        return Path(to)
+
     def to_catalog(self, collection: str | None = None) -> Catalog:
         """Every version as an entry collection/artifact; version N of the store is N+1 of the catalogue."""
         out = Catalog()
@@ -93,6 +107,55 @@ class ArtifactManager:
         return out
 
 
+class ArtifactFileStore:
+    """Single objects as versions of artifacts: a key is artifact or collection/artifact, with /vN for a version other than
+    the latest. With a serializer a version is one object; without one it is a folder of files."""
+
+    OBJECT = "value"
+
+    def __init__(self, manager: ArtifactManager, serializer: Serializer | None = None):
+        self.manager, self.serializer = manager, serializer
+
+    def complete_key(self, key: str) -> tuple[str, str, int]:
+        """(collection, artifact, version) of a key; the version of one that does not exist is where the next goes."""
+        parts = key.strip("/").split("/")
+        version = int(parts.pop()[1:]) if len(parts) > 1 and re.fullmatch(r"v\d+", parts[-1]) else None
+        if not 1 <= len(parts) <= 2:
+            raise ValueError(f"{key!r} is no artifact's key")
+        artifact, collection = parts[-1], parts[0] if len(parts) == 2 else self.manager.active_collection
+        known = self.manager.versions(artifact, collection)
+        return collection, artifact, version if version is not None else max(known, default=0)
+
+    def key_exists(self, key: str) -> bool:
+        collection, artifact, version = self.complete_key(key)
+        return version in self.manager.versions(artifact, collection)
+
+    def keys(self) -> list[str]:
+        m = self.manager
+        return [f"{c}/{a}/v{v}" for c in m.collections() for a in m.artifacts(c) for v in m.versions(a, c)]
+
+    def set(self, value, key: str) -> str:
+        """Write a value as the next version: an object, or without a serializer the path of a local file or folder."""
+        collection, artifact, version = self.complete_key(key)
+        known = self.manager.versions(artifact, collection)
+        version = max(known) + 1 if known else version
+        if self.serializer is None:
+            source = self.manager.log_files(artifact, value, collection)
+            return f"{collection}/{artifact}/v{source.metadata['version']}"
+        path = f"{self.manager.url}/{collection}/{artifact}/v{version}/files/{self.OBJECT}"
+        put_bytes(self.manager.spark, path, self.serializer.dumps(value))
+        return f"{collection}/{artifact}/v{version}"
+
+    def get(self, key: str):
+        """The object, or without a serializer the files of the version as a dictionary of bytes."""
+        collection, artifact, version = self.complete_key(key)
+        root = self.manager.path(artifact, version, collection)
+        if self.serializer is not None:
+            return self.serializer.loads(get_bytes(self.manager.spark, f"{root}/{self.OBJECT}"))
+        files = FilesystemStore(self.manager.spark, root)
+        return {k: files.get(k) for k in files.keys()}
+
+
 def versions_of(paths: DataFrame, path: str = "path") -> DataFrame:
     """(collection, artifact, version, latest) of a listing of artifact paths."""
     form = r"([^/]+)/([^/]+)/v(\d+)/"

@@ -16,7 +16,7 @@ SCHEMA = "identifier string, version int, driver_name string, driver_kwargs stri
 PLUGINS: list[Callable[[], list[tuple[str, Source]]]] = []
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class Source:
     """What a driver needs; equality leaves the driver's name out."""
 
@@ -24,6 +24,10 @@ class Source:
     driver_kwargs: dict = field(default_factory=dict, hash=False)
     metadata: dict = field(default_factory=dict, hash=False)
 
+    def __repr__(self) -> str:
+        """Its fields as JSON."""
+        return json.dumps({"driver_name": self.driver_name, "driver_kwargs": self.driver_kwargs, "metadata": self.metadata}, default=str)
+
     def get_driver(self, spark: SparkSession, catalog=None, **kwargs):
         """The driver of this source; storage_options are merged key by key (the call wins), the rest as a whole."""
         from ..sources.drivers import DRIVERS
@@ -211,7 +215,15 @@ def union_df(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def intersection_df(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right.select(*KEYS), KEYS, "left_semi")
+    """Entries of both. Entries that differ in more than the driver's name fail the query when it runs."""
+    rest = [c for c in left.columns if c not in (*KEYS, "driver_name")]
+    both = left.join(right.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in rest]), KEYS)
+    same = F.lit(True)
+    for c in rest:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    differs = F.raise_error(F.lit("an entry differs between the catalogues")).cast("int")
+    checked = both.withColumn("version", F.when(same, F.col("version")).otherwise(differs))
+    return checked.select(*left.columns)
 
 
 def difference_df(left: DataFrame, right: DataFrame) -> DataFrame:

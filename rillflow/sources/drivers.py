@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shards import ShardStore, listing
+from .shards import ShardStore, get_bytes, hadoop, listing, put_bytes
 
 DRIVERS: dict[str, type[Driver]] = {}
 
@@ -50,8 +50,15 @@ class DataFrameDriver(Driver):
         return df
 
     def get_iter(self, **read_kwargs):
+        """Rows as Python objects, in the order in which Spark reads them."""
         return self.get_df(**read_kwargs).toLocalIterator(prefetchPartitions=True)
 
+    def cached(self, **read_kwargs) -> DataFrame:
+        """get_df, read once from its source and then from the executors' disks, for many passes over a remote file."""
+        from pyspark import StorageLevel
+
+        return self.get_df(**read_kwargs).persist(StorageLevel.DISK_ONLY)
+
 
 @register
 class CsvDriver(DataFrameDriver):
@@ -124,12 +131,41 @@ class FileDriver(Driver):
         return self.spark.read.format("binaryFile").load(self.url)
 
     def open(self, mode: str = "r", create_if_not_exists: bool = False):
-        import os
+        """The file as a Python file object, on any file system that the session knows: what is read is read at once, what
+        is written goes to its place when the object is closed."""
+        import io
+
+        if "r" in mode:
+            data = get_bytes(self.spark, self.url)
+            return io.BytesIO(data) if "b" in mode else io.StringIO(data.decode())
+        fs, path = hadoop(self.spark, self.url)
+        if not create_if_not_exists and not fs.exists(path.getParent()):
+            raise FileNotFoundError(self.url)
+        before = get_bytes(self.spark, self.url) if "a" in mode and fs.exists(path) else b""
+        return _Written(self.spark, self.url, before, "b" in mode)
+
+
+class _Written:
+    """A file that is written when it is closed."""
+
+    def __init__(self, spark, url: str, before: bytes, binary: bool):
+        self.spark, self.url, self.parts, self.binary, self.closed = spark, url, [before], binary, False
+
+    def write(self, value) -> int:
+        self.parts.append(bytes(value) if self.binary else value.encode())
+        return len(value)
+
+    def close(self) -> None:
+        if not self.closed:
+            put_bytes(self.spark, self.url, b"".join(self.parts))
+            self.closed = True
 
-        path = self.url.removeprefix("file://")
-        if create_if_not_exists:
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        return open(path, mode)
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
 
 
 @register
@@ -186,9 +222,17 @@ class StoreDriver(Driver):
             keys = hook(keys)
         keys = keys.indexed()
         rows = self.get_df(keys.df, schema).join(F.broadcast(keys.df.select("shard_key", F.col("pos").alias("_shard_pos"))), "shard_key")
-        out = Stream(rows, ["_shard_pos", "row_in_shard"])
+        out = Stream(rows, ["_shard_pos", "row_in_shard"], False, keys.lineage)
         return out.shuffle(size=item_buffer, seed=item_seed) if item_buffer > 1 else out
 
+    def get_iter(self, flatten: bool = True, **how):
+        """The samples in the order of get_stream, or without flatten a list of samples for each shard, in order of keys."""
+        if flatten:
+            return iter(self.get_stream(**how))
+        if how:
+            raise ValueError("shards as lists come in order of their keys")
+        return (list(self.get(k)) for k in self.keys())
+
 
 @register
 class JsonlDriver(StoreDriver):
@@ -200,6 +244,48 @@ class MessagepackDriver(StoreDriver):
     name, format = "messagepack", "messagepack"
 
 
+def decoder(compressor: dict | None) -> Callable[[bytes], bytes]:
+    """What undoes an array's compressor: none, zlib, gzip, zstd; others, Blosc among them, through numcodecs if it is there."""
+    import zlib
+
+    if compressor is None:
+        return bytes
+    if compressor["id"] in ("zlib", "gzip"):
+        return lambda raw: zlib.decompress(raw, 47)
+    if compressor["id"] == "zstd":
+        import zstandard
+
+        return lambda raw: zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    try:
+        import numcodecs
+    except ImportError as e:
+        raise ImportError(f"chunks of compressor {compressor['id']} need the optional package numcodecs") from e
+    return numcodecs.get_codec(compressor).decode
+
+
+def write_array(spark: SparkSession, url: str, key: str, array, chunks: list[int] | None = None, attrs: dict | None = None) -> None:
+    """An array of a version-2 hierarchy, with zlib chunks, from the driver; written over if it is there."""
+    import json
+    import zlib
+    from itertools import product
+
+    import numpy as np
+
+    array = np.asarray(array)
+    chunks = list(chunks or array.shape)
+    root = f"{url.rstrip('/')}/{key.strip('/')}"
+    fs, path = hadoop(spark, root)
+    fs.delete(path, True)
+    for at in product(*[range(-(-s // c)) for s, c in zip(array.shape, chunks, strict=True)]):
+        block = np.zeros(chunks, array.dtype)
+        part = array[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))]
+        block[tuple(slice(0, n) for n in part.shape)] = part
+        put_bytes(spark, f"{root}/{'.'.join(map(str, at)) or '0'}", zlib.compress(block.tobytes()))
+    meta = {"zarr_format": 2, "shape": list(array.shape), "chunks": chunks, "dtype": array.dtype.str, "compressor": {"id": "zlib", "level": 6}, "fill_value": 0, "order": "C", "filters": None}
+    put_bytes(spark, f"{root}/.zarray", json.dumps(meta).encode())
+    put_bytes(spark, f"{root}/.zattrs", json.dumps(attrs or {}).encode())
+
+
 @register
 class ZarrDriver(Driver):
     """Arrays of a version-2 hierarchy: keys and metadata from the JSON files; raw and zlib chunks are decoded by tasks."""
@@ -210,6 +296,19 @@ class ZarrDriver(Driver):
         """Names one level below prefix; hidden files are left out."""
         return [p.rstrip("/").rsplit("/", 1)[-1] for p, _ in listing(self.spark, f"{self.url.rstrip('/')}/{prefix}".rstrip("/")) if not p.rsplit("/", 1)[-1].startswith(".")]
 
+    def get_iter(self, fetcher: Callable | None = None, flatten: bool = False):
+        """What fetcher(array row) gives for every array, in order of keys, or the rows themselves; with flatten what it
+        gives is iterated. A fetcher runs in the driver on rows that tasks have decoded."""
+        rows = self.get_df().orderBy("key").toLocalIterator(prefetchPartitions=True)
+        items = (fetcher(r) if fetcher else r for r in rows)
+        return (x for item in items for x in item) if flatten else items
+
+    def fetched(self, fetcher: Callable[[dict], dict], schema: str) -> DataFrame:
+        """The same by tasks: a row of schema for every array."""
+        from ..operators.elementwise import map_rows
+
+        return map_rows(self.get_df(), fetcher, schema)
+
     def get_df(self) -> DataFrame:
         """key, data (flat, as doubles), shape, dtype and attrs of every array.
 
@@ -223,7 +322,7 @@ class ZarrDriver(Driver):
             folder, name = path.rsplit("/", 1)
             if name in (".zarray", ".zattrs"):
                 key = folder[folder.index(bare) + len(bare) :].strip("/")
-                metas.setdefault(key, {})[name] = _text(self.spark, path)
+                metas.setdefault(key, {})[name] = get_bytes(self.spark, path).decode()
         rows = [(k, m[".zarray"], m.get(".zattrs", "{}")) for k, m in metas.items() if ".zarray" in m]
         meta = self.spark.createDataFrame(rows, "key string, meta string, attributes string")
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -231,7 +330,6 @@ class ZarrDriver(Driver):
 
         def build(pdf):
             import json
-            import zlib
             from itertools import product
 
             import numpy as np
@@ -239,16 +337,14 @@ class ZarrDriver(Driver):
 
             parts = {f: bytes(c) for f, c in zip(pdf["file"], pdf["content"], strict=True) if f}
             meta = json.loads(pdf["meta"].iloc[0])
-            packed = meta.get("compressor")
-            if packed is not None and packed["id"] not in ("zlib", "gzip"):
-                raise ValueError(f"chunks of compressor {packed['id']} need an optional package")
+            unpack = decoder(meta.get("compressor"))
             shape, chunks = meta["shape"], meta["chunks"]
             out = np.full(shape, meta.get("fill_value") or 0, dtype=meta["dtype"])
             for at in product(*[range(-(-s // c)) for s, c in zip(shape, chunks, strict=True)]):
                 raw = parts.get(".".join(map(str, at)) or "0")
                 if raw is None:
                     continue
-                block = np.frombuffer(raw if packed is None else zlib.decompress(raw, 47), meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
+                block = np.frombuffer(unpack(raw), meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
                 where = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(at, chunks, shape, strict=True))
                 out[where] = block[tuple(slice(0, w.stop - w.start) for w in where)]
             attrs = {k: json.dumps(v) for k, v in json.loads(pdf["attributes"].iloc[0]).items()}
@@ -257,17 +353,6 @@ class ZarrDriver(Driver):
         return meta.join(files, "key", "left").groupBy("key").applyInPandas(build, "key string, data array<double>, shape array<int>, dtype string, attrs map<string,string>")
 
 
-def _text(spark: SparkSession, path: str) -> str:
-    from .shards import hadoop
-
-    fs, where = hadoop(spark, path)
-    stream = fs.open(where)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 @register
 class SourceCombiner(Driver):
     """Named subsets of a catalogue as one source."""
@@ -288,6 +373,44 @@ class SourceCombiner(Driver):
             return self.driver(subset).get_df(**kw)
         return combined({s: self.driver(s).get_df(**kw) for s in self.subsets})
 
+    def get(self, subset: str, key: str):
+        return self.driver(subset).get(key)
+
+    def keys(self, subset: str) -> list[str]:
+        return self.driver(subset).keys()
+
+    def get_store(self, subset: str) -> ShardStore:
+        return self.driver(subset).store
+
+    def get_stream(self, subset: str | None = None, **kw):
+        """One subset as its driver orders it, or one row of each in turn, passing over those that have ended."""
+        from ..stream import interleaved
+
+        if subset is not None:
+            return self._stream(subset, **kw)
+        return interleaved({s: self._stream(s, **kw) for s in self.subsets})
+
+    def get_sampled(self, probas: dict[str, float] | None = None, seed: object = 42, **kw):
+        """Every row once, the subset of each position drawn by weight among those that have rows left."""
+        from ..stream import sampled_once
+
+        return sampled_once({s: self._stream(s, **kw) for s in self.subsets}, probas, seed)
+
+    def get_iter(self, subset: str | None = None, **kw):
+        return iter(self.get_stream(subset, **kw))
+
+    def get_iter_sampler(self, probas: dict[str, float] | None = None, seed: object = 42, **kw):
+        return iter(self.get_sampled(probas, seed, **kw))
+
+    def _stream(self, subset: str, order: list[str] | None = None, **kw):
+        """Stores have an order of their own; a table needs order, columns that are unique together."""
+        from ..stream import Stream
+
+        driver = self.driver(subset)
+        if hasattr(driver, "get_stream"):
+            return driver.get_stream(**kw)
+        return Stream(driver.get_df(**kw), order or driver.get_df(**kw).columns)
+
 
 def combined(subsets: dict[str, DataFrame]) -> DataFrame:
     """The union of DataFrames by column name, with the name of its part in subset."""

@@ -46,6 +46,111 @@ def test_store_writes_shards_in_order(spark):
         assert hooked is None or {r["v"] % 2 for r in hooked.get_df().collect()} == {1}
 
 
+@pytest.mark.parametrize("format", ["jsonl", "messagepack"])
+def test_store_keeps_integers_beside_nulls_and_odd_keys(spark, format):
+    store = ShardStore(spark, scratch(spark), format)
+    keys = ["a*b", "{x}", "[1]", "50%", "_under", ".dot", "c d+e", "x/y", "é"]
+    rows = [(i, k, v) for k in keys for i, v in enumerate([(1 << 53) + 1, None, 3])]
+    df = spark.createDataFrame(rows, "pos long, shard string, v long")
+    store.write(df, "shard", "pos")
+    store.write(df, "shard", "pos")  # over the first
+    assert store.keys() == sorted(keys) and [x["v"] for x in store.get("a*b")] == [(1 << 53) + 1, None, 3]
+    got = store.read("v long")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, i, v) for i, k, v in rows), key=str)
+    assert {r["shard_key"] for r in store.read("v long", ["a*b", "_under"]).collect()} == {"a*b", "_under"}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {p.rsplit("/", 1)[-1][0] for p, _ in listing(spark, store.url)} & {"_", "."} == set()
+
+
+def test_whole_objects_and_files(spark):
+    from rillflow.sources.files import FilesystemStore, file_paths, read_from_file, write_to_file
+
+    store = FilesystemStore(spark, scratch(spark) + "/", JsonSerializer())
+    assert store.keys() == [] and store.set({"a": 1}, "one") == "one"
+    store.set([1, 2], "deep/er/two")
+    assert store.keys() == ["deep/er/two", "one"] and store.keys(nested=False) == ["one"] and store.get("deep/er/two") == [1, 2]
+    with pytest.raises(KeyError):
+        store.get("none")
+    with pytest.raises(ValueError):
+        store.set(1, "../out")
+    paths = lambda **how: [r[0].rsplit("/", 1)[-1] for r in file_paths(spark, store.url, **how).orderBy("path").collect()]
+    assert paths() == ["deep", "one"] and paths(nested=True, max_keys=1, max_dirs=1) == ["two", "one"]
+    assert file_paths(spark, store.url + "/none").count() == 0
+    write_to_file(spark, store.url + "/raw", "text")
+    assert read_from_file(spark, store.url + "/raw") == b"text" and read_from_file(spark, store.url + "/raw", len) == 4
+    assert FilesystemStore(spark, store.url, clean=True).keys() == []
+
+
+def test_file_driver_opens_files_anywhere(spark):
+    from rillflow.sources.drivers import FileDriver
+
+    driver = FileDriver(spark, scratch(spark) + "/deep/file.txt")
+    with pytest.raises(FileNotFoundError):
+        driver.open("w")
+    with driver.open("w", create_if_not_exists=True) as f:
+        f.write("one\n")
+    with driver.open("a") as f:
+        f.write("two\n")
+    assert driver.open().read() == "one\ntwo\n" and driver.open("rb").read() == b"one\ntwo\n"
+
+
+def test_iterables(spark, monkeypatch):
+    from rillflow.sources import iterables
+
+    monkeypatch.setattr(iterables, "CHUNK", 4)
+    s = iterables.iterable_source(spark, lambda: range(10))
+    assert [r["item"] for r in s.collect()] == [*range(10)] and iterables.iterable_source(spark).collect() == []
+    assert [r["a"] for r in iterables.iterable_source(spark, [{"a": 1}, {"a": None}], "a long").collect()] == [1, None]
+    d = iterables.DummyShardedDriver(spark, 3, 4)
+    assert d.keys() == ["0", "1", "2"] and d.get("1") == [4, 5, 6, 7]
+    assert sorted(tuple(r) for r in d.get_df().collect()) == [(str(i // 4), i % 4, i) for i in range(12)]
+
+
+def test_combined_sources(spark):
+    from collections import Counter
+
+    from rillflow.sources.drivers import SourceCombiner
+
+    catalog = Catalog()
+    for name, n in (("a", 3), ("b", 1), ("c", 2)):
+        store = ShardStore(spark, scratch(spark))
+        store.set([{"v": f"{name}{i}"} for i in range(n)], "k")
+        catalog[name] = Source("jsonl", {"url": store.url, "schema": "v string"})
+    c = SourceCombiner(spark, {s: (s, 1) for s in "abc"}, catalog)
+    assert [r["v"] for r in c.get_iter()] == ["a0", "b0", "c0", "a1", "c1", "a2"]
+    assert [r["v"] for r in c.get_iter("a")] == ["a0", "a1", "a2"] and c.keys("b") == ["k"] and len(list(c.get("c", "k"))) == 2
+    drawn = [r["v"] for r in c.get_iter_sampler({"a": 0.5, "b": 0.25, "c": 0.25}, 7)]
+    assert Counter(drawn) == Counter(["a0", "a1", "a2", "b0", "c0", "c1"]) and [x for x in drawn if x[0] == "a"] == ["a0", "a1", "a2"]
+    assert c.get_df().count() == 6 and [len(x) for x in JsonlDriver(spark, c.get_store("a").url).get_iter(flatten=False)] == [3]
+
+
+def test_artifact_file_store(spark, tmp_path):
+    from rillflow.plans.artifacts import ArtifactFileStore
+
+    manager = ArtifactManager(spark, scratch(spark))
+    store = ArtifactFileStore(manager, JsonSerializer())
+    assert not store.key_exists("m") and store.set({"w": 1}, "m") == "default/m/v0" and store.set({"w": 2}, "m") == "default/m/v1"
+    assert store.get("m") == {"w": 2} and store.get("m/v0") == store.get("default/m/v0") == {"w": 1} and store.keys() == ["default/m/v0", "default/m/v1"]
+    (tmp_path / "f.txt").write_text("x")
+    raw = ArtifactFileStore(manager)
+    assert raw.set(str(tmp_path / "f.txt"), "other/n") == "other/n/v0" and raw.get("other/n") == {"f.txt": b"x"}
+    with manager.downloaded("n", collection="other") as d:
+        assert [p.name for p in d.rglob("*.txt")] == ["f.txt"]
+    assert (manager.download_collection(str(tmp_path / "all"), "default") / "m").is_dir()
+
+
+def test_arrays_are_written_read_and_fetched(spark):
+    from rillflow.sources.drivers import write_array
+
+    url = scratch(spark)
+    write_array(spark, url, "g/x", np.arange(12).reshape(3, 4), [2, 3], {"unit": "m"})
+    write_array(spark, url, "y", np.ones(3, "<f4"))
+    driver = ZarrDriver(spark, url)
+    assert [(r["key"], list(r["data"]), list(r["shape"])) for r in driver.get_iter()] == [("g/x", [*map(float, range(12))], [3, 4]), ("y", [1.0] * 3, [3])]
+    assert list(driver.get_iter(lambda r: [r["key"]] * 2, flatten=True)) == ["g/x", "g/x", "y", "y"]
+    assert sorted(tuple(r) for r in driver.fetched(lambda r: {"key": r["key"], "n": len(r["data"])}, "key string, n long").collect()) == [("g/x", 12), ("y", 3)]
+
+
 def test_driver_with_a_store_is_an_error(spark):
     with pytest.raises(ValueError):
         JsonlDriver(spark, "x", store=object())

@@ -144,22 +144,40 @@ def test_round_robin_segments(sizes):
     assert [out[k] for k in sorted(out)] == simulated_turns(sizes) and sorted(out) == [*range(sum(sizes))]
 
 
-def test_schedules_have_the_known_counts():
-    _, plan, again = mixing.sampling_schedule([100, 26, 200], None, 42)
-    assert len(plan) == 579 and again == [1, 7, 1]
+def drawn(plan):
+    return [tuple(r) for chunk in plan for r in chunk.tolist()]
+
+
+@pytest.mark.parametrize("chunk", [500_000, 50])
+def test_schedules_have_the_known_counts(monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    plan = mixing.Sampling([100, 26, 200], None, 42)
+    assert len(drawn(plan)) == 579 and plan.restarts == [1, 7, 1] and sum(plan.samples) == 579
     draw = random.Random(42)
     sizes = [sum(draw.randint(32, 64) for _ in range(n)) for n in (5, 3, 10)]
     assert sizes == [214, 115, 453]
-    _, plan, again = mixing.sampling_schedule(sizes, [0.35, 0.6, 0.05], 42, 4)
-    assert again == [1, 4, 0] and [sum(s == k for s, _, _ in plan) for k in range(3)] == [268, 460, 40]
+    plan = mixing.Sampling(sizes, [0.35, 0.6, 0.05], 42, 4)
+    rows = drawn(plan)
+    assert plan.restarts == [1, 4, 0] and plan.samples == [sum(s == k for s, _, _ in rows) for k in range(3)] == [268, 460, 40]
 
 
-def test_sampling_without_oversampling():
-    got = mixing.without_oversampling([4, 3], [0.4, 0.6], 1)
-    assert sorted(got) == [(0, i) for i in range(4)] + [(1, i) for i in range(3)]
-    assert [i for s, i in got if s == 0] == [*range(4)]
+def test_sampling_without_oversampling(monkeypatch):
+    for chunk in (500_000, 3):
+        monkeypatch.setattr(mixing, "CHUNK", chunk)
+        got = [(s, i) for s, _, i in drawn(mixing.without_oversampling([4, 3], [0.4, 0.6], 1))]
+        assert sorted(got) == [(0, i) for i in range(4)] + [(1, i) for i in range(3)]
+        assert [i for s, i in got if s == 0] == [*range(4)]
     with pytest.raises(ValueError):
-        mixing.without_oversampling([1, 1], [0.5, 0.6])
+        drawn(mixing.without_oversampling([1, 1], [0.5, 0.6]))
+
+
+def test_sampled_streams_tell_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 60)
+    df = spark.range(326).select(F.when(F.col("id") < 100, "a").when(F.col("id") < 126, "b").otherwise("c").alias("s"), (F.col("id") - F.when(F.col("id") < 100, 0).when(F.col("id") < 126, 100).otherwise(126)).alias("row_idx"))
+    mix, counts = mixing.sampled_with_counts(df, "s", None, 42)
+    assert {k: r for k, (_, r) in counts.items()} == {"a": 1, "b": 7, "c": 1} and mix.count() == 579
+    assert sorted(r["pos"] for r in mix.collect()) == [*range(579)]
+    assert {r["s"]: r["n"] for r in mix.groupBy("s").agg(F.count("*").alias("n")).collect()} == {k: n for k, (n, _) in counts.items()}
 
 
 def test_monitor_crosses_blocks(spark):
@@ -192,6 +210,85 @@ def test_map_partition(spark):
     assert sum(r["x"] for r in map_partition(df, lambda rows: ({"x": r["id"] * 2} for r in rows), "x long").collect()) == 380
 
 
+def test_functions_keep_integers_beside_nulls(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(0, big, "a", [1, None]), (1, None, None, None)], "pos long, v long, t string, l array<int>")
+    got = map_partition(df, lambda rows: ({"pos": r["pos"], "v": r["v"], "l": r["l"]} for r in rows), "pos long, v long, l array<int>")
+    assert sorted(map(tuple, got.collect())) == [(0, big, [1, None]), (1, None, None)]
+    s = Stream(df, ["pos"], True).map(lambda r, by: {"w": r["v"] and r["v"] + by}, "w long", by=1)
+    assert [tuple(r) for r in s.collect()] == [(0, big + 1), (1, None)]
+    assert [r["pos"] for r in Stream(df, ["pos"], True).filter(lambda r: r["v"]).collect()] == [0]
+
+
+def test_functions_that_wait_keep_the_order(spark):
+    import time
+
+    s = Stream(spark.range(40).select(F.col("id").alias("pos")).coalesce(1), ["pos"], True)
+    began = time.time()
+    slow = s.async_map(lambda r: (time.sleep(0.1), {"v": 1})[1], "v long", buffer=40, max_workers=40)
+    assert [r["pos"] for r in slow.df.collect()] == [*range(40)] and time.time() - began < 4
+    with pytest.raises(ValueError):
+        s.async_map(lambda r: r, "v long", executor="unheard of")
+
+
+def test_source_is_bound_again(spark):
+    ten, five = (Stream(spark.range(n).select(F.col("id").alias("k")), ["k"]) for n in (10, 5))
+    s = ten.filter("k % 2 = 0").map(v=F.col("k") * 3).take(4)
+    assert [r["v"] for r in s.collect()] == [0, 6, 12, 18] and [r["v"] for r in s.source_(five).collect()] == [0, 6, 12]
+    assert [r["v"] for r in s.source_(five).source_(ten).collect()] == [0, 6, 12, 18]
+
+
+def test_monitor_changes_nothing_and_calls_back(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(seconds=i), i) for i in range(8)]
+    seen = []
+    s = Stream(spark.createDataFrame(rows, "pos long, t timestamp, v long"), ["pos"], True).monitor(seen.append, "t", F.lit(1 << 20), window=5).map(w=F.col("v") + 1)
+    assert [r["w"] for r in s.collect()] == [*range(1, 9)]
+    assert seen == [{"IOPS number/s": 1.25, "throughput MB/s": 1.0}] * 4
+    assert len(list(s)) == 8 and len(seen) == 8
+
+
+def test_nodes(spark):
+    class Doubled:
+        def __init__(self, by):
+            self.by = by
+
+        def __call__(self, df):
+            return df.withColumn("v", F.col("k") * self.by)
+
+    class Bad:
+        def __init__(self, source):
+            pass
+
+    s = Stream(spark.range(3).select(F.col("id").alias("k")), ["k"])
+    assert [r["v"] for r in s.compose(Doubled, 2).collect()] == [0, 2, 4] and s.compose(lambda df: df.limit(1)).collect()
+    with pytest.raises(ValueError):
+        s.compose(Bad)
+
+
+def test_loader_reads_in_order_and_checks_splits(spark, monkeypatch):
+    import pickle
+
+    from rillflow import loading
+
+    s = Stream(spark.range(100).repartition(7).select(F.col("id").alias("k")), ["k"])
+    whole = pickle.loads(pickle.dumps(s.to_torch_iterable()))
+    assert [r["k"] for r in whole] == [*range(100)] == [r["k"] for r in whole]
+
+    class Info:
+        id, num_workers = 1, 3
+
+    monkeypatch.setattr(loading, "get_worker_info", Info)
+    with pytest.raises(SplittingError):
+        next(iter(whole))
+    assert [r["k"] for r in s.split_by_worker().to_loader()] == [*range(100)][1::3]
+    monkeypatch.setenv("WORLD_SIZE", "2")
+    with pytest.raises(SplittingError):
+        next(iter(s.split_by_worker().to_loader()))
+    assert len(list(s.split_by_rank(0, 2).split_by_worker().to_loader())) == 17
+    assert len(list(s.to_loader(False, False))) == 100
+
+
 def test_randomness_falls_with_the_buffer():
     fixed, mixed = randomness(5, 10, 1, 0, 15), randomness(5, 10, 50, 50, 15)
     assert 1 > fixed > mixed > 0
