@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.position import scratch
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A semi-join filter of at most this many 4-byte residues may be broadcast: 4 MB, whatever the input.
 RESIDUES = 1 << 20
-SHARED = "spark.checkpoint.dir"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +24,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get(SHARED, None)
-    if not where:
-        where = getattr(shared_dir, "own", None)
-        if where is None:
-            where = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    return where.rstrip("/")
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches small enough that long texts do not pile up in a worker, for the time of a job; the session's own
+    setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if int(was) <= 0 or int(was) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it outlives any executor and is computed once."""
+    """Cut the lineage with a table in the shared folder: it outlives any executor and is computed once. It is deleted with
+    the application, or by position.cleaned."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch(spark)}-{tag}"
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,14 +63,6 @@ def prefilter(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
 BATCH_ROWS, BATCH_CHARS = 500, 1 << 21
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches small enough that long texts do not pile up in a worker (a setting of the session)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def texts_of(batch, column: str):
     """(first row, texts) of stretches of a batch, of about BATCH_CHARS characters; one longer text is a stretch."""
     values = batch.column(column)
@@ -129,7 +127,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     they move, and the joins on it can be split as skewed. Nodes are longs; the root is the smallest of its component.
     """
     spark = edges.sparkSession
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    down = lambda rows: rows.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = materialise(down(edges), tag)
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
     seen = None
     while True:
@@ -142,7 +141,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialise(down(small.union(low.select("u", F.col("m").alias("v")))), tag)
+    if not seen:
+        return spark.createDataFrame([], "node long, root long")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")) if seen else spark.createDataFrame([], "node long, root long")
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

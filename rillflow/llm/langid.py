@@ -8,14 +8,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bounded, released, texts_of
+from .common import Codes, materialise, released, texts_of
 
-#: The classifier is fitted on at most this many labelled documents, those of the least hash of their id and text.
+#: The classifier is fitted on at most this many labelled documents, an even share of each language; more make it slower
+#: to fit and know more words.
 FIT_DOCS = 20_000
-#: Words per language that the model keeps, the most frequent.
+#: Words per language that the model keeps, the most frequent; others are scored by their n-grams.
 WORDS = 20_000
 #: Longest n-gram of the back-off.
 LONGEST = 5
@@ -128,39 +129,64 @@ class Scorer:
         return names, scores
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """A model of docs (text, lang): the fit_docs rows of the least hash, rows without lang or text left out.
+def sampled(rows: DataFrame, fit_docs: int) -> DataFrame:
+    """At most fit_docs of rows (lang, _k), those of the least hash, with a share for each language that does not depend
+    on how often it occurs, so that a rare one is not missed. Languages' counts (a row each) go to the driver."""
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    quota, left = {}, fit_docs
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota[lang] = min(n, max(1, left // (len(counts) - i)))
+        left = max(0, left - quota[lang])
+    share = rows.sparkSession.createDataFrame([(k, quota[k] / n) for k, n in counts.items()], "lang string, _share double")
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod("_k", F.lit(1 << 31)) < F.col("_share") * (1 << 31))
+    return drawn.select("_k", "lang").orderBy(F.pmod("_k", F.lit(1 << 31)), "_k").limit(fit_docs)
 
-    Words are counted on the executors; the driver gets the WORDS most frequent of each language.
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, words_kept: int = WORDS) -> Model:
+    """A model of docs (text, lang), from at most about fit_docs rows; rows without lang or text teach nothing.
+
+    Words are counted on the executors; the driver gets the most frequent of each language, words_kept at most: words of
+    one count are all in or all out. Rows of one text and doc_id are drawn together.
     """
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "doc_id").alias("_k"))
-    keys = rows.select("_k", F.col("lang")).orderBy("_k").limit(fit_docs).select("_k").distinct()  # narrow: 8 bytes a row
+    keys = sampled(rows.select("lang", "_k"), fit_docs).select("_k").distinct()  # narrow: 8 bytes a row
     sample = rows.join(F.broadcast(keys), "_k", "left_semi")
 
     def count(batches):
         tally: Counter = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tally.update((lang, w) for w in words(text))
+            for at, texts in texts_of(batch, "text"):
+                for lang, text in zip(batch.column("lang").slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    tally.update((lang, w) for w in words(text))
         items = list(tally.items())
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in items], "word": [k[1] for k, _ in items], "n": pa.array([n for _, n in items], pa.int64())})
 
-    tally = bounded(sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = tally.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= WORDS)
+    tally = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tally = materialise(tally, "words")
+    least: dict[str, int] = {}
+    held: Counter = Counter()
+    for lang, n, many in sorted(tally.groupBy("lang", "n").count().collect(), key=lambda x: (x[0], -x[1])):  # of the bounded sample
+        held[lang] += many
+        if held[lang] <= words_kept:
+            least[lang] = n
+    known = tally.sparkSession.createDataFrame(sorted(least.items()), "lang string, _least long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n, _ in top.collect():
+    for lang, word, n in tally.join(F.broadcast(known), "lang").where("n >= _least").select("lang", "word", "n").collect():
         counts[lang][word] = n
-    return Model(dict(counts))
+    return Model({k: dict(sorted(v.items())) for k, v in sorted(counts.items())})
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """docs with lang_pred and score: (und, 0.0) for a null text and one without a letter, or if nothing was learned.
 
-    Every row keeps its place and its columns carry; whole texts are scored, a batch at a time.
+    Of equal scores the language that comes first by name wins. Repeated rows are rows of their own and get the same
+    answer. The columns carry are passed as they are and none other is read, so only the names lang_pred, score and _text
+    must not be among them. Whole texts are scored, about BATCH_CHARS characters at a time, a longer text alone. An empty
+    table gives none. The result is written once.
     """
     from pyspark.sql import types as T
 
-    share = docs.sparkSession.sparkContext.broadcast({"model": model})  # bounded by WORDS a language
+    share = docs.sparkSession.sparkContext.broadcast({"model": model})  # bounded by the words that a model keeps
     out = T.StructType([*docs.select(*carry).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -175,7 +201,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         scorer = None
         released()
 
-    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return materialise(docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out), "languages")
 
 
 def held_out(parts: int, which: int):
@@ -183,6 +209,10 @@ def held_out(parts: int, which: int):
 
 
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score; held-out rows (crc32 of the id mod 4 is 2) teach nothing."""
+    """Per row: doc_id, held_out, lang_pred, score; held-out rows (crc32 of the id mod 4 is 2) teach nothing.
+
+    Null doc_ids are not held out; null, empty and letterless texts are und; ties, repeated rows, long texts, other columns
+    and empty tables as predict and fit say.
+    """
     model = fit(docs.where(~held_out(4, 2)), fit_docs)
     return predict(docs, model, ["doc_id"]).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")

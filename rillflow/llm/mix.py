@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
-#: Sources up to this many are broadcast with their targets; beyond, the join is left to the planner.
-BROADCAST_SOURCES = 50_000
-#: Documents of a source that one ordered run holds, about.
+#: Documents of a source that one ordered run holds, about, and runs of a stretch.
 RUN = 1_000
 
 
@@ -38,8 +36,9 @@ def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="
     Within a source, rows are ordered by the md5 of seed and doc_id; taken is whole epochs of the row plus its part of
     the last, cut where the source's budget (its target, rounded) ends. Equal keys are ordered by doc_id and size. Null
     source is a source of its own; a source without words takes none. A source's order is cut into runs by ranges of the
-    uniform hash, so a hot source spreads over many tasks: runs are summed, the sums are added up over one row a run, and
-    each run is ordered by itself. Sources' totals (one row a source) go to the driver. Reruns agree.
+    uniform hash, so a hot source spreads over many tasks: runs are summed, the sums are added up in two levels (a task sees
+    RUN runs, or a row for each RUN runs), and each run is ordered by itself. Sources' totals (one row a source) go to the
+    driver. Reruns agree.
     """
     spark = rows.sparkSession
     keyed = rows.select("doc_id", "source", "size", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"))
@@ -47,13 +46,15 @@ def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="
     totals = [tuple(r) for r in keyed.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     goal = targets([(s, n) for s, n, _ in totals], tuple(weights), share, repeat)
     known = spark.createDataFrame([(s, n, goal[s], max(1, -(-m // RUN))) for s, n, m in totals], "_source string, source_size long, target double, _runs long")
-    if len(totals) <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
     run = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_runs") / F.lit(1 << 32))
     rows = keyed.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_run", run)
     source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s")
-    runs = rows.groupBy(source, "_run").agg(F.sum("size").alias("_n"))
-    runs = runs.select("_s", "_run", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_run")) - F.col("_n")).alias("_before"))
+    # sums of runs, added up within stretches of RUN runs; sums of stretches, added up over one row a stretch
+    runs = rows.groupBy(source, F.floor(F.col("_run") / RUN).alias("_far"), "_run").agg(F.sum("size").alias("_n"))
+    far = runs.groupBy("_s", "_far").agg(F.sum("_n").alias("_m"))
+    far = far.select("_s", "_far", (F.sum("_m").over(Window.partitionBy("_s").orderBy("_far")) - F.col("_m")).alias("_base"))
+    near = F.sum("_n").over(Window.partitionBy("_s", "_far").orderBy("_run")) - F.col("_n")
+    runs = runs.select("_s", "_far", "_run", near.alias("_in")).join(far, ["_s", "_far"]).select("_s", "_run", (F.col("_base") + F.col("_in")).alias("_before"))
     rows = rows.withColumn("_s", source).join(runs, ["_s", "_run"])
     inside = Window.partitionBy("_s", "_run").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_before") + F.sum("size").over(inside) - F.col("size")
@@ -66,22 +67,24 @@ def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of a document, the last cut to its first words
-    where a budget ends inside it. Documents without words have nothing to take. Rows of one doc_id and size share what
-    is taken of them in order of text."""
+    where a budget ends inside it. Documents without words (null and empty texts too) have nothing to take. Rows of one
+    doc_id, source and size share what is taken of them in order of text. Columns other than doc_id, source, text and
+    n_chars pass through, whatever their names; n_chars follows the text. An empty table gives none.
+    """
     names = docs.columns
-    text_order = Window.partitionBy("doc_id", "source", "size").orderBy("text")
-    numbered = sized(docs).withColumn("_nth", F.row_number().over(text_order))
-    share = plan(sized(docs).select("doc_id", "source", "size"), **how)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), "doc_id", "source", "text")
+    packed = sized(packed).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
+    share = plan(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), **how)
     share = share.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken")))).where("taken > 0")
     keys = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("doc_id", "source", "size", "_nth")]
-    rows = numbered.alias("d").join(share.select("doc_id", "source", "size", "_nth", "taken").alias("s"), keys[0] & keys[1] & keys[2] & keys[3])
-    rows = rows.select("d.*", F.col("s.taken").alias("_taken")).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("size")).cast("int"))))
+    rows = packed.alias("d").join(share.select("doc_id", "source", "size", "_nth", "taken").alias("s"), keys[0] & keys[1] & keys[2] & keys[3])
+    rows = rows.select("d._d", "d.text", "d.size", F.col("s.taken").alias("_taken"))
+    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("_taken") - F.col("_epoch") * F.col("size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    rows = rows.withColumn("text", F.when(words == F.col("size"), F.col("text")).otherwise(cut))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    first = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = rows.withColumn("text", F.when(words == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(first, F.lit(1), words.cast("int")), "")))
+    extra = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.select(*[extra.get(c, F.col(f"_d.`{c}`")).alias(c) for c in names])
 
 
 #: The same in DuckDB's SQL, with the same defaults.

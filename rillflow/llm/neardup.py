@@ -7,7 +7,8 @@
    Jaccard reaches the threshold, given the values that agree so far and a uniform prior, is under the tolerance. Only
    links to one root per connected part of what is left leave the task, never the pairs.
 4. Connected components of those links hold every pair that is still open. Each component's texts come together once
-   more and all its pairs are decided by exact intersections; the links that hold are counted and joined again.
+   more, the pairs that the pruning leaves are decided by exact intersections, and the links that hold are counted and
+   joined again.
 
 A band value or component of more than BLOCK classes is cut into blocks, and each pair of blocks is a task of its own, so
 a group of any size spreads; every pair is still looked at, in one task. Components of long texts are cut finer, by their
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bounded, components, materialise, partitions, prefilter, released, residue, texts_of
+from .common import Codes, components, materialise, partitions, prefilter, released, residue, texts_of
 
 SIZE, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
 STEP, TOLERANCE = 16, 1e-7
 #: Classes of one block; a task holds two.
-BLOCK = 512
+BLOCK = 1024
 #: Shingles of a class, on average over a component, up to which BLOCK classes make a block; longer texts make smaller ones.
 TYPICAL = 4096
 REMEMBER = 400_000
@@ -127,23 +128,24 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, cid, size, sig) of docs: cid is 64 bits of the shingle set's digest, null without shingles; size is the
-    set's; _k is a hash of doc_id and text."""
+    """(doc_id, _k, hi, lo, size, sig) of docs: hi and lo are the 128 bits of the shingle set's digest, null without
+    shingles; size is the set's; _k is a hash of doc_id and text."""
+    names = ["doc_id", "_k", "hi", "lo", "size", "sig"]
 
     def run(batches):
         shingle = Shingler()
         for batch in batches:
             for at, texts in texts_of(batch, "text"):
-                cids, sizes, sigs = [], [], []
-                for s in shingle(texts):
-                    cids.append(int.from_bytes(class_of(s)[:8], "little", signed=True) if len(s) else None)
-                    sizes.append(len(s))
-                    sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), batch.column("_k").slice(at, len(texts)), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "_k", "cid", "size", "sig"])
+                sets = shingle(texts)
+                keys = np.frombuffer(b"".join(class_of(s) for s in sets), "<i8").reshape(-1, 2)
+                none = np.array([not len(s) for s in sets], bool)
+                passed = [batch.column(c).slice(at, len(texts)) for c in ("doc_id", "_k")]
+                sigs = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*passed, *[pa.array(keys[:, i], pa.int64(), mask=none) for i in (0, 1)], pa.array(map(len, sets), pa.int64()), sigs], names=names)
         shingle = None
         released()
 
-    return bounded(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, cid long, size long, sig binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text").mapInArrow(run, "doc_id long, _k long, hi long, lo long, size long, sig binary")
 
 
 def labelled(n: int, hit: np.ndarray) -> np.ndarray:
@@ -232,11 +234,31 @@ def candidates(reps: DataFrame) -> DataFrame:
     return met.mapInArrow(links, "u long, v long").distinct()
 
 
-def verified(sets: list[np.ndarray], mine: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Pairs of sets of Jaccard THRESHOLD or more, exactly, as a symmetric matrix; of two blocks only pairs across."""
+def verified(sets: list[np.ndarray], live: np.ndarray) -> np.ndarray:
+    """Which pairs of the symmetric matrix live have a Jaccard of THRESHOLD or more, exactly.
+
+    Few pairs are merged one by one; many by products of the sets' incidence matrices, a stretch of shingles at a time,
+    for the sets that have a live pair.
+    """
     n = len(sets)
+    hit = np.zeros((n, n), bool)
     lens = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), lens)
+    i, j = np.nonzero(np.triu(live))
+    if not len(i):
+        return hit
+    if len(i) < 4 * n:
+        inter = np.fromiter((np.intersect1d(sets[a], sets[b], assume_unique=True).size for a, b in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
+    else:
+        inter = shared(sets)[i, j]
+    ok = 9 * inter >= 4 * (lens[i] + lens[j])  # inter / union >= 4/5
+    hit[i[ok], j[ok]] = hit[j[ok], i[ok]] = True
+    return hit
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -252,12 +274,7 @@ def verified(sets: list[np.ndarray], mine: np.ndarray, a: int, b: int) -> np.nda
         x = np.zeros((n, width), np.float32)
         x[owner[cut[k] : cut[k + 1]], word[cut[k] : cut[k + 1]] - k * width] = 1
         inter += x @ x.T
-    inter = np.rint(inter).astype(np.int64)
-    hit = 9 * inter >= 4 * (lens[:, None] + lens[None, :])  # inter / union >= 4/5
-    np.fill_diagonal(hit, False)
-    if a != b:
-        hit &= mine[:, None] != mine[None, :]
-    return hit
+    return np.rint(inter).astype(np.int64)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -271,11 +288,16 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n = partitions(docs.sparkSession)
     rows = materialise(classes(docs), "classes")
-    reps = materialise(rows.where("cid is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_least")).select("cid", "sig", "size", "copies", F.col("_least.doc_id").alias("least")), "sets")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_least")
+    reps = rows.where("hi is not null").groupBy("hi", "lo").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("copies"), least)
+    # a class is numbered as the table is written, so that what follows moves one long a class
+    reps = reps.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "sig", "size", "copies", F.col("_least.doc_id").alias("least"))
+    reps = materialise(reps, "sets")
     near = components(candidates(reps), "near")
-    near = materialise(near.join(reps.select("cid", "size", "copies", "least"), near["node"] == F.col("cid")).select("cid", "root", "size", "copies", "least"), "open")
+    near = near.join(reps, near["node"] == F.col("cid")).select("cid", "root", "hi", "lo", "sig", "size", "copies", "least")
+    near = materialise(near, "open")
     texts = prefilter(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
-    texts = texts.join(near, F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "root", "copies", "text")
+    texts = texts.join(near, F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "root", "hi", "lo", "sig", "copies", "text")
     count = near.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / TYPICAL)).alias("n"))
     texts = in_blocks(texts, ["root"], count, "cid").repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b")
     out = pa.schema([("cid", pa.int64()), ("sets", pa.int64()), ("docs", pa.int64()), ("link", pa.int64())])
@@ -283,20 +305,24 @@ def join(docs: DataFrame) -> DataFrame:
     def decide(batches):
         shingle = Shingler()
         for t in in_groups(batches, ["root", "a", "b"]):
+            whose = np.stack([t.column(c).to_numpy() for c in ("hi", "lo")], axis=1).astype("<i8")
             cid, seen, keep, sets = t.column("cid").to_pylist(), set(), [], []
             text = t.column("text").to_pylist()
             for at in range(0, len(text), 256):
                 for i, s in enumerate(shingle(text[at : at + 256]), at):
-                    own = int.from_bytes(class_of(s)[:8], "little", signed=True) if len(s) else None
-                    if own == cid[i] and own not in seen:  # a row of the same doc_id may have another text
-                        seen.add(own)
+                    # a row of the same doc_id may have another text
+                    if len(s) and cid[i] not in seen and class_of(s) == whose[i].tobytes():
+                        seen.add(cid[i])
                         keep.append(i)
                         sets.append(s)
             if len(keep) < 2:
                 continue
             ids, copies, mine = (np.array(t.column(c).to_numpy())[keep] for c in ("cid", "copies", "mine"))
-            a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-            hit = verified(sets, mine, a, b)
+            sig = np.frombuffer(b"".join(t.column("sig").take(pa.array(keep)).to_pylist()), "<u2").reshape(len(keep), HASHES)
+            live = survivors(sig)
+            if t.column("a")[0].as_py() != t.column("b")[0].as_py():
+                live &= mine[:, None] != mine[None, :]
+            hit = verified(sets, live)
             root = labelled(len(ids), hit)
             some = np.nonzero(hit.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(hit.sum(axis=1)[some]), pa.array((hit @ copies)[some]), pa.array(ids[root[some]])], schema=out)
@@ -306,13 +332,15 @@ def join(docs: DataFrame) -> DataFrame:
     links = materialise(texts.mapInArrow(decide, "cid long, sets long, docs long, link long"), "links")
     parts = components(links.select(F.col("cid").alias("u"), F.col("link").alias("v")), "parts")
     counts = links.groupBy("cid").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
-    known = reps.select("cid", "copies", "least").join(counts, "cid", "left").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    known = materialise(known.select("cid", "copies", "least", "sets", "docs", F.coalesce("root", "cid").alias("root")), "known")
+    known = reps.select("cid", "hi", "lo", "copies", "least").join(counts, "cid", "left").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    known = materialise(known.select("hi", "lo", "copies", "least", "sets", "docs", F.coalesce("root", "cid").alias("root")), "known")
     first = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).alias("m")).select("root", F.col("m.least").alias("class_id"))
-    named = known.join(first, "root").select("cid", "copies", "sets", "docs", F.col("class_id"))
+    named = known.join(first, "root").select("hi", "lo", "copies", "sets", "docs", "class_id")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    copies = zero(F.col("copies") - 1)
-    return rows.select("doc_id", "_k", "cid").join(named, "cid", "left").select("doc_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (copies + zero(F.col("docs"))).alias("n_links"), copies.alias("n_copies"), zero(F.col("sets")).alias("n_texts"), F.col("cid").isNotNull().alias("has_words"), "_k")
+    copies, has_words = zero(F.col("copies") - 1), F.col("hi").isNotNull()
+    counted = [(copies + zero(F.col("docs"))).alias("n_links"), copies.alias("n_copies"), zero(F.col("sets")).alias("n_texts")]
+    own = F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+    return rows.select("doc_id", "_k", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", own, *counted, has_words.alias("has_words"), "_k")
 
 
 def distinct(docs: DataFrame) -> DataFrame:

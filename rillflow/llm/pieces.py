@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -11,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bounded, released, spread, texts_of
+from .common import Codes, materialise, released, spread, texts_of
 
 REMEMBER = 400_000
+#: Characters of a word beyond which its pairs wait in a queue.
+LONG_WORD = 1000
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 BLANK = "▁"
 
@@ -65,7 +68,7 @@ class Pieces:
         for i, s in score.items():
             ranks.setdefault(order[s], set()).add(i)
         self.alone = np.array([len(ranks[k]) == 1 for k in range(len(order))], bool)  # ranks of a single piece
-        self.symbols = symbols
+        self.symbols, self.merges = symbols, None
         self.forget()
 
     def forget(self):
@@ -94,6 +97,9 @@ class Pieces:
         other occurrences that do not overlap. They wait, and only the leftmost merges, where the library's order could
         differ: if several pieces have that rank, or if a merge makes a pair of a lower rank.
         """
+        if any(len(w) > LONG_WORD for w in words):
+            own = [self.queued(w) if len(w) > LONG_WORD else self.words([w])[0] for w in words]
+            return np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
         chars = "".join(words)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -155,16 +161,53 @@ class Pieces:
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
+        sym, width = self.fallen(sym)
+        return sym, np.bincount(np.repeat(word, width), minlength=len(words))
+
+    def fallen(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each symbol): a character that is no piece falls back to its bytes."""
+        width = np.ones(len(sym), np.int64)
         unknown = np.nonzero(sym < 0)[0]
-        if len(unknown):  # byte fallback
-            parts = [chr(-1 - c).encode("utf-8", "replace") for c in sym[unknown].tolist()]
-            width = np.ones(len(sym), np.int64)
-            width[unknown] = [len(p) for p in parts]
-            first = np.cumsum(width) - width
-            out = np.repeat(sym, width)
-            out[spread(first[unknown], width[unknown])] = self.byte[np.frombuffer(b"".join(parts), np.uint8)]
-            sym, word = out, np.repeat(word, width)
-        return sym, np.bincount(word, minlength=len(words))
+        if not len(unknown):
+            return sym, width
+        parts = [chr(-1 - c).encode("utf-8", "replace") for c in sym[unknown].tolist()]
+        width[unknown] = [len(p) for p in parts]
+        first = np.cumsum(width) - width
+        out = np.repeat(sym, width)
+        out[spread(first[unknown], width[unknown])] = self.byte[np.frombuffer(b"".join(parts), np.uint8)]
+        return out, width
+
+    def queued(self, word: str) -> np.ndarray:
+        """The ids of one long word: its pairs wait in a queue by rank and place, so that each merge looks at its two
+        neighbours alone. Rounds would look at the whole word for every rank in it."""
+        if self.merges is None:
+            there = np.nonzero(self.key != -2)[0]
+            self.merges = dict(zip(self.key[there].tolist(), zip(self.rank[there].tolist(), self.into[there].tolist(), strict=True), strict=True))
+        sym = [self.symbols.get(c, -1 - ord(c)) for c in word]
+        n, merges, size = len(sym), self.merges, self.size
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        queue = []
+
+        def offer(i, j):
+            if i >= 0 and j >= 0 and sym[i] >= 0 and sym[j] >= 0:
+                found = merges.get(sym[i] * size + sym[j])
+                if found:
+                    heapq.heappush(queue, (found[0], i, j, sym[i], sym[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        gone = -(1 << 40)
+        while queue:
+            _, i, j, a, b, into = heapq.heappop(queue)
+            if sym[i] != a or sym[j] != b or right[i] != j:
+                continue
+            sym[i], sym[j] = into, gone
+            right[i] = right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            offer(left[i], i)
+            offer(i, right[i])
+        return self.fallen(np.array([s for s in sym if s != gone], np.int64))[0]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text), without end ids."""
@@ -208,11 +251,15 @@ def model(path: str) -> Pieces:
 def encoded(docs: DataFrame, path: str, carry: list[str], ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for): the ids of the library, with its end id.
 
-    Null text is empty: the end id alone. Rows stay where they are; nothing is shuffled.
+    Null text is empty: the end id alone. Rows stay where they are; nothing is shuffled; the result is written once. Only
+    the columns carry are passed, so names of the new ones clash only if they are among them, which is an error. Repeated
+    rows are rows of their own; whole texts are encoded, about BATCH_CHARS characters at a time; an empty table gives none.
     """
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256", "ids"} & set(carry):
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     from pyspark.sql import types as T
 
-    extra = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), *([("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64()))] * ids)]
+    extra = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), *([("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids)]
     out = T.StructType([*docs.select(*carry).schema.fields, *[T.StructField(n, t) for n, t, _ in extra]])
 
     def run(batches):
@@ -232,4 +279,4 @@ def encoded(docs: DataFrame, path: str, carry: list[str], ids: bool = False) ->
         m.forget()
         released()
 
-    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return materialise(docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out), "pieces")

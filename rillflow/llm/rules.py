@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bounded, materialise, texts_of
+from .common import Codes, materialise, texts_of
 
 #: The list is learned from at most this many labelled rows, those of the least hash of their id.
 FIT_ROWS = 20_000
@@ -79,7 +79,7 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
             table = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *[pa.array(table[:, i]) for i in range(len(STATS))]], names=out.names)
 
-    return bounded(docs).select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out)
 
 
 DIGITS = [bytes([d]) for d in b"0123456789"]
@@ -175,7 +175,8 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]
     Rows that the base rules reject, and labels that are null, teach nothing."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     pick = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = stats.where(~base_failed()).join(F.broadcast(pick), "doc_id").select("doc_id", "quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(2 * rows).toPandas()
+    sample = stats.where(~base_failed()).join(F.broadcast(pick), "doc_id").select("doc_id", "quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    sample = sample.distinct().orderBy(F.xxhash64("doc_id"), *FEATURES, "quality").toPandas()  # equal rows teach once
     return learn({k: sample[k].to_numpy(float) for k in FEATURES}, (sample["quality"] == 0).to_numpy())
 
 

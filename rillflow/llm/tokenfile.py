@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, partitions, spread, texts_of
+from .common import materialise, partitions, spread, texts_of
 
 BLOCK = 1024
 #: Fixed values of the format: selector -> (ids in a word, bits of an id); 0 is the escape and 1 is unused.
@@ -329,7 +329,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens", spe
     """
     n = partitions(docs.sparkSession)
     first = F.col("doc_id").asc_nulls_first()
-    dealt = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, first).sortWithinPartitions(first, "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, first).sortWithinPartitions(first, "text")
     longs = pa.list_(pa.int64())
     kinds = {"part": pa.int32(), "chunk": pa.int32(), "before": pa.int64(), "doc_ids": longs, "lens": longs, "n_ids": pa.int64()}
     out_schema = pa.schema([*kinds.items(), *[(c, pa.binary()) for c in ("offsets", "words", "wide")]])

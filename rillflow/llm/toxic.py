@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import materialise, texts_of
 from .langid import held_out
 
 #: The lexicon and the weights are fitted on at most this many labelled documents, those of the least hash of their id.
@@ -20,13 +20,19 @@ FIT_DOCS = 20_000
 TERMS, PURITY, LEAST = 400, 0.8, 5
 #: Terms of this length or more may differ in two edits, those of four or more in one.
 LONG = 8
+#: Most harmless words that the model keeps.
+KNOWN = 50_000
 REMEMBER = 300_000
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 #: Words that come with quoting, reporting or naming a term rather than using it (fixed list).
 QUOTING = {"said", "says", "quote", "quoted", "quotes", "word", "words", "term", "called", "wrote", "writes", "reported", "slur", "slurs", "insult", "insults", "meaning", "means", "definition", "dijo", "palabra", "mot", "dit", "sagte", "wort"}
 MARKS = set("\"'«»“”„‘’")
-TOKEN = re.compile(r"[^\W_]+|[\"'«»“”„‘’]")
+#: A word, with signs inside it that stand for letters (f**k, id!ot), or a quotation mark.
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!#]+[^\W_]+)*|[\"'«»“”„‘’]")
+HIDDEN = re.compile(r"[*@$!#]")
+#: So many letters on their own, one after the other, are a word spelled out (s.t.u.p.i.d).
+SPELLED = 4
 #: Digits and signs that stand for letters (fixed table).
 LEET = str.maketrans("013457", "oleast")
 NAMES = ["bias", "exact", "fuzzy", "quoted", "rate"]
@@ -36,8 +42,9 @@ class Trie:
     """Terms as a trie, intersected with the Levenshtein automata of all their edits up to limit.
 
     A state is the set of (node, edits so far, character that a transposition still owes). A character of the word moves
-    it by matching, substituting or inserting; skipping a character of a term is closed over at once. Sets are numbered
-    as words first reach them, so that later words take one table step a character; the empty set ends a word at once.
+    it by matching, substituting or inserting; skipping a character of a term is closed over at once. A * matches any
+    character. Sets are numbered as words first reach them, so that later words take one table step a character; the empty
+    set ends a word at once.
     """
 
     MOST = 200_000  # remembered moves; beyond, the table starts anew
@@ -86,7 +93,7 @@ class Trie:
                 continue
             items.add((node, edits + 1, ""))
             for c, kid in self.kids[node].items():
-                items.add((kid, edits + (c != ch), ""))
+                items.add((kid, edits + (c != ch and ch != "*"), ""))
                 if c != ch and ch in self.kids[kid]:
                     items.add((self.kids[kid][ch], edits + 1, c))
         return self.state(items)
@@ -112,6 +119,32 @@ def squeezed(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word.translate(LEET))
 
 
+def tokens(text: str | None) -> list[str]:
+    """Words and quotation marks of a text in lower case; signs in words are *, a word spelled out is joined."""
+    out = TOKEN.findall(text.lower()) if text else []
+    sizes = list(map(len, out))
+    if not all(map(str.isalnum, out)):
+        for i, w in enumerate(out):
+            if sizes[i] > 1 and not w.isalnum():
+                apart = sizes[i] % 2 and all(map(HIDDEN.match, w[1::2])) and w[::2].isalpha()
+                out[i] = w[::2] if apart and sizes[i] >= 2 * SPELLED - 1 else HIDDEN.sub("*", w)
+    if sizes.count(1) < SPELLED:
+        return out
+    joined: list[str] = []
+    at = 0
+    while at < len(out):
+        upto = at
+        while upto < len(out) and sizes[upto] == 1 and out[upto].isalpha():
+            upto += 1
+        if upto - at >= SPELLED:
+            joined.append("".join(out[at:upto]))
+        else:
+            upto = max(upto, at + 1)
+            joined += out[at:upto]
+        at = upto
+    return joined
+
+
 class Scorer:
     """Features of texts: each hit of the lexicon counts by its term's weight and its distance; a hit between quotation
     marks or near a word of quoting counts as quoted instead. The score is a logistic function of them."""
@@ -136,7 +169,7 @@ class Scorer:
         return self.terms[found[0]] * (0.8 if found[1] < 2 else 0.6), False
 
     def features(self, text: str | None) -> list[float]:
-        words = TOKEN.findall(text.lower()) if text else []
+        words = tokens(text)
         if len(self.codes) > REMEMBER:
             self.codes.clear()
         codes, hits = self.codes, []
@@ -177,50 +210,60 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, prior: tuple = (-
     return [float(v) for v in w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
+def rows_of(batches, *columns: str):
+    """(text, values of columns) of the rows of batches, a bounded stretch of texts at a time."""
+    for batch in batches:
+        for at, texts in texts_of(batch, "text"):
+            yield from zip(texts, *(batch.column(c).slice(at, len(texts)).to_pylist() for c in columns), strict=True)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_terms: int = TERMS, most_known: int = KNOWN) -> Scorer:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic), at most fit_docs rows; null labels teach nothing.
 
+    A lexicon of more than most_terms keeps those that tell most, of more than most_known harmless words the commonest; a
+    rarer harmless word may then be taken for the misspelling of a term.
+
     Frequencies of words by label, over distinct texts, are counted on the executors and added up by key; the lexicon and
     the common harmless words that come to the driver are bounded. A term needs LEAST first contexts, whatever its count.
     """
     pick = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    sample = bounded(docs).where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     once = sample.groupBy("text", "toxic").agg(F.count("*").alias("copies"))
 
     def count(batches):  # of a toxic text, the first context of each word: near copies share it, however many they are
         tally: Counter = Counter()
         copied: Counter = Counter()
-        for batch in batches:
-            for text, y, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copies")), strict=True):
-                words = ["", *TOKEN.findall(text.lower()), ""]
-                first = {words[i]: f"{words[i - 1]} {words[i + 1]}" if y == 1 else None for i in range(len(words) - 2, 0, -1) if len(words[i]) > 2}
-                for key in [*((w, y, c) for w, c in first.items()), ("", y, None)]:
-                    tally[key] += 1
-                    copied[key] += copies
+        for text, y, copies in rows_of(batches, "toxic", "copies"):
+            words = ["", *tokens(text), ""]
+            first = {words[i]: f"{words[i - 1]} {words[i + 1]}" if y == 1 else None for i in range(len(words) - 2, 0, -1) if len(words[i]) > 2}
+            for key in [*((w, y, c) for w, c in first.items()), ("", y, None)]:
+                tally[key] += 1
+                copied[key] += copies
         items = list(tally.items())
         yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k, _ in items], pa.string()), "toxic": pa.array([k[1] for k, _ in items], pa.int32()), "context": pa.array([k[2] for k, _ in items], pa.string()), "n": pa.array([n for _, n in items], pa.int64()), "rows": pa.array([copied[k] for k, _ in items], pa.int64())})
 
     bad = F.col("toxic") == 1
     df = once.mapInArrow(count, "word string, toxic int, context string, n long, rows long").groupBy("word", "context").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(bad, 0).otherwise(F.col("n"))).alias("good"), F.sum(F.when(bad, 0).otherwise(F.col("rows"))).alias("clean"))
-    df = df.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("clean").alias("clean"), F.count("context").alias("contexts")).persist()
+    df = df.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "clean")], F.count("context").alias("contexts"))
+    df = materialise(df, "words")
     total = {r[0]: (r[1], r[2]) for r in df.where("word = ''").select("word", "bad", "good").collect()}
     nb, ng = total.get("", (0, 0))
     lift = (F.col("bad") + 0.5) / (nb + 1) / ((F.col("good") + 0.5) / (ng + 1))
-    rows = df.where((F.col("word") != "") & (F.col("contexts") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(TERMS).collect()
+    rows = df.where((F.col("word") != "") & (F.col("contexts") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(most_terms).collect()
     terms = {r["word"]: min(1.5, math.log(r["lift"]) / 4) for r in rows}
-    known = {r[0] for r in df.where((F.col("clean") >= 2) & (F.col("word") != "")).orderBy(F.desc("clean"), "word").limit(50_000).collect()}
-    df.unpersist()
+    known = {r[0] for r in df.where((F.col("clean") >= 2) & (F.col("word") != "")).orderBy(F.desc("clean"), "word").limit(most_known).collect()}
     scorer = Scorer(terms, known)
     share = docs.sparkSession.sparkContext.broadcast({"scorer": scorer})
 
     def featured(batches):
         s = share.value["scorer"]
         for batch in batches:
-            x = [s.features(t) for t in batch.column("text").to_pylist()]
+            x = [s.features(t) for _, texts in texts_of(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(5)] + [batch.column("toxic")], names=[*NAMES, "toxic"])
 
-    got = sample.mapInArrow(featured, ", ".join(f"{n} double" for n in NAMES) + ", toxic int").toPandas()  # at most a row a sampled document
+    told = ", ".join(f"{n} double" for n in NAMES) + ", toxic int"
+    got = materialise(sample.mapInArrow(featured, told), "features").orderBy(*NAMES, "toxic").toPandas()  # at most a row a sampled document
     scorer.weights = logistic(got[NAMES].to_numpy(float), (got["toxic"] == 1).to_numpy(float)) if len(got) else [-3.0, 3.0, 1.5, 0.3, 0.5]
     scorer.codes = {}
     for trie in scorer.tries:
@@ -229,19 +272,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs (doc_id, text) as doc_id, score, predicted; empty and null texts score by the bias alone."""
-    share = docs.sparkSession.sparkContext.broadcast({"scorer": scorer})  # at most TERMS terms and 50 000 words
+    """docs (doc_id, text) as doc_id, score, predicted; empty and null texts score by the bias alone.
+
+    Repeated rows are rows of their own and get the same score; columns other than the two are not read; whole texts are
+    scored, about BATCH_CHARS characters at a time, a longer text alone; an empty table gives none. Written once.
+    """
+    share = docs.sparkSession.sparkContext.broadcast({"scorer": scorer})  # at most TERMS terms and KNOWN words
 
     def run(batches):
         s = share.value["scorer"]
         for batch in batches:
-            x = [s.score(t) for t in batch.column("text").to_pylist()]
+            x = [s.score(t) for _, texts in texts_of(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.float64()), pa.array([int(v >= 0.5) for v in x], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int"), "scores")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Per row: doc_id, held_out (crc32 of the id mod 5 is 0; such rows teach nothing), score, predicted."""
+    """Per row: doc_id, held_out (crc32 of the id mod 5 is 0; such rows teach nothing), score, predicted.
+
+    Null doc_ids are not held out. Without labels all rows score alike. Terms that tell equally much are ordered by name;
+    other cases as scored and fit say.
+    """
     scorer = fit(docs.where(~held_out(5, 0)), labels.where(~held_out(5, 0)), fit_docs)
     return scored(docs, scorer).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")

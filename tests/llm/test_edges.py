@@ -115,8 +115,43 @@ def test_pieces(odd, none):
     assert pieces.encoded(none, tokenizer("piece_bpe_32k.model"), ["doc_id"]).collect() == []
 
 
+def test_pieces_of_long_words(monkeypatch):
+    import random
+    import time
+
+    import sentencepiece
+
+    path, draw = tokenizer("piece_bpe_32k.model"), random.Random(1)
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (999, 1001, 3000)] + ["ab" * 2000, "a" * 1500, "é漢字x" * 400, "y z"]
+    for limit in (10, 1000, 10**9):
+        monkeypatch.setattr(pieces, "LONG_WORD", limit)
+        model.forget()
+        ids, lens = model.encode(words)
+        assert ids.tolist() == [i for w in words for i in sp.encode(w)] and lens.tolist() == [len(sp.encode(w)) for w in words]
+    monkeypatch.undo()
+    began, long = time.time(), "".join(draw.choices("abcdefghijklmnop", k=200_000))
+    assert model.encode([long])[0].tolist() == sp.encode(long) and time.time() - began < 20
+
+
+def test_pieces_refuse_their_own_names(odd):
+    with pytest.raises(ValueError):
+        pieces.encoded(odd.withColumn("ids", F.lit(1)), tokenizer("piece_bpe_32k.model"), ["doc_id", "ids"])
+
+
+def test_mix_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(mix, "RUN", 3)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, "hot").otherwise("cold").alias("source"), (F.col("id") % 7).alias("size"))
+    rows, sums = mix.plan(docs).collect(), Counter()
+    for r in rows:
+        sums[r["source"]] += r["taken"]
+    assert all(sums[r["source"]] == round(r["target"]) for r in rows)
+    monkeypatch.undo()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mix.plan(docs).collect()))
+
+
 def test_mix(odd, none):
-    sized = mix.sized(odd.drop("size"))
+    sized = mix.sized(odd)
     got = mix.plan(sized.select("doc_id", "source", "size")).collect()
     sizes = Counter()
     for r in odd.collect():
@@ -129,11 +164,12 @@ def test_mix(odd, none):
         taken[r["source"]] += r["taken"]
     for r in got:
         assert abs(taken[r["source"]] - r["target"]) <= 0.5 + 1e-9
-    assert mix.plan(mix.sized(none.drop("size")).select("doc_id", "source", "size")).collect() == []
-    full = odd.select("doc_id", "text", "source", "n_chars")
+    assert mix.plan(mix.sized(none).select("doc_id", "source", "size")).collect() == []
+    full = odd.withColumns({c: F.lit(99) for c in ("size", "_nth", "_taken", "_epoch", "taken", "_d")})
     copies = mix.mixed(full).collect()
     assert sum(len(WORD.findall(r["text"])) for r in copies) == sum(taken.values())
-    assert mix.mixed(none.select("doc_id", "text", "source", "n_chars")).collect() == []
+    assert {(r["size"], r["_nth"], r["_taken"], r["_epoch"], r["taken"], r["_d"]) for r in copies} == {(99,) * 6} and all(r["n_chars"] == len(r["text"]) for r in copies)
+    assert mix.mixed(none).collect() == []
 
 
 def canonical(t):
@@ -355,7 +391,7 @@ def edits(a, b):
     d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
-            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] not in (b[j - 1], "*")))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
     return d[-1][-1]
@@ -371,7 +407,7 @@ def test_trie_finds_the_nearest_term():
             w = list(draw.choice(terms))
             for _ in range(draw.randint(0, 3)):
                 k = draw.randrange(len(w) + 1)
-                w[k : k + draw.randint(0, 1)] = draw.choice(["", "a", "b", "o", "xs"])
+                w[k : k + draw.randint(0, 1)] = draw.choice(["", "a", "b", "o", "xs", "*"])
             w = "".join(w)
             best = min((edits(w, t), t) for t in terms)
             assert trie.near(w) == (None if best[0] > limit else (best[1], best[0]))
@@ -381,6 +417,8 @@ def test_toxicity_reads_misspellings_and_quotes():
     scorer = toxic.Scorer({"moron": 1.5, "worthless": 1.5}, {"motor"}, [-3.0, 3.0, 1.5, 0.3, 0.5])
     assert scorer.score("you are a moron") > 0.5
     assert scorer.score("you are a m0r0nnnn and worthles") > 0.5
+    assert scorer.score("you are a m*r*n") > 0.3 and scorer.hit("m*r*n") == scorer.hit("m*ron") == scorer.hit("morron")
+    assert scorer.score("what a m.o.r.o.n") > 0.5
     assert scorer.score('she said the word "moron" is an insult') < 0.5
     assert scorer.score("a motor runs") < 0.1 and scorer.score(None) == scorer.score("") < 0.1
 
@@ -439,4 +477,5 @@ def test_pipeline_stages_keep_columns(spark, odd, small):
         docs = stage(spark, docs, small)
         if name != "tokens":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
+    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and docs.count() > 0
+    assert all(len(r["ids"]) == r["n_tokens"] for r in docs.collect())
