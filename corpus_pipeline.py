@@ -38,8 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
-    return pieces.encoded(docs, tokenizer("piece_bpe_32k.model"), ["doc_id"])
+    """The tokens of every row of the mix (ids, with the end id), their count and digests."""
+    return pieces.encoded(docs, tokenizer("piece_bpe_32k.model"), ["doc_id"], ids=True)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned languages and tokenizers are past SQL; tests/llm/test_pipeline.py holds the stages against SQL and the tokenizer's
-#: library, the language stage against what it must keep and drop.
+#: Learned languages and tokenizers are past SQL; tests/llm holds the stages against SQL, the tokenizer's library and a plain
+#: scorer of languages.
 ORACLE_SQL = None
