@@ -23,6 +23,7 @@ but the byte count goes to the driver.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -217,24 +218,43 @@ class Group:
         twice = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
         return np.repeat(k[heads], 1 + twice)
 
-    def contexts(self, asked: dict[int, np.ndarray], n: int):
-        """For every range asked for (range -> sorted low halves of the keys): its distinct contexts with their key and
-        their occurrences as (document's number, first start), in the order of the group's rows."""
+    def contexts(self, asked: dict[int, np.ndarray], n: int) -> Contexts:
+        """The distinct contexts of the keys asked for (range -> sorted low halves of the keys), and where they occur."""
         wanted = np.concatenate([np.sort(v).astype(np.uint64) | np.uint64(r << 32) for r, v in sorted(asked.items())])
         rng = ranges_of(self.keys, n)
         low = self.keys & np.uint64(0xFFFFFFFF)
         full = low | (rng.astype(np.uint64) << np.uint64(32))
         pos = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
         at = np.nonzero(wanted[pos] == full)[0]
-        found: dict[int, dict[bytes, tuple[int, list]]] = {r: {} for r in asked}
-        raw, doc = self.bytes, self.doc(self.first[at])
-        for r, a, b, d, k in zip(rng[at].tolist(), self.first[at].tolist(), (self.last[at] + LENGTH).tolist(), doc.tolist(), low[at].tolist(), strict=True):
-            context, here = raw[a:b], found[r]
-            if context in here:
-                here[context][1].append((d, a))
-            else:
-                here[context] = (k, [(d, a)])
-        return found
+        first, rng = self.first[at], rng[at]
+        lens = self.last[at] + LENGTH - first
+        strings = cut_strings(self.raw, first, lens, LENGTH + SPAN - 1)
+        order = np.argsort(strings, kind="stable")
+        order = order[np.argsort(rng[order], kind="stable")]
+        strings, rng, first, lens = strings[order], rng[order], first[order], lens[order]
+        new = np.append(True, (strings[1:] != strings[:-1]) | (rng[1:] != rng[:-1])) if len(at) else np.zeros(0, bool)
+        return Contexts(np.nonzero(new)[0], np.cumsum(new) - 1, rng, first, lens, self.ids[self.doc(first)], low[at][order].astype("<u4"))
+
+
+@dataclass
+class Contexts:
+    """Occurrences of contexts, by range and context, and in a context by place, so that the first has the least document.
+
+    heads: the first occurrence of each distinct context; which: the distinct context of each occurrence.
+    """
+
+    heads: np.ndarray
+    which: np.ndarray
+    rng: np.ndarray
+    first: np.ndarray
+    lens: np.ndarray
+    ids: np.ndarray
+    under: np.ndarray
+
+    def ranges(self):
+        """(range, its part of heads) of every range."""
+        there, start = np.unique(self.rng[self.heads], return_index=True)
+        yield from zip(there.tolist(), np.split(self.heads, start[1:]) if len(there) else [], strict=True)
 
 
 def _answer(table: pa.Table) -> dict[int, np.ndarray]:
@@ -280,10 +300,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     def send(key, table, wanted):
         if not wanted.num_rows or not table.num_rows:
             return sent.empty_table()
-        g, asked = Group(table), _answer(wanted)
-        rows, ids = [], g.ids.tolist()  # rows are in order of doc_id: the first occurrence has the least
-        for r, contexts in sorted(g.contexts(asked, n).items()):
-            rows.append({"rng": r, "grp": key[0].as_py(), "keys": asked[r].tobytes(), "lens": np.fromiter(map(len, contexts), np.uint8, len(contexts)).tobytes(), "under": np.array([k for k, _ in contexts.values()], "<u4").tobytes(), "ids": np.array([ids[o[0][0]] for _, o in contexts.values()], "<i8").tobytes(), "bytes": b"".join(contexts)})
+        g, asked, rows = Group(table), _answer(wanted), []
+        c = g.contexts(asked, n)
+        for r, heads in c.ranges():
+            raw = g.raw[spread(c.first[heads], c.lens[heads])].tobytes()
+            rows.append({"rng": r, "grp": key[0].as_py(), "keys": asked[r].tobytes(), "lens": c.lens[heads].astype(np.uint8).tobytes(), "under": c.under[heads].tobytes(), "ids": c.ids[heads].astype("<i8").tobytes(), "bytes": raw})
         return pa.Table.from_pylist(rows, schema=sent)
 
     told = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary())])
@@ -291,14 +312,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     def resolve(table):
         rows = sorted(table.to_pylist(), key=lambda x: x["grp"])
         longest = LENGTH + SPAN - 1
-        contexts, batches = Family(), []
-        for row in rows:  # a batch of whole contexts for each group
+        contexts, batches, held = Family(), [], []
+        for i, row in enumerate(rows):  # batches of whole contexts, of several groups where they are small
             lens = np.frombuffer(row["lens"], np.uint8).astype(np.int64)
             raw, docs = np.frombuffer(row["bytes"], np.uint8), np.frombuffer(row["ids"], "<i8")
             row["bytes"] = b""
             strings = cut_strings(raw, np.cumsum(lens) - lens, lens, longest)
-            contexts.add(strings, docs, np.frombuffer(row["under"], "<u4"))
             batches.append((strings, docs))
+            held.append((strings, docs, np.frombuffer(row["under"], "<u4")))
+            if i + 1 == len(rows) or sum(len(x) for x, _, _ in held) >= BATCH // SPAN * 8:
+                contexts.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
         known = contexts.whole()
         # a context that is alone under its anchor meets no other string; windows of the rest get suffix arrays of their own
         _, back, many = np.unique(known.tags, return_inverse=True, return_counts=True)
@@ -335,18 +359,18 @@ def dedup(docs: DataFrame) -> DataFrame:
         dup = np.zeros(len(g.raw) + 1, bool)
         if answers.num_rows:
             bits = dict(zip(answers.column("rng").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-            ids = g.ids.tolist()
-            for r, contexts in g.contexts(_answer(answers), n).items():
-                given = np.unpackbits(np.frombuffer(bits[r], np.uint8)).astype(bool)
-                a = 0
-                for c, (_, where) in contexts.items():
-                    b = a + len(c) - (LENGTH - 1)
-                    mine, least = given[a:b], ids[where[0][0]]
-                    for d, first in where:
-                        dup[first : first + b - a] = True if ids[d] > least else mine
-                    a = b
-        last = np.where(dup[:-1], np.arange(len(g.raw)), -LENGTH)
-        covered = np.arange(len(g.raw)) - np.maximum.accumulate(last) < LENGTH if len(last) else np.zeros(0, bool)
+            c = g.contexts(_answer(answers), n)
+            count = c.lens - (LENGTH - 1)
+            given = [np.unpackbits(np.frombuffer(bits[r], np.uint8), count=int(count[heads].sum())) for r, heads in c.ranges()]
+            given = np.concatenate([*given, np.zeros(0, np.uint8)]).astype(bool)
+            starts = np.cumsum(count[c.heads]) - count[c.heads]
+            for at in range(0, len(c.which), BATCH // SPAN):  # a bounded number of windows at a time
+                some = slice(at, at + BATCH // SPAN)
+                later = c.ids[some] > c.ids[c.heads[c.which[some]]]
+                dup[spread(c.first[some], count[some])] = given[spread(starts[c.which[some]], count[some])] | np.repeat(later, count[some])
+        upto = np.cumsum(dup[:-1], dtype=np.int32)  # matched strings that have begun; those of the last LENGTH bytes cover
+        covered = upto > 0
+        covered[LENGTH:] = upto[LENGTH:] > upto[:-LENGTH]
         rows = []
         for i, a, b in zip(g.ids.tolist(), g.starts.tolist(), g.ends.tolist(), strict=True):
             c = covered[a:b]
