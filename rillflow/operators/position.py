@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -15,7 +16,6 @@ _LOCAL = (1 << 33) - 1
 
 
 SHARED = "spark.checkpoint.dir"
-_LIVE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,37 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SHARED} to a folder that the cluster shares")
-        import tempfile
-
-        where = f"file://{tempfile.gettempdir()}/rillflow-{spark.sparkContext.applicationId}"
+        where = f"file://{tempfile.gettempdir()}"
     return where.rstrip("/")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder. What lies there goes when cleaned is called, or with the application."""
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    if spark.sparkContext.applicationId not in _LIVE:
-        import atexit
-
-        atexit.register(_at_end, spark.sparkContext)
-    _LIVE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    """A new path in the shared folder, in one folder for the application: it is deleted when the driver's JVM ends, or by
+    cleaned before that."""
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/rillflow-{context.applicationId}"
+    if getattr(context, "_rillflow_root", None) != root:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        context._rillflow_root = root
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def cleaned(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this application has written; results that read them cannot be run again."""
-    jvm = spark.sparkContext._jvm
-    for path in _LIVE.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _at_end(context) -> None:
-    try:
-        if context._jsc is not None:
-            cleaned(SparkSession(context))
-    except Exception:  # noqa: BLE001  the JVM may be gone: then only the files stay
-        pass
+    """Delete the intermediate tables of this application; DataFrames that read them cannot be run again."""
+    context = spark.sparkContext
+    root, context._rillflow_root = getattr(context, "_rillflow_root", None), None
+    if root:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(spark: SparkSession, tables: Iterable[pa.Table], schema: str) -> DataFrame:
@@ -91,3 +85,12 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "pos") -> Data
     offsets = F.broadcast(offsets)  # a row for each of the n partitions
     joined = rows.withColumn("_part", part).join(offsets, "_part")
     return joined.withColumn(name, (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL))).cast("long")).drop("_part", "_mid", "_off")
+
+
+def with_group_position(df: DataFrame, group: str, order_by: list[str], name: str = "row_idx") -> DataFrame:
+    """df with the 0-based dense position of every row in its group: the position among all rows, less that of the group's
+    first row. A group of any size spreads over tasks."""
+    rows = with_position(df, [group, *order_by], name)
+    first = rows.groupBy(F.col(group).alias("_g")).agg(F.min(name).alias("_first"))
+    joined = rows.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(name, F.col(name) - F.col("_first")).drop("_g", "_first")

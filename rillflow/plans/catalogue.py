@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, keys, statistics
 from ..operators import elementwise, limits, mixing, monitoring, shuffling, windows
-from ..operators.position import scratch, with_position
-from ..sources.drivers import CsvDriver, FeatherDriver, JsonlDriver, MessagepackDriver, combined
-from ..sources.shards import ShardStore
+from ..operators.position import scratch, with_group_position, with_position
+from ..sources.drivers import CsvDriver, FeatherDriver, JsonlDriver, MessagepackDriver, SourceCombiner, ZarrDriver, combined, write_array
+from ..sources.files import FilesystemStore
+from ..sources.iterables import DummyShardedDriver, iterable_source
+from ..sources.serializers import JsonSerializer
+from ..sources.shards import ShardStore, put_bytes
+from ..stream import Stream
 from . import artifacts, catalog
 
 QUERIES: dict = {}
@@ -198,10 +202,7 @@ def buffer_shuffle(spark, d):
 
 
 def by_lang(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy("doc_id")  # four languages of documents: the size of a source is the operator's own unit here
-    return table(spark, d, "documents").select("lang", "doc_id").withColumn("row_idx", (F.row_number().over(w) - 1).cast("long"))
+    return with_group_position(table(spark, d, "documents").select("lang", "doc_id"), "lang", ["doc_id"])
 
 
 BYLANG = "WITH RECURSIVE d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, dense_rank() OVER (ORDER BY lang) - 1 AS ord FROM documents) "
@@ -243,12 +244,45 @@ def mux_uniform(spark, d):
 
 @query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, doc_id FROM documents")
 def sampler_union(spark, d):
+    return mixing.sampled_once(by_lang(spark, d), "lang", None, 42).select("lang", "row_idx", "doc_id")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS in_pos, true AS within FROM events")
+def buffer_shuffle_bounds(spark, d):
+    """What holds for any seed: every row once, none earlier by the buffer's size."""
+    df = shuffling.buffer_shuffle(events(spark, d), 1000, 100, 42)
+    return df.select("event_id", "in_pos", (F.col("in_pos") - F.col("pos") < 1000).alias("within"))
+
+
+def epochs_seen(mix: DataFrame, by: DataFrame) -> DataFrame:
+    """How often a mix has each row, by what holds for any seed: a source's rows come in order, epoch by epoch."""
+    n = mix.groupBy("lang", "row_idx").agg(F.count("*").alias("n"))
+    most = n.groupBy("lang").agg(F.max("n").alias("most"), F.max(F.when(F.col("row_idx") == 0, F.col("n"))).alias("first"))
+    rows = by.join(n, ["lang", "row_idx"], "left").join(most, "lang", "left")
+    fair = (F.coalesce("n", F.lit(0)) >= F.col("most") - 1) & (F.col("first") == F.col("most"))
+    return rows.select("lang", "row_idx", fair.alias("fair"))
+
+
+@query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, true AS fair FROM documents")
+def mux_uniform_epochs(spark, d):
     df = by_lang(spark, d)
-    counts = {r[0]: r[1] for r in df.groupBy("lang").count().collect()}
-    names = sorted(counts)
-    drawn = mixing.without_oversampling([counts[x] for x in names], None, 42)
-    plan = spark.createDataFrame([(i, names[s], r) for i, (s, r) in enumerate(drawn)], "pos long, lang string, row_idx long")
-    return mixing.scheduled(df, plan, "lang").select("lang", "row_idx", "doc_id")
+    return epochs_seen(mixing.sampled(df, "lang", None, 42), df)
+
+
+@query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, true AS fair FROM documents")
+def mux_sampling_epochs(spark, d):
+    df = by_lang(spark, d)
+    return epochs_seen(mixing.sampled(df, "lang", {"de": 0.3, "en": 0.4, "es": 0.1, "fr": 0.2}, 42, 4), df)
+
+
+@query("SELECT lang, true AS told FROM (SELECT DISTINCT lang FROM documents)")
+def mux_counts(spark, d):
+    """Samples and restarts that the sampler tells are those of its rows: whole epochs are its restarts."""
+    mix, told = mixing.sampled_with_counts(by_lang(spark, d), "lang", None, 42)
+    rows = spark.createDataFrame([(k, n, r) for k, (n, r) in told.items()], "lang string, samples long, restarts long")
+    seen = mix.groupBy("lang").agg(F.count("*").alias("n"), F.max("epoch").alias("last"))
+    same = (F.col("n") == F.col("samples")) & F.col("last").between(F.col("restarts") - 1, F.col("restarts"))
+    return rows.join(seen, "lang").select("lang", same.alias("told"))
 
 
 @query("SELECT lang, count(*) AS n_samples, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS ratio, count(*) AS size, 1.0::DOUBLE AS epochs FROM documents GROUP BY lang")
@@ -304,11 +338,18 @@ def skip_k_keys(spark, d):
 
 def catalogs(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    entry = lambda df: df.select(F.col("source").alias("identifier"), (F.col("doc_id") % 3 + 1).cast("int").alias("version")).distinct().select("identifier", "version", F.lit("csv").alias("driver_name"), F.lit("{}").alias("driver_kwargs"), F.lit("{}").alias("metadata"))
-    return entry(docs.where("doc_id % 40 < 3")), entry(docs.where("doc_id % 40 between 2 and 5"))
 
+    def entry(version):
+        keys = docs.select(F.col("source").alias("identifier"), F.expr(version).cast("int").alias("version")).distinct()
+        return keys.select("*", F.lit("csv").alias("driver_name"), F.lit("{}").alias("driver_kwargs"), F.lit("{}").alias("metadata"))
+
+    return entry("doc_id % 3 + 1"), entry("doc_id % 4 + 2")
 
-CAT = "WITH a AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 3 + 1 AS INTEGER) AS version FROM documents WHERE doc_id % 40 < 3), b AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 3 + 1 AS INTEGER) AS version FROM documents WHERE doc_id % 40 BETWEEN 2 AND 5) "
+
+CAT = (
+    "WITH a AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 3 + 1 AS INTEGER) AS version FROM documents), "
+    "b AS (SELECT DISTINCT source AS identifier, CAST(doc_id % 4 + 2 AS INTEGER) AS version FROM documents) "
+)
 
 
 @query(CAT + "SELECT * FROM a UNION SELECT * FROM b")
@@ -361,15 +402,10 @@ def feather_roundtrip(spark, d):
     import pyarrow as pa
     from pyarrow import feather
 
-    from ..sources.shards import hadoop
-
     sink = pa.BufferOutputStream()
     feather.write_feather(table(spark, d, "nation").toArrow(), sink, compression="uncompressed")
     path = scratch(spark) + "/nation.feather"
-    fs, where = hadoop(spark, path)
-    stream = fs.create(where, True)
-    stream.write(bytearray(sink.getvalue().to_pybytes()))
-    stream.close()
+    put_bytes(spark, path, sink.getvalue().to_pybytes())
     return FeatherDriver(spark, path).get_df()
 
 
@@ -409,3 +445,128 @@ def kendall_tau(spark, d):
 def artifact_versions(spark, d):
     paths = table(spark, d, "documents").select(F.concat_ws("/", F.lit("root"), "lang", "source", F.concat(F.lit("v"), F.col("doc_id") % 12), F.lit("files/x.txt")).alias("path"))
     return artifacts.versions_of(paths)
+
+
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS row, CAST(j - 1 AS INTEGER) AS col, CAST(embedding[(i - 1) * 8 + j] AS DOUBLE) AS value FROM embeddings, range(1, 9) a(i), range(1, 9) b(j)")
+def ndarray_values(spark, d):
+    """Every value of every array, encoded, decoded and cut into rows."""
+    df = table(spark, d, "embeddings").select("vec_id", arrays.from_json(arrays.to_json(F.col("embedding").cast("array<double>"), "float32", [8, 8])).alias("a"))
+    rows = df.select("vec_id", F.posexplode(arrays.rows_of(F.col("a.data"), 8)).alias("row", "r"))
+    return rows.select("vec_id", "row", F.posexplode("r").alias("col", "value"))
+
+
+NULLS = "CASE WHEN o_orderkey % 3 <> 0 THEN 9007199254740993 + o_orderkey END"
+
+
+@query(f"SELECT o_orderkey, {NULLS} AS v, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS s FROM orders")
+def map_nulls(spark, d):
+    """Integers past the doubles beside nulls, through a Python function."""
+    df = table(spark, d, "orders").select("o_orderkey", F.expr(NULLS).alias("v"), "o_orderstatus")
+    return elementwise.map_rows(df, lambda r: {**r, "s": r["o_orderstatus"] if r["o_orderkey"] % 2 == 0 else None}, "o_orderkey long, v long, s string")
+
+
+@query(SHARDS + f"SELECT CAST(pos // 1000 AS VARCHAR) AS shard_key, pos % 1000 AS row_in_shard, o_orderkey, {NULLS} AS v, o_orderkey % 7 = 0 AS flag FROM o")
+def shard_nulls_messagepack(spark, d):
+    df = with_position(table(spark, d, "orders").select("o_orderkey", F.expr(NULLS).alias("v"), (F.col("o_orderkey") % 7 == 0).alias("flag")), ["o_orderkey"])
+    store = ShardStore(spark, scratch(spark), "messagepack")
+    store.write(df.withColumn("shard", F.floor(F.col("pos") / 1000)), "shard", "pos")
+    return store.read("o_orderkey long, v long, flag boolean")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS name FROM nation")
+def async_map(spark, d):
+    s = Stream(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+    return s.async_map(lambda r: {"name": r["n_name"].upper()}, "name string", buffer=10, max_workers=4).df.select("n_nationkey", "name")
+
+
+@query("SELECT i AS pos, i * i AS item FROM range(1000) t(i)")
+def iterable_items(spark, d):
+    return iterable_source(spark, lambda: (i * i for i in range(1000))).df.select("pos", "item")
+
+
+@query("SELECT CAST(i // 25 AS VARCHAR) AS shard_key, i % 25 AS row_in_shard, i AS item FROM range(100) t(i)")
+def dummy_shards(spark, d):
+    return DummyShardedDriver(spark, 4, 25).get_df()
+
+
+@query("SELECT n_nationkey AS k, 2 * n_nationkey AS twice FROM nation WHERE n_nationkey > 1 ORDER BY k LIMIT 7")
+def source_rebound(spark, d):
+    """Operators that were put on one source, on another."""
+    region = Stream(table(spark, d, "region").select(F.col("r_regionkey").alias("k")), ["k"])
+    nation = Stream(table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), ["k"])
+    return region.filter("k > 1").map(twice=2 * F.col("k")).take(7).source_(nation).df.select("k", "twice")
+
+
+@query(EV + "SELECT pos, event_id, true AS told FROM e")
+def monitor_identity(spark, d):
+    """Rows pass; the callback is told once for each row from the window's length on."""
+    seen = []
+    s = Stream(events(spark, d, "ts", "props"), ["pos"], True).monitor(seen.append, "ts", F.octet_length("props"), window=5)
+    s.join()
+    n = s.df.count()
+    return s.df.select("pos", "event_id", F.lit(len(seen) == max(0, n - 4)).alias("told"))
+
+
+@query("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation) WHERE pos % 2 = 1")
+def loader_rows(spark, d):
+    """What one of two ranks gets from a loader's iterable."""
+    s = Stream(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+    rows = list(s.split_by_rank(1, 2).to_torch_iterable(columns=["n_nationkey", "n_name"]))
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string") if rows else s.df.limit(0)
+
+
+def two_sources(spark, d) -> SourceCombiner:
+    stores = {}
+    for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        rows = with_position(table(spark, d, name).select(F.col(key).cast("long").alias("k"), F.col(f"{name[0]}_name").alias("name")), ["k"])
+        store = ShardStore(spark, scratch(spark))
+        store.write(rows.withColumn("shard", F.floor(F.col("pos") / 10)), "shard", "pos")
+        stores[name] = catalog.Source("jsonl", {"url": store.url, "schema": "k long, name string"})
+    return SourceCombiner(spark, {n: (n, 1) for n in stores}, catalog.Catalog({n: {1: s} for n, s in stores.items()}))
+
+
+BOTH = (
+    "WITH b AS (SELECT 'nation' AS source, 0 AS ord, n_nationkey AS k, n_name AS name, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx FROM nation "
+    "UNION ALL SELECT 'region', 1, r_regionkey, r_name, row_number() OVER (ORDER BY r_regionkey) - 1 FROM region) "
+)
+
+
+@query(BOTH + "SELECT row_number() OVER (ORDER BY row_idx, ord) - 1 AS pos, source, CAST(k AS BIGINT) AS k, name FROM b")
+def combined_interleaved(spark, d):
+    return two_sources(spark, d).get_stream().df.select("pos", "source", "k", "name")
+
+
+@query(BOTH + "SELECT source, row_idx, CAST(k AS BIGINT) AS k, name FROM b")
+def combined_sampled(spark, d):
+    return two_sources(spark, d).get_sampled({"nation": 0.7, "region": 0.3}, 5).df.select("source", "row_idx", "k", "name")
+
+
+@query(
+    SHARDS
+    + """, k AS (SELECT s, row_number() OVER (ORDER BY md5('7:' || i), i) - 1 AS sp FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT CAST(pos // 1000 AS VARCHAR) AS s FROM o))),
+r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sp, pos) - 1 AS p FROM o JOIN k ON k.s = CAST(o.pos // 1000 AS VARCHAR))
+SELECT p // 100 * 100 + row_number() OVER (PARTITION BY p // 100 ORDER BY md5('9:' || p), p) - 1 AS pos, o_orderkey FROM r"""
+)
+def two_level_shuffle(spark, d):
+    """Shards in random order, then rows in random order within blocks."""
+    driver = JsonlDriver(spark, order_shards(spark, d).url, ORDERS)
+    return driver.get_stream(key_seed=7, item_seed=9, item_buffer=100).df.select("pos", "o_orderkey")
+
+
+@query("SELECT r_name AS key, r_regionkey AS value FROM region")
+def whole_objects(spark, d):
+    store = FilesystemStore(spark, scratch(spark), JsonSerializer())
+    for r in table(spark, d, "region").select("r_name", "r_regionkey").toLocalIterator():
+        store.set({"value": r["r_regionkey"]}, f"regions/{r['r_name']}")
+    rows = [(k.removeprefix("regions/"), store.get(k)["value"]) for k in store.keys()]
+    return spark.createDataFrame(rows, "key string, value int")
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS key, i - 1 AS at, s[i] AS value FROM (SELECT s_nationkey, list(s_acctbal ORDER BY s_suppkey) AS s FROM supplier GROUP BY 1), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
+def array_roundtrip(spark, d):
+    """An array a nation, written in chunks of seven by the driver, decoded by tasks."""
+    url = scratch(spark)
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("s_acctbal").cast("double").alias("b")))).alias("s"))
+    for r in rows.toLocalIterator():
+        write_array(spark, url, str(r["s_nationkey"]), [x["b"] for x in r["s"]], [7])
+    return ZarrDriver(spark, url).get_df().select("key", F.posexplode("data").alias("at", "value")).withColumn("at", F.col("at").cast("long"))
