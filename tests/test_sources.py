@@ -124,6 +124,18 @@ def test_combined_sources(spark):
     assert c.get_df().count() == 6 and [len(x) for x in JsonlDriver(spark, c.get_store("a").url).get_iter(flatten=False)] == [3]
 
 
+def test_catalogue_tables_must_agree_where_they_meet(spark):
+    from rillflow.plans.catalog import intersection_df
+
+    one = Catalog({"a": {1: Source("csv", {"url": "x"})}, "b": {1: Source("csv", {"url": "y"})}})
+    other = Catalog({"a": {1: Source("parquet", {"url": "x"})}})
+    assert [r["identifier"] for r in intersection_df(one.to_df(spark), other.to_df(spark)).collect()] == ["a"]
+    other["b", 1] = Source("csv", {"url": "z"})
+    with pytest.raises(Exception, match="differs"):
+        intersection_df(one.to_df(spark), other.to_df(spark)).collect()
+    assert repr(one["a", 1]) == '{"driver_name": "csv", "driver_kwargs": {"url": "x"}, "metadata": {}}'
+
+
 def test_artifact_file_store(spark, tmp_path):
     from rillflow.plans.artifacts import ArtifactFileStore
 

@@ -289,6 +289,22 @@ def test_loader_reads_in_order_and_checks_splits(spark, monkeypatch):
     assert len(list(s.to_loader(False, False))) == 100
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_kendall_counts_every_pair(spark, ranges):
+    from rillflow.functions.statistics import balance, kendall_tau
+
+    draw = random.Random(3)
+    for n, values in ((0, 5), (1, 5), (60, 8), (150, 1000)):
+        rows = [(draw.randrange(values), draw.randrange(values)) for _ in range(n)]
+        signs = [(y2 > y1) - (y2 < y1) for x1, y1 in rows for x2, y2 in rows if x1 < x2]
+        df = spark.createDataFrame([*rows, (None, 1), (1, None)], "x int, y int")
+        got = kendall_tau(df, "x", "y", ranges).first()[0]
+        assert got is None and not signs or abs(got - sum(signs) / len(signs)) < 1e-12
+        import numpy as np
+
+        assert balance(np.array([x for x, _ in rows], int), np.array([y for _, y in rows], int)) == sum(signs)
+
+
 def test_randomness_falls_with_the_buffer():
     fixed, mixed = randomness(5, 10, 1, 0, 15), randomness(5, 10, 50, 50, 15)
     assert 1 > fixed > mixed > 0
