@@ -24,19 +24,6 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second"), canon)), 16, "0")))
 
 
-def digests(rows: DataFrame, hash_of=wide_hash) -> DataFrame:
-    """fingerprint of every row of rows (canon, ...): the hash, and a number that tells apart different texts of one hash.
-
-    For tables of one text column; equal texts have equal fingerprints, whatever the order of rows. Only the hashes that
-    several rows share are looked at again; their texts are compared as bytes (least against greatest).
-    """
-    hashed = rows.withColumn("_h", hash_of(F.col("canon")))
-    clash = hashed.groupBy("_h").agg(F.min("canon").alias("_a"), F.max("canon").alias("_b")).where("_a <> _b").select("_h")
-    numbered = ordinals(hashed.join(clash, "_h", "left_semi").select("_h", "canon"))
-    out = hashed.join(numbered.withColumnRenamed("canon", "_c"), (F.col("_h") == F.col("_oh")) & (F.col("canon") == F.col("_c")), "left")
-    return out.withColumn("fingerprint", with_ordinal(F.col("_h"), F.col("_o"))).drop("_h", "_oh", "_c", "_o")
-
-
 def ordinals(texts: DataFrame) -> DataFrame:
     """(_oh, canon, _o) of the distinct texts (_h, canon) of hashes that clash: 0, 1, ... by bytes."""
     return texts.distinct().select(F.col("_h").alias("_oh"), "canon", (F.row_number().over(Window.partitionBy("_h").orderBy("canon")) - 1).alias("_o"))

@@ -196,12 +196,6 @@ def test_fingerprint(odd, none, weak):
     assert fingerprint.compare(none, hash_of).collect() == []
 
 
-def test_digests_number_clashing_texts(spark):
-    rows = spark.createDataFrame([("a",), ("b",), ("a",), ("c",)], "canon string")
-    got = fingerprint.digests(rows, lambda c: F.lit("same")).collect()
-    assert len({r["fingerprint"] for r in got}) == 3 and len(got) == 4
-
-
 def test_langid(odd, none):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
