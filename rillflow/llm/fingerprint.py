@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RESIDUES, materialise, partitions, prefilter, residue
+from .common import materialise, partitions, prefilter, residue
 
 
 def canonical(text: Column) -> Column:
@@ -62,7 +62,8 @@ def with_next(docs: DataFrame, cut: list[int], carry: list[str]) -> DataFrame:
     names = ["doc_id", "text", *carry]
     inside = Window.partitionBy("_r").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.select("_r", *names, *[F.lead(c).over(inside).alias(f"_n_{c}") for c in names], F.lead(F.lit(1)).over(inside).isNull().alias("_end"))
-    least = docs.select("doc_id", ranged(cut).alias("_r")).groupBy("_r").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).select(F.col("m.doc_id").alias("_first"))
+    least = docs.select("doc_id", ranged(cut).alias("_r")).groupBy("_r").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m"))
+    least = least.select(F.col("m.doc_id").alias("_first"))
     first = docs.join(F.broadcast(least), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")  # at most a row a range
     first = first.withColumn("_r", ranged(cut)).groupBy("_r").agg(F.min(F.struct("text", "doc_id", *carry)).alias("_f"))
     order = Window.orderBy("_r")
@@ -99,11 +100,13 @@ def compare(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
     facts = materialise(rows.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", "eh", F.col("next_h").alias("nh")), "fingerprints")
     roles = facts.select(F.col("h").alias("_h"), "doc_id", F.col("doc_id").alias("also")).union(facts.select("eh", "doc_id", "next_doc_id"))
     shared = roles.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    members = materialise(roles.join(shared, "_h", "left_semi").select(F.explode(F.array(F.col("doc_id"), F.col("also"))).alias("doc_id")).select(residue("doc_id").alias("_res")).distinct(), "shared")
-    assert RESIDUES >= members.count()
+    members = roles.join(shared, "_h", "left_semi").select(F.explode(F.array(F.col("doc_id"), F.col("also"))).alias("doc_id"))
+    members = materialise(members.select(residue("doc_id").alias("_res")).distinct(), "shared")  # at most RESIDUES rows
     again = docs.withColumn("_res", residue("doc_id")).join(F.broadcast(members), "_res", "left_semi").drop("_res")
     again = edited(again, cut, hash_of)
-    texts = again.select(F.explode(F.array(F.struct(F.col("h").alias("_h"), canonical(F.col("text")).alias("canon")), F.struct(F.col("eh").alias("_h"), F.col("edited_canon").alias("canon")))).alias("x")).select("x.*")
+    own = F.struct(F.col("h").alias("_h"), canonical(F.col("text")).alias("canon"))
+    changed = F.struct(F.col("eh").alias("_h"), F.col("edited_canon").alias("canon"))
+    texts = again.select(F.explode(F.array(own, changed)).alias("x")).select("x.*")
     texts = texts.join(shared, "_h", "left_semi")
     clash = materialise(texts.groupBy("_h").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("_h"), "clashes")
     if clash.isEmpty():
@@ -114,6 +117,9 @@ def compare(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
         for h, c, o in (("h", "canon", "_o1"), ("eh", "edited_canon", "_o2"), ("next_h", "next_canon", "_o3")):
             k = known.select(F.col("_oh").alias(f"_k{o}"), F.col("canon").alias(f"_c{o}"), F.col("_o").alias(o))
             full = full.join(k, (F.col(h) == F.col(f"_k{o}")) & (F.col(c) == F.col(f"_c{o}")), "left")
-        named = full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), with_ordinal(F.col("h"), F.col("_o1")).alias("fingerprint"), with_ordinal(F.col("eh"), F.col("_o2")).alias("edited_fingerprint"), with_ordinal(F.col("next_h"), F.col("_o3")).alias("_nf"))
+        roles = {"fingerprint": ("h", "_o1"), "edited_fingerprint": ("eh", "_o2"), "_nf": ("next_h", "_o3")}
+        names = [with_ordinal(F.col(h), F.col(o)).alias(name) for name, (h, o) in roles.items()]
+        named = full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "_nf").alias("near_next"))
+    near = [same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "_nf").alias("near_next")]
+    return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)

@@ -163,7 +163,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     flags = drop.select("_k", "_i", F.size("_drop").alias("_n"), F.flatten(F.transform("_drop", gap)).alias("_flags"))
     small = F.broadcast(materialise(drop.select(residue("_k").alias("_res")).distinct(), "residues"))  # at most RESIDUES rows
     flat = flat.select("_d", "doc_id", "text", "_k", residue("_k").alias("_res"))
-    may = flat.join(small, "_res", "left_semi").alias("f").join(flags.alias("x"), (F.col("f._k") == F.col("x._k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left").select("_d", "text", "_n", "_flags")
+    same = (F.col("f._k") == F.col("x._k")) & F.col("doc_id").eqNullSafe(F.col("_i"))
+    may = flat.join(small, "_res", "left_semi").alias("f").join(flags.alias("x"), same, "left").select("_d", "text", "_n", "_flags")
     out = may.unionByName(flat.join(small, "_res", "left_anti").select("_d", "text", F.lit(None).cast("int").alias("_n"), F.lit(None).cast("array<boolean>").alias("_flags")))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
     text = F.when(F.col("_n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

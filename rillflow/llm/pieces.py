@@ -259,7 +259,8 @@ def encoded(docs: DataFrame, path: str, carry: list[str], ids: bool = False) ->
         raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     from pyspark.sql import types as T
 
-    extra = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), *([("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids)]
+    extra = [("n_tokens", T.LongType(), pa.int64()), *[(c, T.StringType(), pa.string()) for c in ("ids_sha256", "decoded_sha256")]]
+    extra += [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids
     out = T.StructType([*docs.select(*carry).schema.fields, *[T.StructField(n, t) for n, t, _ in extra]])
 
     def run(batches):

@@ -66,7 +66,8 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
             flat += ws
             lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
             chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
-            rows.append((len(ws), chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), 0, len(lines), len(set(ws)), len(CAPS.findall(text)), text.count("!") + text.count("?"), sum(map(raw.count, DIGITS))))
+            symbols, caps, marks, digits = len(SYMBOLS.findall(text)), len(CAPS.findall(text)), text.count("!") + text.count("?"), sum(map(raw.count, DIGITS))
+            rows.append((len(ws), chars, symbols, len(lines) - len(set(lines)), 0, len(lines), len(set(ws)), caps, marks, digits))
         code = codes.of(flat)
         many = np.array(many, np.int64)
         table = np.array(rows, np.int64).reshape(len(rows), len(STATS))

@@ -343,7 +343,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, tag: str = "tokens", spe
             nonlocal chunk, before, held, held_ids, held_lens, total
             ids = np.concatenate(held_ids)
             offsets, words, wide = pack(ids)
-            row = {"part": part, "chunk": chunk, "before": before, "doc_ids": held, "lens": held_lens, "n_ids": len(ids), "offsets": offsets.astype("<u4").tobytes(), "words": words.astype("<u8").tobytes(), "wide": wide.astype("<u8").tobytes()}
+            blobs = {"offsets": offsets.astype("<u4").tobytes(), "words": words.astype("<u8").tobytes(), "wide": wide.astype("<u8").tobytes()}
+            row = {"part": part, "chunk": chunk, "before": before, "doc_ids": held, "lens": held_lens, "n_ids": len(ids), **blobs}
             chunk, before, held, held_ids, held_lens, total = chunk + 1, before + len(ids), [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=out_schema)
 
@@ -380,7 +381,8 @@ def read(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(lens)
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + row["before"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], schema=schema)
+                starts = row["first"] + row["before"] + ends - lens
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row["doc_ids"], starts, lens, crc)], schema=schema)
 
     if partitions(files.sparkSession) <= BROADCAST_PARTS:  # a row of two numbers for each part, and as many parts
         whole = F.broadcast(whole)

@@ -31,8 +31,9 @@ MARKS = set("\"'«»“”„‘’")
 #: A word, with signs inside it that stand for letters (f**k, id!ot), or a quotation mark.
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!#]+[^\W_]+)*|[\"'«»“”„‘’]")
 HIDDEN = re.compile(r"[*@$!#]")
-#: So many letters on their own, one after the other, are a word spelled out (s.t.u.p.i.d).
+#: So many letters on their own, with one sign or blank between each two, are a word spelled out (s.t.u.p.i.d).
 SPELLED = 4
+APART = re.compile(rf"(?<![^\W_])(?<![*@$!#])[^\W\d_]([.\-_ ])[^\W\d_](?:\1[^\W\d_]){{{SPELLED - 2},}}(?![^\W_])")
 #: Digits and signs that stand for letters (fixed table).
 LEET = str.maketrans("013457", "oleast")
 NAMES = ["bias", "exact", "fuzzy", "quoted", "rate"]
@@ -121,28 +122,20 @@ def squeezed(word: str) -> str:
 
 def tokens(text: str | None) -> list[str]:
     """Words and quotation marks of a text in lower case; signs in words are *, a word spelled out is joined."""
-    out = TOKEN.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    out = TOKEN.findall(text)
     sizes = list(map(len, out))
+    if sizes.count(1) >= SPELLED and any(sum(sizes[i : i + SPELLED]) == SPELLED for i in range(len(sizes) - SPELLED + 1)):
+        out = TOKEN.findall(APART.sub(lambda m: m.group()[::2], text))
+        sizes = list(map(len, out))
     if not all(map(str.isalnum, out)):
         for i, w in enumerate(out):
             if sizes[i] > 1 and not w.isalnum():
                 apart = sizes[i] % 2 and all(map(HIDDEN.match, w[1::2])) and w[::2].isalpha()
                 out[i] = w[::2] if apart and sizes[i] >= 2 * SPELLED - 1 else HIDDEN.sub("*", w)
-    if sizes.count(1) < SPELLED:
-        return out
-    joined: list[str] = []
-    at = 0
-    while at < len(out):
-        upto = at
-        while upto < len(out) and sizes[upto] == 1 and out[upto].isalpha():
-            upto += 1
-        if upto - at >= SPELLED:
-            joined.append("".join(out[at:upto]))
-        else:
-            upto = max(upto, at + 1)
-            joined += out[at:upto]
-        at = upto
-    return joined
+    return out
 
 
 class Scorer:
@@ -240,17 +233,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_terms
             for key in [*((w, y, c) for w, c in first.items()), ("", y, None)]:
                 tally[key] += 1
                 copied[key] += copies
-        items = list(tally.items())
-        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k, _ in items], pa.string()), "toxic": pa.array([k[1] for k, _ in items], pa.int32()), "context": pa.array([k[2] for k, _ in items], pa.string()), "n": pa.array([n for _, n in items], pa.int64()), "rows": pa.array([copied[k] for k, _ in items], pa.int64())})
+        kinds = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("context", pa.string()), ("n", pa.int64()), ("rows", pa.int64())])
+        columns = [*zip(*tally, strict=True)] or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*columns, tally.values(), map(copied.get, tally)], kinds, strict=True)], schema=kinds)
 
     bad = F.col("toxic") == 1
-    df = once.mapInArrow(count, "word string, toxic int, context string, n long, rows long").groupBy("word", "context").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(bad, 0).otherwise(F.col("n"))).alias("good"), F.sum(F.when(bad, 0).otherwise(F.col("rows"))).alias("clean"))
+    sums = {"bad": F.when(bad, F.col("n")), "good": F.when(~bad, F.col("n")), "clean": F.when(~bad, F.col("rows"))}
+    df = once.mapInArrow(count, "word string, toxic int, context string, n long, rows long").groupBy("word", "context")
+    df = df.agg(*[F.sum(F.coalesce(x, F.lit(0))).alias(name) for name, x in sums.items()])
     df = df.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "clean")], F.count("context").alias("contexts"))
     df = materialise(df, "words")
     total = {r[0]: (r[1], r[2]) for r in df.where("word = ''").select("word", "bad", "good").collect()}
     nb, ng = total.get("", (0, 0))
     lift = (F.col("bad") + 0.5) / (nb + 1) / ((F.col("good") + 0.5) / (ng + 1))
-    rows = df.where((F.col("word") != "") & (F.col("contexts") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(most_terms).collect()
+    telling = (F.col("word") != "") & (F.col("contexts") >= LEAST) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))
+    rows = df.where(telling).withColumn("lift", lift).where("lift > 20").orderBy(F.desc(F.col("bad") * F.log("lift")), "word").limit(most_terms).collect()
     terms = {r["word"]: min(1.5, math.log(r["lift"]) / 4) for r in rows}
     known = {r[0] for r in df.where((F.col("clean") >= 2) & (F.col("word") != "")).orderBy(F.desc("clean"), "word").limit(most_known).collect()}
     scorer = Scorer(terms, known)
@@ -263,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_terms
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(5)] + [batch.column("toxic")], names=[*NAMES, "toxic"])
 
     told = ", ".join(f"{n} double" for n in NAMES) + ", toxic int"
-    got = materialise(sample.mapInArrow(featured, told), "features").orderBy(*NAMES, "toxic").toPandas()  # at most a row a sampled document
+    got = materialise(sample.mapInArrow(featured, told), "features").toPandas().sort_values([*NAMES, "toxic"])  # at most a row a sampled document
     scorer.weights = logistic(got[NAMES].to_numpy(float), (got["toxic"] == 1).to_numpy(float)) if len(got) else [-3.0, 3.0, 1.5, 0.3, 0.5]
     scorer.codes = {}
     for trie in scorer.tries:

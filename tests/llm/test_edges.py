@@ -235,6 +235,19 @@ def test_suffixdedup(odd, none):
     assert suffixdedup.dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 3, 256])
+def test_suffixdedup_of_hot_anchors(spark, monkeypatch, hot):
+    import random
+
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    draw = random.Random(hot)
+    line = " ".join(spelled(i) for i in range(12))
+    text = lambda i: " ".join([spelled(i, 3), spelled(i, 4)] * draw.randint(0, 4) + [line] * draw.randint(0, 2) + [spelled(i % 7, 5)] * 8)
+    docs = [(i if draw.random() < 0.9 else None, text(i)) for i in range(120)]
+    got = suffixdedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(removed(docs))
+
+
 def test_family_of_suffix_arrays():
     import numpy as np
 
