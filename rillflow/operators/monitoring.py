@@ -49,7 +49,9 @@ def monitor(df: DataFrame, time: str, size: Column, window: int = 5, conf: Metri
     w = Window.partitionBy("_home").orderBy(order)
     seconds = (F.col("t") - F.lag("t", window - 1).over(w)) / 1e6
     total = F.sum("b").over(w.rowsBetween(-(window - 2), 0))
-    out = rows.select(F.col(order), "_home", home.alias("_own"), (iops(F.lit(window), seconds) if conf.iops else F.lit(0.0)).alias(f"{prefix}iops"), (throughput(total, seconds, conf.throughput_unit) if conf.throughput else F.lit(0.0)).alias(f"{prefix}throughput"))
+    count = iops(F.lit(window), seconds) if conf.iops else F.lit(0.0)
+    rate = throughput(total, seconds, conf.throughput_unit) if conf.throughput else F.lit(0.0)
+    out = rows.select(F.col(order), "_home", home.alias("_own"), count.alias(f"{prefix}iops"), rate.alias(f"{prefix}throughput"))
     out = out.where((F.col("_home") == F.col("_own")) & (F.col(order) >= window - 1)).drop("_home", "_own")
     return out if conf.iops or conf.throughput else out.limit(0)
 
@@ -62,6 +64,13 @@ def reports(metrics: DataFrame, conf: MetricsConf | None = None, prefix: str = "
         yield {f"{prefix}IOPS number/s": r[1], rate: r[2]}
 
 
+def getsize(item) -> int:
+    """Bytes of a Python item: an array's own, or those of its pickled form."""
+    import pickle
+
+    return int(item.nbytes) if hasattr(item, "nbytes") else len(pickle.dumps(item))
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Bytes of a row as JSON: a portable stand-in for a serialised length."""
     return F.octet_length(F.to_json(F.struct(*df.columns)))

@@ -15,9 +15,18 @@ from .position import with_position, written
 CHUNK = 500_000
 
 
+def seeded(seed: object) -> object:
+    """The seed itself, or for None one that differs from process to process and from time to time."""
+    import os
+    import time
+
+    return f"{os.getpid()}{time.time()}" if seed is None else seed
+
+
 def hash_shuffle(df: DataFrame, seed: object = 0, order: str = "pos") -> DataFrame:
     """A full permutation: rows in order of the md5 of seed and position; the old position is in_pos."""
-    rows = df.withColumnRenamed(order, "in_pos").withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("in_pos").cast("string"))))
+    key = F.md5(F.concat(F.lit(f"{seeded(seed)}:"), F.col("in_pos").cast("string")))
+    rows = df.withColumnRenamed(order, "in_pos").withColumn("_h", key)
     return with_position(rows, ["_h", "in_pos"], order).drop("_h")
 
 
@@ -25,7 +34,8 @@ def block_shuffle(df: DataFrame, size: int = 1000, seed: object = 0, order: str
     """Rows permuted by hash within blocks of size positions: no row moves by size or more. One shuffle, no global sort."""
     if size < 2:
         return df.withColumn("in_pos", F.col(order))
-    rows = df.withColumnRenamed(order, "in_pos").withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("in_pos").cast("string"))))
+    key = F.md5(F.concat(F.lit(f"{seeded(seed)}:"), F.col("in_pos").cast("string")))
+    rows = df.withColumnRenamed(order, "in_pos").withColumn("_h", key)
     block = F.floor(F.col("in_pos") / size).cast("long")
     inside = Window.partitionBy(block).orderBy("_h", "in_pos")
     return rows.withColumn(order, block * size + F.row_number().over(inside) - 1).drop("_h")
@@ -38,7 +48,7 @@ def buffer_chunks(n: int, size: int | None = 1000, initial: int = 100, seed: obj
     drawn item whose place the last item fills; at the end the rest is drawn. A size under 2 changes nothing.
     """
     size = 1000 if size is None else size
-    draw = random.Random(seed)
+    draw = random.Random(seeded(seed))
     start, held, out, at = min(initial, size), [], [], 0
 
     def give():
