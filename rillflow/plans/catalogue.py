@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays, keys, statistics
 from ..operators import elementwise, limits, mixing, monitoring, shuffling, windows
 from ..operators.position import scratch, with_group_position, with_position
-from ..sources.drivers import CsvDriver, FeatherDriver, JsonlDriver, MessagepackDriver, SourceCombiner, ZarrDriver, combined, write_array
-from ..sources.files import FilesystemStore
+from ..sources.drivers import CsvDriver, DirectoryDriver, FeatherDriver, JsonlDriver, MessagepackDriver, SourceCombiner, ZarrDriver, combined, list_driver_names, write_array
+from ..sources.files import FilesystemStore, file_paths
 from ..sources.iterables import DummyShardedDriver, iterable_source
 from ..sources.serializers import JsonSerializer
 from ..sources.shards import ShardStore, put_bytes
@@ -570,3 +570,142 @@ def array_roundtrip(spark, d):
     for r in rows.toLocalIterator():
         write_array(spark, url, str(r["s_nationkey"]), [x["b"] for x in r["s"]], [7])
     return ZarrDriver(spark, url).get_df().select("key", F.posexplode("data").alias("at", "value")).withColumn("at", F.col("at").cast("long"))
+
+
+def regions_store(spark, d) -> FilesystemStore:
+    store = FilesystemStore(spark, scratch(spark), JsonSerializer())
+    for r in table(spark, d, "region").select("r_name", "r_regionkey").toLocalIterator():
+        store.set({"value": r["r_regionkey"]}, f"regions/{r['r_name'].replace(' ', '_')}.json")
+    return store
+
+
+FILES = "SELECT 'regions/' || replace(r_name, ' ', '_') || '.json' AS key"
+
+
+@query(FILES + ", CAST(length('{\"value\": ' || r_regionkey || '}') AS INTEGER) AS bytes FROM region")
+def directory_files(spark, d):
+    return DirectoryDriver(spark, regions_store(spark, d).url).get_df().select("key", F.length("content").alias("bytes"))
+
+
+@query(FILES + " FROM region")
+def file_listing(spark, d):
+    store = regions_store(spark, d)
+    return file_paths(spark, store.url, nested=True).select(F.expr("substring(path, instr(path, 'regions/'))").alias("key"))
+
+
+@query("SELECT pos, c_custkey + 1 AS k FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)")
+def deserialising_hook(spark, d):
+    rows = with_position(table(spark, d, "customer").select("c_custkey"), ["c_custkey"])
+    store = ShardStore(spark, scratch(spark))
+    store.write(rows.withColumn("shard", F.lit("all")).withColumn("at", F.col("pos")), "shard", "at")
+    return JsonlDriver(spark, store.url, "pos long, c_custkey long", deser_hook=lambda x: {**x, "c_custkey": x["c_custkey"] + 1}).get_df().select("pos", F.col("c_custkey").alias("k"))
+
+
+@query("SELECT unnest(['csv', 'directory', 'dummy_sharded', 'excel', 'feather', 'file', 'jsonl', 'messagepack', 'parquet', 'source_combiner', 'zarr']) AS name")
+def driver_names(spark, d):
+    return spark.createDataFrame([(n,) for n in list_driver_names()], "name string")
+
+
+@query("SELECT r_regionkey AS k, r_name AS name FROM region")
+def driver_options(spark, d):
+    """A catalogue's driver: its own storage options and those of the call, merged."""
+    path = scratch(spark)
+    table(spark, d, "region").select("r_regionkey", "r_name").write.option("sep", "|").option("header", True).csv(path)
+    source = catalog.Source("csv", {"url": path, "storage_options": {"header": True, "sep": ","}})
+    return source.get_driver(spark, storage_options={"sep": "|"}).get_df().select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"))
+
+
+def collected(spark, d) -> catalog.Catalog:
+    """The first catalogue as a Python object: its entries are a few a source."""
+    out = catalog.Catalog()
+    for r in catalogs(spark, d)[0].toLocalIterator():
+        out[r["identifier"], r["version"]] = catalog.Source(r["driver_name"], {"url": r["identifier"]}, {"n": r["version"]})
+    return out
+
+
+@query(CAT + "SELECT identifier, version, '{\"url\": \"' || identifier || '\"}' AS driver_kwargs FROM a")
+def catalog_yaml(spark, d):
+    """Written as YAML and read back, and equal to what was written."""
+    was = collected(spark, d)
+    again = catalog.Catalog.from_str(was.to_str())
+    return again.to_df(spark).where(F.lit(again == was and was.copy() == was)).select("identifier", "version", "driver_kwargs")
+
+
+@query(CAT + "SELECT identifier, version FROM a WHERE version < (SELECT max(version) FROM a x WHERE x.identifier = a.identifier) UNION ALL SELECT DISTINCT identifier, 9 FROM a")
+def catalog_edits(spark, d):
+    """The latest version of each identifier goes, version 9 is set."""
+    c = collected(spark, d)
+    for k in c.keys():
+        source = c[k, catalog.LATEST]
+        if len(c[k]) > 1:
+            del c[k, catalog.LATEST]
+        else:
+            c = c.difference(c.slice([k]))
+        c[k][9] = source
+    return c.to_df(spark).select("identifier", "version")
+
+
+@query(CAT + "SELECT * FROM a UNION ALL SELECT identifier || '-b', version FROM b")
+def catalog_join(spark, d):
+    mine = collected(spark, d)
+    other = catalog.Catalog.of({(f"{r['identifier']}-b", r["version"]): catalog.Source("csv") for r in catalogs(spark, d)[1].toLocalIterator()})
+    return mine.join(other).to_df(spark).select("identifier", "version")
+
+
+@query("SELECT 'notes/' || r_name AS identifier, v AS version, v - 1 AS logged, 'directory' AS driver_name FROM region, (VALUES (1), (2)) t(v)")
+def artifact_catalog(spark, d):
+    """Two versions of an artifact a region, logged as files and listed as a catalogue."""
+    import tempfile
+    from pathlib import Path
+
+    manager = artifacts.ArtifactManager(spark, scratch(spark), "notes")
+    with tempfile.TemporaryDirectory() as local:
+        for r in table(spark, d, "region").select("r_name").toLocalIterator():
+            for text in ("first", "second"):
+                (Path(local) / "note.txt").write_text(text)
+                manager.log_files(r["r_name"], f"{local}/note.txt")
+    found = manager.to_catalog().to_df(spark).where(F.lit(manager.collections() == ["notes"] and not manager.exists("none")))
+    return found.select("identifier", "version", F.get_json_object("metadata", "$.version").cast("int").alias("logged"), "driver_name")
+
+
+@query("SELECT n_name AS key, 1 AS version, n_nationkey AS value FROM nation")
+def artifact_objects(spark, d):
+    store = artifacts.ArtifactFileStore(artifacts.ArtifactManager(spark, scratch(spark), "objects"), JsonSerializer())
+    names = {}
+    for r in table(spark, d, "nation").select("n_name", "n_nationkey").toLocalIterator():
+        names[r["n_name"]] = [store.set({"v": v}, r["n_name"]) for v in (-1, r["n_nationkey"])]
+    rows = [(k, int(keys[1].rsplit("/v", 1)[-1]), store.get(k)["v"]) for k, keys in names.items() if store.key_exists(keys[0])]
+    return spark.createDataFrame(rows, "key string, version int, value int")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 10")
+def partition_function(spark, d):
+    """A function of the iterator of a partition's rows."""
+    s = Stream(table(spark, d, "events").select("event_id", "value"), ["event_id"])
+    return s.map_partition(lambda rows: (r for r in rows if r["value"] is not None and r["value"] > 10), "event_id long, value double").df
+
+
+@query("SELECT count(*) AS seen FROM events")
+def progress_count(spark, d):
+    s, seen = Stream(table(spark, d, "events").select("event_id"), ["event_id"]).tqdm()
+    s.join()
+    return spark.createDataFrame([(seen.get["rows"],)], "seen long")
+
+
+@query("SELECT o_orderkey, o_orderkey || '/part.0' AS name, CAST(o_custkey AS VARCHAR) AS customer, 'b' AS high, 'k' AS low, CAST(o_orderkey % 5 + 2 AS INTEGER) AS n FROM orders")
+def key_and_map_functions(spark, d):
+    """Endings and roots of keys off, fields of JSON, maps merged with the second winning, nested arrays flattened."""
+    k = F.col("o_orderkey")
+    df = table(spark, d, "orders")
+    path = F.concat(F.lit("root/"), k, F.lit("/part.0.gz"))
+    both = keys.merged(F.create_map(F.lit("a"), F.lit("k"), F.lit("b"), F.lit("x")), F.create_map(F.lit("b"), F.lit("b")))
+    nested = F.array(F.sequence(F.lit(0), k % 5), F.array(F.lit(7).cast("long")))
+    customer = F.get_json_object(F.to_json(F.struct(F.struct("o_custkey").alias("meta"))), "$.meta.o_custkey")
+    return df.select("o_orderkey", keys.without_gz(keys.relative(path, "root/")).alias("name"), customer.alias("customer"), both["b"].alias("high"), both["a"].alias("low"), F.size(arrays.flat(nested)).alias("n"))
+
+
+@query("SELECT 's3' AS a, '' AS b, 'gs' AS c, o_orderkey FROM orders")
+def protocols(spark, d):
+    from_url = [keys.protocol(F.concat(F.lit(p), F.col("o_orderkey"))) for p in ("s3://x/", "/local/")]
+    given = F.lit(keys.protocol_of("s3://x", {"protocol": "gs"}))
+    return table(spark, d, "orders").select(from_url[0].alias("a"), from_url[1].alias("b"), given.alias("c"), "o_orderkey")
