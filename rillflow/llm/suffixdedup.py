@@ -7,7 +7,8 @@ that occur in more than one place, and the windows of one anchor are a run of ne
 1. Texts are dealt into groups by a hash of the row. Each group tells, by hash range of the anchors, which anchors it has
    (each once, so that a line that a third of all documents share costs one entry a group, not one a document).
 2. Each range answers with the anchors that several groups have, or one group several times.
-3. Each group sends the contexts of those anchors, equal contexts once, with the least doc_id that has them.
+3. Each group sends the contexts of those anchors, equal contexts once, with the least doc_id that has them. An anchor
+   that very many groups have is hot: the windows of its contexts are sent one by one, dealt by their own bytes.
 4. In each range, the contexts of one group after the other get a suffix array, lexicographic, and are merge-scanned
    against the levels before it; equal ones become one with the least doc_id, what no level has becomes a level of its
    own, and levels of about equal size merge, so that n suffixes lie in at most log2(n) levels. A context that is alone
@@ -23,7 +24,6 @@ but the byte count goes to the driver.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ GROUP = 8 << 20
 STRETCH = 1 << 19
 #: Suffixes of one batch, about.
 BATCH = 1 << 18
+#: An anchor of more groups than this is hot: its windows are dealt by their own bytes, so that they spread over all ranges.
+HOT = 256
+#: In a length, the sign of a window of a hot anchor.
+LONE = 128
 NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,14 +117,15 @@ def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def cut_strings(raw: np.ndarray, at: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
-    """raw[at:at+len] as strings of width+1 bytes, padded with zeros, the length in the last byte so that padding counts."""
+def cut_strings(raw: np.ndarray, at: np.ndarray, lens: np.ndarray, width: int, sign: np.ndarray | int = 0) -> np.ndarray:
+    """raw[at:at+len] as strings of width+1 bytes, padded with zeros, the length (and a sign) in the last byte, so that
+    padding counts."""
     out = np.zeros((len(at), width + 1), np.uint8)
     if len(at) and (lens == width).all():
         out[:, :width] = np.lib.stride_tricks.sliding_window_view(raw, width)[at]
     elif len(at):
         out.reshape(-1)[spread(np.arange(len(at)) * (width + 1), lens)] = raw[spread(at, lens)]
-    out[:, width] = lens
+    out[:, width] = lens + sign
     return out.reshape(-1).view(f"S{width + 1}")
 
 
@@ -218,50 +223,97 @@ class Group:
         twice = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
         return np.repeat(k[heads], 1 + twice)
 
-    def contexts(self, asked: dict[int, np.ndarray], n: int) -> Contexts:
-        """The distinct contexts of the keys asked for (range -> sorted low halves of the keys), and where they occur."""
-        wanted = np.concatenate([np.sort(v).astype(np.uint64) | np.uint64(r << 32) for r, v in sorted(asked.items())])
+    def contexts(self, asked: dict[int, np.ndarray], hot: dict[int, np.ndarray], n: int) -> Contexts:
+        """The distinct contexts of the keys asked for (range -> low halves of the keys), and where they occur."""
+        wanted, hot = whole(asked), whole(hot)
         rng = ranges_of(self.keys, n)
-        low = self.keys & np.uint64(0xFFFFFFFF)
-        full = low | (rng.astype(np.uint64) << np.uint64(32))
-        pos = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
-        at = np.nonzero(wanted[pos] == full)[0]
-        first, rng = self.first[at], rng[at]
+        full = (self.keys & np.uint64(0xFFFFFFFF)) | (rng.astype(np.uint64) << np.uint64(32))
+        at = np.nonzero(among(full, wanted))[0]
+        first, rng, full = self.first[at], rng[at], full[at]
         lens = self.last[at] + LENGTH - first
         strings = cut_strings(self.raw, first, lens, LENGTH + SPAN - 1)
         order = np.argsort(strings, kind="stable")
         order = order[np.argsort(rng[order], kind="stable")]
-        strings, rng, first, lens = strings[order], rng[order], first[order], lens[order]
-        new = np.append(True, (strings[1:] != strings[:-1]) | (rng[1:] != rng[:-1])) if len(at) else np.zeros(0, bool)
-        return Contexts(np.nonzero(new)[0], np.cumsum(new) - 1, rng, first, lens, self.ids[self.doc(first)], low[at][order].astype("<u4"))
+        strings, rng, first, lens, full = (x[order] for x in (strings, rng, first, lens, full))
+        new = np.append(True, (strings[1:] != strings[:-1]) | (rng[1:] != rng[:-1])) if len(order) else np.zeros(0, bool)
+        return Contexts(self, np.nonzero(new)[0], np.cumsum(new) - 1, rng, first, lens, full, hot, n)
 
 
-@dataclass
-class Contexts:
-    """Occurrences of contexts, by range and context, and in a context by place, so that the first has the least document.
+def whole(keys: dict[int, np.ndarray]) -> np.ndarray:
+    """Keys with their ranges, in order."""
+    parts = [np.sort(v).astype(np.uint64) | np.uint64(r << 32) for r, v in sorted(keys.items())]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
 
-    heads: the first occurrence of each distinct context; which: the distinct context of each occurrence.
-    """
 
-    heads: np.ndarray
-    which: np.ndarray
-    rng: np.ndarray
-    first: np.ndarray
-    lens: np.ndarray
-    ids: np.ndarray
-    under: np.ndarray
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
 
-    def ranges(self):
-        """(range, its part of heads) of every range."""
-        there, start = np.unique(self.rng[self.heads], return_index=True)
-        yield from zip(there.tolist(), np.split(self.heads, start[1:]) if len(there) else [], strict=True)
+class Contexts:
+    """Occurrences of contexts, by range and context, and in a context by place, so that the first has the least document.
 
+    heads: the first occurrence of each distinct context; which: the distinct context of each occurrence; count and starts:
+    windows of each distinct context, end to end. A distinct context of a hot key is taken apart: its windows (the arrays
+    of near) have ranges and keys of their own bytes.
+    """
 
-def _answer(table: pa.Table) -> dict[int, np.ndarray]:
-    out: dict[int, np.ndarray] = {}
-    for r, blob in zip(table.column("rng").to_pylist(), table.column("keys").to_pylist(), strict=True):
-        out[r] = np.frombuffer(blob, "<u4")
-    return out
+    def __init__(self, group: Group, heads, which, rng, first, lens, full, hot, n):
+        self.group, self.heads, self.which, self.first, self.lens = group, heads, which, first, lens
+        self.ids = group.ids[group.doc(first)]
+        self.under = (full & np.uint64(0xFFFFFFFF)).astype("<u4")
+        self.count = lens[heads] - (LENGTH - 1)
+        self.starts = np.cumsum(self.count) - self.count
+        apart = among(full[heads], hot)
+        some = np.nonzero(apart)[0]
+        self.near_first = spread(first[heads[some]], self.count[some])
+        self.near_slot = spread(self.starts[some], self.count[some])
+        self.near_ids = np.repeat(self.ids[heads[some]], self.count[some])
+        keys = np.zeros(len(self.near_first), np.uint64)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(keys), BATCH):
+                flat = group.raw[spread(self.near_first[at : at + BATCH], np.full(len(keys[at : at + BATCH]), LENGTH))]
+                keys[at : at + BATCH] = _mix(rolling(flat, LENGTH)[::LENGTH] * _A)
+        near_rng = ranges_of(keys, n)
+        self.near_under = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+        self.whole, self.near = by_range(rng[heads], np.nonzero(~apart)[0]), by_range(near_rng, np.arange(len(keys)))
+
+    def of(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts, and the windows of hot ones, that go to a range."""
+        none = np.zeros(0, np.int64)
+        return self.whole.get(r, none), self.near.get(r, none)
+
+    def shipped(self, r: int) -> dict[str, bytes]:
+        mine, near = self.of(r)
+        heads = self.heads[mine]
+        first = np.concatenate([self.first[heads], self.near_first[near]])
+        lens = np.concatenate([self.lens[heads], np.full(len(near), LENGTH)])
+        sign = np.repeat(np.array([0, LONE]), [len(mine), len(near)])
+        under = np.concatenate([self.under[heads], self.near_under[near]])
+        ids = np.concatenate([self.ids[heads], self.near_ids[near]])
+        raw = self.group.raw[spread(first, lens)]
+        return {"lens": (lens + sign).astype(np.uint8).tobytes(), "under": under.tobytes(), "ids": ids.astype("<i8").tobytes(), "bytes": raw.tobytes()}
+
+    def answered(self, bits: dict[int, bytes]) -> np.ndarray:
+        """The answers of all ranges, a bit for each window of each distinct context."""
+        given = np.zeros(int(self.count.sum()), bool)
+        for r, blob in bits.items():
+            mine, near = self.of(r)
+            slots = np.concatenate([spread(self.starts[mine], self.count[mine]), self.near_slot[near]])
+            given[slots] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(slots)).astype(bool)
+        return given
+
+
+def by_range(rng: np.ndarray, some: np.ndarray) -> dict[int, np.ndarray]:
+    """range -> its part of some, in order"""
+    some = some[np.argsort(rng[some], kind="stable")]
+    there, start = np.unique(rng[some], return_index=True)
+    return dict(zip(there.tolist(), np.split(some, start[1:]) if len(there) else [], strict=True))
+
+
+def _told(table: pa.Table, column: str) -> dict[int, np.ndarray]:
+    rows = zip(table.column("rng").to_pylist(), table.column(column).to_pylist(), strict=True)
+    return {r: np.frombuffer(blob, "<u4") for r, blob in rows}
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -275,9 +327,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), -(-size // GROUP))
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
-    ranged = "rng long, grp long, keys binary"
-    blob = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary())])
+    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    ranged, keyed = "rng int, grp int, keys binary", {"rng": pa.int32(), "grp": pa.int32(), "keys": pa.binary()}
+    blob = pa.schema([*keyed.items()])
 
     def tell(key, table):
         own = Group(table).own()
@@ -285,29 +337,33 @@ def dedup(docs: DataFrame) -> DataFrame:
         there, first = np.unique(rng, return_index=True)
         low = (own & np.uint64(0xFFFFFFFF)).astype("<u4")
         parts = [x.tobytes() for x in np.split(low, first[1:])] if len(there) else []
-        return pa.Table.from_arrays([pa.array(there, pa.int64()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], schema=blob)
+        return pa.Table.from_arrays([pa.array(there, pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=blob)
+
+    answered = pa.schema([*keyed.items(), ("hot", pa.binary())])
 
     def shared(table):
         parts = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
         values, many = np.unique(np.concatenate(parts), return_counts=True)
-        several = values[many > 1]
-        keep = [p[several[np.minimum(np.searchsorted(several, p), len(several) - 1)] == p] for p in parts] if len(several) else [several] * len(parts)
+        several, hot = values[many > 1], values[many > HOT]
+        keep = [np.unique(p[among(p, several)]) for p in parts]
         some = [i for i, p in enumerate(keep) if len(p)]
-        return pa.Table.from_arrays([table.column("rng").take(pa.array(some, pa.int64())), table.column("grp").take(pa.array(some, pa.int64())), pa.array([np.unique(keep[i]).tobytes() for i in some], pa.binary())], schema=blob)
+        passed = [table.column(c).take(pa.array(some, pa.int64())) for c in ("rng", "grp")]
+        blobs = [[keep[i].tobytes() for i in some], [keep[i][among(keep[i], hot)].tobytes() for i in some]]
+        return pa.Table.from_arrays([*passed, *[pa.array(b, pa.binary()) for b in blobs]], schema=answered)
 
-    sent = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("under", pa.binary()), ("ids", pa.binary()), ("bytes", pa.binary())])
+    sent = pa.schema([*answered, *[(c, pa.binary()) for c in ("lens", "under", "ids", "bytes")]])
 
     def send(key, table, wanted):
         if not wanted.num_rows or not table.num_rows:
             return sent.empty_table()
-        g, asked, rows = Group(table), _answer(wanted), []
-        c = g.contexts(asked, n)
-        for r, heads in c.ranges():
-            raw = g.raw[spread(c.first[heads], c.lens[heads])].tobytes()
-            rows.append({"rng": r, "grp": key[0].as_py(), "keys": asked[r].tobytes(), "lens": c.lens[heads].astype(np.uint8).tobytes(), "under": c.under[heads].tobytes(), "ids": c.ids[heads].astype("<i8").tobytes(), "bytes": raw})
+        g, asked, hot, rows = Group(table), _told(wanted, "keys"), _told(wanted, "hot"), []
+        c, none = g.contexts(asked, hot, n), np.zeros(0, "<u4")
+        for r in sorted(c.whole.keys() | c.near.keys() | asked.keys()):
+            said = {"keys": asked.get(r, none).tobytes(), "hot": hot.get(r, none).tobytes()}
+            rows.append({"rng": r, "grp": key[0].as_py(), **said, **c.shipped(r)})
         return pa.Table.from_pylist(rows, schema=sent)
 
-    told = pa.schema([("rng", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary())])
+    told = pa.schema([*answered, ("bits", pa.binary())])
 
     def resolve(table):
         rows = sorted(table.to_pylist(), key=lambda x: x["grp"])
@@ -315,21 +371,22 @@ def dedup(docs: DataFrame) -> DataFrame:
         contexts, batches, held = Family(), [], []
         for i, row in enumerate(rows):  # batches of whole contexts, of several groups where they are small
             lens = np.frombuffer(row["lens"], np.uint8).astype(np.int64)
+            sign, lens = lens & LONE, lens & (LONE - 1)
             raw, docs = np.frombuffer(row["bytes"], np.uint8), np.frombuffer(row["ids"], "<i8")
             row["bytes"] = b""
-            strings = cut_strings(raw, np.cumsum(lens) - lens, lens, longest)
+            strings = cut_strings(raw, np.cumsum(lens) - lens, lens, longest, sign)
             batches.append((strings, docs))
             held.append((strings, docs, np.frombuffer(row["under"], "<u4")))
             if i + 1 == len(rows) or sum(len(x) for x, _, _ in held) >= BATCH // SPAN * 8:
                 contexts.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
-        known = contexts.whole()
+        known = contexts.whole() or Level(np.zeros(0, f"S{longest + 1}"), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         # a context that is alone under its anchor meets no other string; windows of the rest get suffix arrays of their own
         _, back, many = np.unique(known.tags, return_inverse=True, return_counts=True)
         rivals = np.nonzero(many[back] > 1)[0]
         windows, at = Family(), 0
         flat = known.strings.view(np.uint8).reshape(len(known), longest + 1)
-        count = flat[:, longest].astype(np.int64) - (LENGTH - 1)
+        count = (flat[:, longest] & (LONE - 1)).astype(np.int64) - (LENGTH - 1)
         steps = np.cumsum(count[rivals])
         while at < len(rivals):
             upto = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + BATCH)))
@@ -347,7 +404,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for row, (strings, docs) in zip(rows, batches, strict=True):
             which = np.searchsorted(known.strings, strings)
             bits = seen[spread(starts[which], count[which])] | np.repeat(docs > known.docs[which], count[which])
-            out.append({"rng": row["rng"], "grp": row["grp"], "keys": row["keys"], "bits": np.packbits(bits).tobytes()})
+            out.append({**{k: row[k] for k in ("rng", "grp", "keys", "hot")}, "bits": np.packbits(bits).tobytes()})
         return pa.Table.from_pylist(out, schema=told)
 
     final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -359,15 +416,13 @@ def dedup(docs: DataFrame) -> DataFrame:
         dup = np.zeros(len(g.raw) + 1, bool)
         if answers.num_rows:
             bits = dict(zip(answers.column("rng").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-            c = g.contexts(_answer(answers), n)
-            count = c.lens - (LENGTH - 1)
-            given = [np.unpackbits(np.frombuffer(bits[r], np.uint8), count=int(count[heads].sum())) for r, heads in c.ranges()]
-            given = np.concatenate([*given, np.zeros(0, np.uint8)]).astype(bool)
-            starts = np.cumsum(count[c.heads]) - count[c.heads]
+            c = g.contexts(_told(answers, "keys"), _told(answers, "hot"), n)
+            given = c.answered(bits)
             for at in range(0, len(c.which), BATCH // SPAN):  # a bounded number of windows at a time
                 some = slice(at, at + BATCH // SPAN)
-                later = c.ids[some] > c.ids[c.heads[c.which[some]]]
-                dup[spread(c.first[some], count[some])] = given[spread(starts[c.which[some]], count[some])] | np.repeat(later, count[some])
+                which = c.which[some]
+                later = c.ids[some] > c.ids[c.heads[which]]
+                dup[spread(c.first[some], c.count[which])] = given[spread(c.starts[which], c.count[which])] | np.repeat(later, c.count[which])
         upto = np.cumsum(dup[:-1], dtype=np.int32)  # matched strings that have begun; those of the last LENGTH bytes cover
         covered = upto > 0
         covered[LENGTH:] = upto[LENGTH:] > upto[:-LENGTH]
@@ -401,16 +456,16 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return [one, two, three][function.__code__.co_argcount - 1]
 
-    # as many partitions as groups and ranges, so that a task's share does not grow with the input
-    dealt = dealt.repartition(n, "grp")
+    # a task for each group and each range, so that its share does not grow with the input
+    dealt = dealt.repartitionById(n, "grp")
     groups = lambda: dealt.groupBy("grp")
     have = groups().applyInArrow(freed(tell), ranged)
-    asked = have.repartition(n, "rng").groupBy("rng").applyInArrow(freed(shared), ranged)
-    shipped = "rng long, grp long, keys binary, lens binary, under binary, ids binary, bytes binary"
-    given = groups().cogroup(asked.repartition(n, "grp").groupBy("grp")).applyInArrow(freed(send), shipped)
-    bits = given.repartition(n, "rng").groupBy("rng").applyInArrow(freed(resolve), "rng long, grp long, keys binary, bits binary")
+    asked = have.repartitionById(n, "rng").groupBy("rng").applyInArrow(freed(shared), f"{ranged}, hot binary")
+    shipped = f"{ranged}, hot binary, lens binary, under binary, ids binary, bytes binary"
+    given = groups().cogroup(asked.repartitionById(n, "grp").groupBy("grp")).applyInArrow(freed(send), shipped)
+    bits = given.repartitionById(n, "rng").groupBy("rng").applyInArrow(freed(resolve), f"{ranged}, hot binary, bits binary")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return groups().cogroup(bits.repartition(n, "grp").groupBy("grp")).applyInArrow(freed(finish), result)
+    return groups().cogroup(bits.repartitionById(n, "grp").groupBy("grp")).applyInArrow(freed(finish), result)
 
 
 def windows_of(flat: np.ndarray, some: np.ndarray, count: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
