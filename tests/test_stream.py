@@ -308,3 +308,27 @@ def test_kendall_counts_every_pair(spark, ranges):
 def test_randomness_falls_with_the_buffer():
     fixed, mixed = randomness(5, 10, 1, 0, 15), randomness(5, 10, 50, 50, 15)
     assert 1 > fixed > mixed > 0
+
+
+def test_intermediates_go_when_asked(spark, ten):
+    from rillflow.operators.position import cleaned, scratch, settled
+    from rillflow.sources.shards import hadoop
+
+    settled(ten)
+    root = scratch(spark).rsplit("/", 1)[0]
+    fs, path = hadoop(spark, root)
+    assert fs.exists(path) and f"rillflow-{spark.sparkContext.applicationId}" in root
+    cleaned(spark)
+    assert not fs.exists(path)
+    assert settled(ten).count() == 10
+
+
+def test_a_seed_is_drawn_where_none_is_given(ten):
+    assert shuffling.seeded(3) == 3 and shuffling.seeded(None) != shuffling.seeded(None)
+    assert sorted(r["v"] for r in shuffling.hash_shuffle(ten, None).collect()) == [*range(10)]
+
+
+def test_sizes_of_items():
+    import numpy as np
+
+    assert monitoring.getsize(np.zeros(3)) == 24 and monitoring.getsize("abc") > 3
