@@ -43,11 +43,39 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     the application, or by position.cleaned."""
     spark = df.sparkSession
     path = f"{scratch(spark)}-{tag}"
+    if _passing:
+        _passing[-1].append(path)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that are materialised inside are deleted at the end, but for those given to what this yields: a function
+    that materialises a table and keeps it."""
+    made, kept = [], []
+    _passing.append(made)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = materialise(df, tag)
+        kept.append(made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _passing.pop()
+        if _passing:
+            _passing[-1] += kept
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def residue(col: str, n: int = RESIDUES):
     """A null-safe residue of a key, for the bounded semi-join filter."""
     return F.pmod(F.xxhash64(F.col(col), F.col(col).isNull()), F.lit(n)).cast("int")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, materialise, released, texts_of
+from .common import Codes, materialise, passing, released, texts_of
 
 #: The classifier is fitted on at most this many labelled documents, an even share of each language; more make it slower
 #: to fit and know more words.
@@ -159,10 +159,18 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, words_kept: int = WORDS) -> M
                 for lang, text in zip(batch.column("lang").slice(at, len(texts)).to_pylist(), texts, strict=True):
                     tally.update((lang, w) for w in words(text))
         items = list(tally.items())
+        tally.clear()
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in items], "word": [k[1] for k, _ in items], "n": pa.array([n for _, n in items], pa.int64())})
+        items = None
+        released()
 
     tally = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    tally = materialise(tally, "words")
+    with passing(docs.sparkSession):
+        return Model(told(materialise(tally, "words"), words_kept))
+
+
+def told(tally: DataFrame, words_kept: int) -> dict[str, dict[str, int]]:
+    """language -> word -> occurrences, of the words that a model keeps."""
     least: dict[str, int] = {}
     held: Counter = Counter()
     for lang, n, many in sorted(tally.groupBy("lang", "n").count().collect(), key=lambda x: (x[0], -x[1])):  # of the bounded sample
@@ -173,16 +181,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, words_kept: int = WORDS) -> M
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, word, n in tally.join(F.broadcast(known), "lang").where("n >= _least").select("lang", "word", "n").collect():
         counts[lang][word] = n
-    return Model({k: dict(sorted(v.items())) for k, v in sorted(counts.items())})
+    return {k: dict(sorted(v.items())) for k, v in sorted(counts.items())}
 
 
-def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
     """docs with lang_pred and score: (und, 0.0) for a null text and one without a letter, or if nothing was learned.
 
     Of equal scores the language that comes first by name wins. Repeated rows are rows of their own and get the same
-    answer. The columns carry are passed as they are and none other is read, so only the names lang_pred, score and _text
-    must not be among them. Whole texts are scored, about BATCH_CHARS characters at a time, a longer text alone. An empty
-    table gives none. The result is written once.
+    answer. The columns carry are passed as they are and none other but text is read, so only the names lang_pred, score and
+    _text must not be among them. Whole texts are scored, about BATCH_CHARS characters at a time, a longer text alone. An empty
+    table gives none. The result is written once, by small batches of texts.
     """
     from pyspark.sql import types as T
 
@@ -193,7 +201,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         scorer = Scorer(share.value["model"])
         for batch in batches:
             names, scores = [], []
-            for _, texts in texts_of(batch, "_text"):
+            for _, texts in texts_of(batch, read):
                 a, b = scorer(texts)
                 names += a
                 scores += b
@@ -201,7 +209,9 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         scorer = None
         released()
 
-    return materialise(docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, out), "languages")
+    read = text if text in carry else "_text"
+    rows = docs.select(*carry) if text in carry else docs.select(*carry, F.col(text).alias("_text"))
+    return materialise(rows.mapInArrow(run, out), "languages")
 
 
 def held_out(parts: int, which: int):

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prefilter, residue
+from .common import materialise, passing, prefilter, residue
 
 #: Levels of the tree below the token count: blocks of a line's tokens, the leading ones first.
 BLOCKS = 4
@@ -83,7 +83,7 @@ def leaves_of(n: str = "n") -> Column:
     return F.explode(F.when(F.col(n) < WIDE, paths[1]).otherwise(paths[2]))
 
 
-def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, long_recurs: int = LONG_RECURS) -> tuple[DataFrame, DataFrame]:
     """((full, also, template) of every kind of line that a template covers which may recur, the lines of docs as hashes).
 
     docs is keyed. Lines are first reduced to hashes and counted by kind (equal masked lines), so a line that a third of
@@ -99,7 +99,7 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = [f"b{i}" for i in range(BLOCKS)]
     kinds = narrow.groupBy("full", "also").agg(F.count("*").alias("many"), F.min("_k").alias("_k"), *[F.first(c).alias(c) for c in ("n", *parts)])
     kinds = materialise(kinds, "kinds")
-    least = F.when(F.col("n") >= LONG, LONG_RECURS).otherwise(RECURS)
+    least = F.when(F.col("n") >= LONG, long_recurs).otherwise(RECURS)
     own = kinds.where(F.col("many") >= least).select("full", "also", "n")
     tree = kinds.where("b0 is not null").select("full", "also", "_k", "many", "n", leaves_of().alias("leaf"))
     live = F.sum("many") >= RECURS
@@ -130,34 +130,36 @@ def tokens_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     return lines.groupBy("full", "also").agg(F.first("m").alias("m")).select("full", "also", md5.alias("line"), F.transform(F.split("m", " "), lambda x: F.xxhash64(x)).alias("t"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, long_recurs: int = LONG_RECURS) -> DataFrame:
     """(_k, doc_id, drop) of keyed docs that lose lines: drop has their numbers, ascending.
 
     A template that too few documents have after all (a line may repeat within one) is none. The first line of the others,
     by (doc_id, row, line), stays.
     """
-    templates, narrow = recurring(docs)
+    templates, narrow = recurring(docs, long_recurs)
     lines = narrow.select("doc_id", "_k", "nth", "full", "also").join(templates, ["full", "also"])
     lines = materialise(lines.select("template", "n", "doc_id", "_k", "nth"), "covered")
     each = lines.groupBy("template", "n", "doc_id", "_k").agg(F.min("nth").alias("nth"))
     good = each.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "_k", "nth")).alias("first"))
-    good = good.where(F.col("docs") >= F.when(F.col("n") >= LONG, LONG_RECURS).otherwise(RECURS))
-    gone = lines.join(good.select("template", "n", "first"), ["template", "n"]).where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
+    good = good.where(F.col("docs") >= F.when(F.col("n") >= LONG, long_recurs).otherwise(RECURS)).select("template", "n", "first")
+    good = materialise(good, "templates")  # so that the planner may split the lines of a hot template in the join
+    gone = lines.join(good, ["template", "n"]).where(~F.struct("doc_id", "_k", "nth").eqNullSafe(F.col("first")))
     return gone.groupBy("_k", F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("nth")).alias("_drop"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, long_recurs: int = LONG_RECURS) -> DataFrame:
     """docs with text without the lines of recurring templates, and n_lines, n_dropped (long).
 
-    A template that RECURS documents or more have (one of LONG tokens or more, LONG_RECURS) is kept at its first
+    A template that RECURS documents or more have (one of LONG tokens or more, long_recurs) is kept at its first
     line by doc_id (nulls first) and dropped elsewhere. Null text stays null with no lines; an empty text has one; empty
     lines, and lines of under LEAST_TOKENS tokens without a letter, always stay; rows of equal doc_id and text are treated
     alike; other columns pass through, n_chars follows the text; columns named n_lines or n_dropped are replaced. An empty
     table gives no rows. Only texts that may lose a line are shuffled, and the work is in proportion to lines and tokens.
     """
     names = docs.columns
-    flat = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), "doc_id", "text"))
-    drop = materialise(dropped(flat.select("doc_id", "text", "_k")), "drop")
+    flat = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_d"), "doc_id", "text"))
+    with passing(docs.sparkSession) as keep:
+        drop = keep(dropped(flat.select("doc_id", "text", "_k"), long_recurs), "drop")
     # a flag for each line up to the last that goes, put together from the gaps between them
     gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), (x - F.coalesce(F.get(F.col("_drop"), i - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(True)))
     flags = drop.select("_k", "_i", F.size("_drop").alias("_n"), F.flatten(F.transform("_drop", gap)).alias("_flags"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, components, materialise, partitions, prefilter, released, residue, texts_of
+from .common import Codes, components, materialise, partitions, passing, prefilter, released, residue, texts_of
 
 SIZE, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
@@ -286,8 +286,22 @@ def join(docs: DataFrame) -> DataFrame:
     links are classes of their own. Rows of equal doc_id are rows of their own. Only the two named columns are read.
     """
     docs = docs.select("doc_id", "text")
+    with passing(docs.sparkSession) as keep:
+        rows = keep(classes(docs), "classes")
+        known = keep(grouped(docs, rows), "known")
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).alias("m")).select("root", F.col("m.least").alias("class_id"))
+    named = known.join(first, "root").select("hi", "lo", "copies", "sets", "docs", "class_id")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    copies, has_words = zero(F.col("copies") - 1), F.col("hi").isNotNull()
+    counted = [(copies + zero(F.col("docs"))).alias("n_links"), copies.alias("n_copies"), zero(F.col("sets")).alias("n_texts")]
+    own = F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+    return rows.select("doc_id", "_k", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", own, *counted, has_words.alias("has_words"), "_k")
+
+
+def grouped(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hi, lo, copies, least, sets, docs, root) of the classes of rows: rows that have each, its least doc_id, linked classes
+    and their rows, and the connected part that it is in."""
     n = partitions(docs.sparkSession)
-    rows = materialise(classes(docs), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_least")
     reps = rows.where("hi is not null").groupBy("hi", "lo").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("copies"), least)
     # a class is numbered as the table is written, so that what follows moves one long a class
@@ -333,14 +347,7 @@ def join(docs: DataFrame) -> DataFrame:
     parts = components(links.select(F.col("cid").alias("u"), F.col("link").alias("v")), "parts")
     counts = links.groupBy("cid").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     known = reps.select("cid", "hi", "lo", "copies", "least").join(counts, "cid", "left").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    known = materialise(known.select("hi", "lo", "copies", "least", "sets", "docs", F.coalesce("root", "cid").alias("root")), "known")
-    first = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).alias("m")).select("root", F.col("m.least").alias("class_id"))
-    named = known.join(first, "root").select("hi", "lo", "copies", "sets", "docs", "class_id")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    copies, has_words = zero(F.col("copies") - 1), F.col("hi").isNotNull()
-    counted = [(copies + zero(F.col("docs"))).alias("n_links"), copies.alias("n_copies"), zero(F.col("sets")).alias("n_texts")]
-    own = F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
-    return rows.select("doc_id", "_k", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", own, *counted, has_words.alias("has_words"), "_k")
+    return known.select("hi", "lo", "copies", "least", "sets", "docs", F.coalesce("root", "cid").alias("root"))
 
 
 def distinct(docs: DataFrame) -> DataFrame:
@@ -350,8 +357,9 @@ def distinct(docs: DataFrame) -> DataFrame:
     share its fate. Columns and their values pass through; only texts that may go are shuffled.
     """
     names = docs.columns
-    gone = join(docs).where(F.col("has_words") & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("_k", F.col("doc_id").alias("_i")).distinct()
-    gone = materialise(gone, "gone")
+    with passing(docs.sparkSession) as keep:
+        gone = join(docs).where(F.col("has_words") & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
+        gone = keep(gone.select("_k", F.col("doc_id").alias("_i")).distinct(), "gone")
     small = F.broadcast(gone.select(residue("_k").alias("_res")).distinct())  # at most RESIDUES rows
     flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), "doc_id", F.xxhash64("doc_id", "text").alias("_key"))
     flat = flat.withColumn("_res", residue("_key"))
