@@ -30,18 +30,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="mix") -> DataFrame:
-    """rows (doc_id, source, size) with source_size, target and taken, the words of the row that the mix takes.
+def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows (doc_id, source, size, *carry) with source_size, target and taken, the words of the row that the mix takes.
 
     Within a source, rows are ordered by the md5 of seed and doc_id; taken is whole epochs of the row plus its part of
-    the last, cut where the source's budget (its target, rounded) ends. Equal keys are ordered by doc_id and size. Null
+    the last, cut where the source's budget (its target, rounded) ends. Equal keys are ordered by doc_id, size and carry. Null
     source is a source of its own; a source without words takes none. A source's order is cut into runs by ranges of the
     uniform hash, so a hot source spreads over many tasks: runs are summed, the sums are added up in two levels (a task sees
     RUN runs, or a row for each RUN runs), and each run is ordered by itself. Sources' totals (one row a source) go to the
     driver. Reruns agree.
     """
     spark = rows.sparkSession
-    keyed = rows.select("doc_id", "source", "size", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"))
+    keyed = rows.select("doc_id", "source", "size", *carry, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"))
     keyed = materialise(keyed, "mix")
     totals = [tuple(r) for r in keyed.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     goal = targets([(s, n) for s, n, _ in totals], tuple(weights), share, repeat)
@@ -56,28 +56,37 @@ def plan(rows: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0, seed="
     near = F.sum("_n").over(Window.partitionBy("_s", "_far").orderBy("_run")) - F.col("_n")
     runs = runs.select("_s", "_far", "_run", near.alias("_in")).join(far, ["_s", "_far"]).select("_s", "_run", (F.col("_base") + F.col("_in")).alias("_before"))
     rows = rows.withColumn("_s", source).join(runs, ["_s", "_run"])
-    inside = Window.partitionBy("_s", "_run").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_s", "_run").orderBy("_key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_before") + F.sum("size").over(inside) - F.col("size")
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", *carry, "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of a document, the last cut to its first words
-    where a budget ends inside it. Documents without words (null and empty texts too) have nothing to take. Rows of one
-    doc_id, source and size share what is taken of them in order of text. Columns other than doc_id, source, text and
-    n_chars pass through, whatever their names; n_chars follows the text. An empty table gives none.
+    where a budget ends inside it. Documents without words (null and empty texts too) have nothing to take. Rows that are
+    equal in doc_id, source and text share what is taken of them. Columns other than text and n_chars pass through,
+    whatever their names; n_chars follows the text. An empty table gives none. Texts are shuffled once.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), "doc_id", "source", "text")
-    packed = sized(packed).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
-    share = plan(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), **how)
-    share = share.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken")))).where("taken > 0")
-    keys = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("doc_id", "source", "size", "_nth")]
-    rows = packed.alias("d").join(share.select("doc_id", "source", "size", "_nth", "taken").alias("s"), keys[0] & keys[1] & keys[2] & keys[3])
+    hashed = F.xxhash64("text").alias("_t")
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_d")
+    packed = sized(docs.select(rest, "doc_id", "source", "text", hashed))
+    share = plan(sized(docs.select("doc_id", "source", "text", hashed)).select("doc_id", "source", "size", "_t"), carry=("_t",), **how)
+    same = ["doc_id", "source", "size", "_t"]
+    number = lambda order: F.row_number().over(Window.partitionBy("_id", *same).orderBy(order))
+    own = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size", "_t")
+    # both sides are dealt by _id alone, so that the numbering and the join need no other shuffle
+    packed = packed.withColumn("_id", own).repartition("_id").withColumn("_nth", number(F.lit(1)))
+    share = share.withColumn("_id", own).repartition("_id").withColumn("_nth", number(F.desc("taken"))).where("taken > 0")
+    met = F.col("d._id") == F.col("s._id")
+    for k in ("doc_id", "source"):
+        met = met & F.col(f"d.{k}").isNotNull().eqNullSafe(F.col(f"s.{k}").isNotNull()) & ((F.col(f"d.{k}") == F.col(f"s.{k}")) | F.col(f"d.{k}").isNull())
+    met = met & (F.col("d._nth") - F.col("s._nth") == 0)
+    rows = packed.alias("d").join(share.select("_id", "doc_id", "source", "_nth", "taken").alias("s"), met)
     rows = rows.select("d._d", "d.text", "d.size", F.col("s.taken").alias("_taken"))
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("_taken") - F.col("_epoch") * F.col("size"))
