@@ -259,24 +259,29 @@ def encoded(docs: DataFrame, path: str, carry: list[str], ids: bool = False) ->
         raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     from pyspark.sql import types as T
 
-    extra = [("n_tokens", T.LongType(), pa.int64()), *[(c, T.StringType(), pa.string()) for c in ("ids_sha256", "decoded_sha256")]]
-    extra += [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids
-    out = T.StructType([*docs.select(*carry).schema.fields, *[T.StructField(n, t) for n, t, _ in extra]])
+    extra = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    extra |= {"ids": T.ArrayType(T.IntegerType())} if ids else {}
+    out = T.StructType([*docs.select(*carry).schema.fields, *[T.StructField(n, t) for n, t in extra.items()]])
 
     def run(batches):
         m = model(path)
         names = np.array([str(i) for i in range(m.size)], object)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
-            rows = []
-            for _, texts in texts_of(batch, "_text"):
+            for at, texts in texts_of(batch, "_text"):  # a batch of its own for each stretch of texts
                 flat, lens = m.encode([x or "" for x in texts])
+                flat, lens = np.insert(flat, np.cumsum(lens), m.end), lens + 1
                 ends = np.cumsum(lens)
+                coded, decoded = [], []
                 for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True):
-                    own = flat[a:b].tolist() + [m.end]
-                    rows.append((len(own), sha(" ".join(map(names.__getitem__, own))), sha(m.decode(own)), *([own] * ids)))
-            cols = list(zip(*rows, strict=True)) or [()] * len(extra)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *[pa.array(list(c), t) for c, (_, _, t) in zip(cols, extra, strict=True)]], names=out.names)
+                    own = flat[a:b].tolist()
+                    coded.append(sha(" ".join(map(names.__getitem__, own))))
+                    decoded.append(sha(m.decode(own)))
+                made = [pa.array(lens), pa.array(coded), pa.array(decoded)]
+                if ids:
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(texts)) for c in carry], *made], names=out.names)
         m.forget()
         released()
 

@@ -486,3 +486,11 @@ def test_pipeline_stages_keep_columns(spark, odd, small):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and docs.count() > 0
     assert all(len(r["ids"]) == r["n_tokens"] for r in docs.collect())
+
+
+def test_a_query_leaves_the_session_as_it_was(spark, odd):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k) for k in keys]
+    pieces.encoded(odd, tokenizer("piece_bpe_32k.model"), ["doc_id"]).collect()
+    langid.identify(odd).collect()
+    assert [spark.conf.get(k) for k in keys] == before
