@@ -16,15 +16,18 @@ from rillflow.llm.queries import tokenizer
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: those without a letter go, and those that no language fits at least evenly."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), "text")
-    named = langid.predict(packed, langid.fit(docs), ["_d"]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.4))
-    return named.select(*[F.col(f"_d.`{c}`").alias(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with the prediction's
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    named = langid.predict(plain, langid.fit(docs), names, names[docs.columns.index("text")])
+    named = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.4))
+    return named.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; no document goes."""
+    """Lines of recurring templates go from all documents but the first; no document goes. Long lines need as many documents
+    as others here: documents that are copies as a whole are for the next stage."""
     names = docs.columns
-    return loglines.dedup(docs).select(*names)
+    return loglines.dedup(docs, long_recurs=loglines.RECURS).select(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
